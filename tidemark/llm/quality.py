@@ -99,19 +99,14 @@ def _group(lang: Column, source: Column) -> Column:
 
 
 def _with_distance(vectors: DataFrame) -> DataFrame:
-    """The column d2; each whitened coordinate is a column of its own, so none is written out twice."""
-    out = vectors
-    for i, a in enumerate(DIMS):
-        rest = F.col(a) - F.col(f"m_{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        out = out.withColumn(f"z_{i}", rest / F.col(f"l_{i}_{i}"))
-    d2 = reduce(lambda x, y: x + y, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(DIMS))])
-    return out.withColumn("d2", d2)
+    """The column d2 from an estimate's m_i and k_i_j; one flat expression, so filters on it stay small."""
+    apart = [F.col(a) - F.col(f"m_{i}") for i, a in enumerate(DIMS)]
+    white = [reduce(lambda x, y: x + y, [F.col(f"k_{i}_{j}") * apart[j] for j in range(i + 1)]) for i in range(len(DIMS))]
+    return vectors.withColumn("d2", reduce(lambda x, y: x + y, [z * z for z in white]))
 
 
 def _estimates(chosen: DataFrame) -> DataFrame:
-    """Mean m_i and Cholesky factor l_i_j of each q_group's covariance, floors added."""
+    """Mean m_i and inverse Cholesky factor k_i_j of each q_group's covariance, floors added."""
     p = len(DIMS)
     sums = [F.sum(a).alias(f"s_{i}") for i, a in enumerate(DIMS)]
     products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p_{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -127,7 +122,11 @@ def _estimates(chosen: DataFrame) -> DataFrame:
             # floors keep pivots positive; greatest() guards rounding
             l_ij = F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", l_ij)
-    return out.drop("n", *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    for i in range(p):
+        for j in range(i + 1):
+            below = reduce(lambda x, y: x + y, [F.col(f"l_{i}_{k}") * F.col(f"k_{k}_{j}") for k in range(j, i)], F.lit(0.0))
+            out = out.withColumn(f"k_{i}_{j}", ((1.0 if i == j else 0.0) - below) / F.col(f"l_{i}_{i}"))
+    return out.select("q_group", *[f"m_{i}" for i in range(p)], *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def _nearest_half(measured: DataFrame) -> DataFrame:
@@ -155,7 +154,7 @@ def fit(counted: DataFrame, steps: int = STEPS, least: int = LEAST_VECTORS) -> t
     start = centre.join(apart, "q_group").select(
         "q_group",
         *[f"m_{i}" for i in range(p)],
-        *[((1.4826 * F.col(f"a_{i}") if i == j else F.lit(0.0)) + (SCALE * FLOORS[a] if i == j else 0.0)).alias(f"l_{i}_{j}") for i, a in enumerate(DIMS) for j in range(i + 1)],
+        *[(1 / (1.4826 * F.col(f"a_{i}") + SCALE * FLOORS[a]) if i == j else F.lit(0.0)).alias(f"k_{i}_{j}") for i, a in enumerate(DIMS) for j in range(i + 1)],
     )
     estimate = settle(start)
     for _ in range(steps):
@@ -192,9 +191,5 @@ def rate(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that pass, columns as they are."""
-    slim = docs.select("text", "lang", "source")
-    counted = settle(with_counts(_prepared(slim)).drop("text", "lang", "source"))
-    estimate, stands = fit(counted)
-    by_group = stands.join(estimate, "q_group", "left").drop("q_group")
-    out = _with_distance(with_counts(_prepared(docs)).join(by_group, "q_own", "left"))
-    return out.where(~F.col("q_base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)).select(*docs.columns)
+    counted = settle(with_counts(_prepared(docs)))  # texts included: they are read and counted once
+    return verdicts(counted, cutoff).where("q_kept").select(*docs.columns)
