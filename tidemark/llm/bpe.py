@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import ahocorasick
+
 
 class Remembered(dict):
     """A cache of two generations: when the young one is full it becomes the old one, and the old one goes."""
@@ -31,19 +33,29 @@ class Remembered(dict):
 class Paths:
     """Encoding paths of a vocabulary.
 
-    ``tokens``: the tokens, as strings or bytes.  ``rank(a, b)``: the rank of the merge of two neighbours,
-    None if they don't merge; the lowest rank merges first, leftmost among equals.  ``longest``: units of the
-    longest token.  A unit that is no token stands alone and never merges.
+    ``tokens``: the tokens as strings, with their ids.  ``rank(a, b)``: the rank of the merge of two
+    neighbours, None if they don't merge; the lowest rank merges first, leftmost among equals.  A character
+    that is no token stands alone and never merges.  One automaton finds all tokens that end at a place.
     """
 
-    def __init__(self, tokens, rank: Callable, longest: int, pairs: int = 1 << 18):
-        self.tokens, self.rank, self.longest = tokens, rank, longest
-        self.fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [ab[0], ab[1]], pairs)
-        self.whole = Remembered(lambda a: len(self.merged(a)) == 1, pairs)
+    def __init__(self, tokens: dict[str, int], rank: Callable, pairs: int = 1 << 18):
+        self.tokens, self.rank = tokens, rank
+        self.names = {i: t for t, i in tokens.items()}
+        self.width = max(tokens.values()) + 1
+        self.automaton = ahocorasick.Automaton()
+        for token, i in tokens.items():
+            self.automaton.add_word(token, (len(token), i))
+        self.automaton.make_automaton()
+        self.fits = Remembered(self._fit, pairs)
+        self.whole = Remembered(lambda i: len(self.merged(self.names[i])) == 1, pairs)
+
+    def _fit(self, pair: int) -> bool:
+        a, b = (self.names[i] for i in divmod(pair, self.width))
+        return self.merged(a + b) == [a, b]
 
-    def merged(self, text) -> list:
+    def merged(self, text: str) -> list[str]:
         """The encoding by merging, for short texts."""
-        parts = [text[i : i + 1] for i in range(len(text))]
+        parts = list(text)
         rank = self.rank
         ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
         while True:
@@ -60,28 +72,44 @@ class Paths:
             if at < len(ranks):
                 ranks[at] = rank(parts[at], parts[at + 1])
 
-    def table(self, text) -> tuple[list[int], list]:
-        """(counts, last): tokens in each prefix, the empty one first, and the last token of each."""
-        n, counts, last = len(text), [0], [text[:0]]
-        tokens, fits, whole, longest = self.tokens, self.fits, self.whole, self.longest
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                token = text[j:i]
-                if (token in tokens or j == i - 1) and (fits[last[j], token] if j else whole[token]):
-                    counts.append(counts[j] + 1)
-                    last.append(token)
-                    break
-            else:
-                found = self.merged(text[:i])
-                counts.append(len(found))
-                last.append(found[-1])
+    def table(self, text: str) -> tuple[list[int], list[int]]:
+        """(counts, last): tokens in each prefix, the empty one first, and the last token's id (-1: no token)."""
+        n = len(text)
+        counts, last, done = [0] * (n + 1), [None] * (n + 1), 0
+        last[0] = -1
+        fits, whole, width = self.fits, self.whole, self.width
+        for end, (size, token) in self.automaton.iter(text):
+            i = end + 1
+            if last[i] is not None:
+                continue
+            if done < end:
+                for k in range(done + 1, i):
+                    if last[k] is None:
+                        self._unmatched(text, k, counts, last)
+                done = end
+            j = i - size
+            before = last[j]
+            if fits[before * width + token] if before >= 0 else whole[token]:
+                counts[i], last[i] = counts[j] + 1, token
+        for k in range(done + 1, n + 1):
+            if last[k] is None:
+                self._unmatched(text, k, counts, last)
         return counts, last
 
-    def path(self, text) -> list:
+    def _unmatched(self, text: str, k: int, counts: list[int], last: list) -> None:
+        """A prefix that ends in a character that is no token; by merging, if ever tokens don't fit."""
+        if text[k - 1] not in self.tokens:
+            counts[k], last[k] = counts[k - 1] + 1, -1
+        else:
+            found = self.merged(text[:k])
+            counts[k], last[k] = len(found), self.tokens.get(found[-1], -1)
+
+    def path(self, text: str) -> list[str]:
         """The tokens of a text, read back from the table."""
         _, last = self.table(text)
         out, i = [], len(text)
         while i:
-            out.append(last[i])
-            i -= len(last[i])
+            token = self.names[last[i]] if last[i] >= 0 else text[i - 1]
+            out.append(token)
+            i -= len(token)
         return out[::-1]

@@ -31,7 +31,7 @@ from .bpe import Paths, Remembered
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MOST_WORDS, LONGEST_WORD = 200_000, 48
+MOST_WORDS, LONGEST_WORD = 300_000, 48
 
 
 class Transducer:
@@ -63,7 +63,7 @@ class Transducer:
         self.output[self.unknown] = " ⁇ ".encode()
         longest = max(map(len, self.ids))
         if model.trainer_spec.model_type == 2:
-            self.paths = Paths(self.ids, lambda a, b: -scores[a + b] if a + b in scores else None, longest)
+            self.paths = Paths(self.ids, lambda a, b: -scores[a + b] if a + b in scores else None)
             self.shortest = self.paths.path
         elif model.trainer_spec.model_type == 1:
             least = min(scores.values()) - 10.0

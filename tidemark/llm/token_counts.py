@@ -51,22 +51,25 @@ class ByteLevel:
         if spec["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"] or model["type"] != "BPE":
             raise ValueError(f"{path}: not a plain byte-level BPE file")
         letters = _byte_letters()
-        back = lambda s: bytes(letters[c] for c in s)
+        back = lambda s: "".join(chr(letters[c]) for c in s)  # noqa: E731  one character for each byte
         special = {t["content"] for t in spec["added_tokens"]}
-        tokens = {back(t) for t in model["vocab"] if t not in special}
+        tokens = {back(t): i for t, i in model["vocab"].items() if t not in special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         ranks = {(back(a), back(b)): i for i, (a, b) in enumerate(merges)}
-        self.paths = Paths(tokens, lambda a, b: ranks.get((a, b)), max(map(len, tokens)))
+        self.paths = Paths(tokens, lambda a, b: ranks.get((a, b)))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
-        self.piece = Remembered(lambda p: self.paths.table(p.encode())[0][-1], MOST_RUNS)
+        self.piece = Remembered(self._piece, MOST_RUNS)
         self.run = Remembered(self._count, MOST_RUNS)  # keys lack the space that they begin with
 
+    def _piece(self, piece: str) -> int:
+        return self.paths.table(piece.encode().decode("latin-1"))[0][-1]
+
     def _count(self, run: str) -> int:
         return self.count_run(" " + run)
 
     def count_run(self, run: str) -> int:
-        return sum(self.piece[p] if len(p) <= LONGEST_RUN else self.paths.table(p.encode())[0][-1] for p in self.split(run))
+        return sum(self.piece[p] if len(p) <= LONGEST_RUN else self._piece(p) for p in self.split(run))
 
     def runs(self, text: str) -> list[str]:
         """The text cut before each single space between two characters that are no white space."""
