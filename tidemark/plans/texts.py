@@ -166,19 +166,19 @@ def _queries(v, n=6):
     return v.embeddings.where(F.col("vec_id") < n).select(F.concat(F.lit("Q"), F.col("vec_id").cast("string")).alias("item"), F.col("embedding").alias("query_vector"))
 
 
-@query("cosine_topk", f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1) SELECT chunk_index, token_count, ROUND({_DIST.format('embedding', 'e')}, 6) AS distance FROM document_embeddings, q WHERE ticker = 'T3' AND year = 1996 ORDER BY {_DIST.format('embedding', 'e')}, chunk_index LIMIT 20")
+@query("cosine_topk", f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1) SELECT chunk_index, token_count, ROUND({_DIST.format('embedding', 'e')}, 6) + 0.0 AS distance FROM document_embeddings, q WHERE ticker = 'T3' AND year = 1996 ORDER BY {_DIST.format('embedding', 'e')}, chunk_index LIMIT 20")
 def _(v):
     vector = v.embeddings.where("vec_id = 1").select("embedding").first()[0]
-    return R.cosine_top(v.document_embeddings, "T3", 1996, vector).select("chunk_index", "token_count", F.round("distance", 6).alias("distance"))
+    return R.cosine_top(v.document_embeddings, "T3", 1996, vector).select("chunk_index", "token_count", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 _NEAR = f"""q AS (SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS query_vector FROM embeddings WHERE vec_id < 6),
 near AS (SELECT ticker, year, item, chunk_index, chunk_text, {_DIST.format('embedding', 'query_vector')} AS distance FROM document_embeddings, q)"""
 
 
-@query("batched_topk", f"WITH {_NEAR} SELECT ticker, year, item, chunk_index, ROUND(distance, 6) AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY distance, chunk_index) AS INTEGER) AS rank FROM near QUALIFY rank <= 5")
+@query("batched_topk", f"WITH {_NEAR} SELECT ticker, year, item, chunk_index, ROUND(distance, 6) + 0.0 AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY distance, chunk_index) AS INTEGER) AS rank FROM near QUALIFY rank <= 5")
 def _(v):
-    return R.batched_top(v.document_embeddings, _queries(v), 5).select("ticker", "year", "item", "chunk_index", F.round("distance", 6).alias("distance"), "rank")
+    return R.batched_top(v.document_embeddings, _queries(v), 5).select("ticker", "year", "item", "chunk_index", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
 @query(
