@@ -19,6 +19,10 @@ class Remembered(dict):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
@@ -38,7 +42,7 @@ class Paths:
     that is no token stands alone and never merges.  One automaton finds all tokens that end at a place.
     """
 
-    def __init__(self, tokens: dict[str, int], rank: Callable, pairs: int = 1 << 18):
+    def __init__(self, tokens: dict[str, int], rank: Callable, pairs: int = 1 << 17):
         self.tokens, self.rank = tokens, rank
         self.names = {i: t for t, i in tokens.items()}
         self.width = max(tokens.values()) + 1

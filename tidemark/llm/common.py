@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,34 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Give a worker's free memory back; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def map_slices(df: DataFrame, work: Callable, schema, rows: int = 256, after: Callable | None = None) -> DataFrame:
+    """mapInArrow in slices of few rows, so a worker holds few texts at once; ``after`` ends each task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows):
+                    yield work(whole.slice(at, rows))
+        finally:
+            if after:
+                after()
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
 def text_bytes(column) -> list:
     """The UTF-8 bytes of an Arrow string column; null as empty."""
     import pyarrow as pa

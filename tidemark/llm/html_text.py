@@ -25,7 +25,6 @@ import math
 import random
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
+from .common import map_slices
 
 #: Fixed lists of HTML elements.
 BLOCK_TAGS = frozenset(
@@ -446,13 +446,10 @@ def extract_main_text(pages: DataFrame, id_column: str = "page_id", url_column:
     """(page_id, url, text, n_chars) for each row."""
     model = labeller()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = main_texts(batch.column(2).to_pylist(), model)
-                columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = main_texts(batch.column(2).to_pylist(), model)
+        columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
     chosen = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"))
-    return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_slices(chosen, work, "page_id long, url string, text string, n_chars long")

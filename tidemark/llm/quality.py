@@ -35,6 +35,8 @@ CUTOFF = 25.74
 STEPS = 3
 LEAST_VECTORS = 30
 MIN_WORDS = 50
+#: Groups whose estimates (a few hundred bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_GROUPS = 20_000
 SYMBOLS = "[#*$%&|<>]"
 
 DIMS = list(FLOORS)
@@ -174,7 +176,9 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def verdicts(counted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``counted`` (from with_counts, with q_own and q_lang) with q_d2 and q_kept."""
     estimate, stands = fit(counted)
-    by_group = stands.join(estimate, "q_group", "left").drop("q_group")
+    by_group = settle(stands.join(estimate, "q_group", "left").drop("q_group"))
+    if by_group.count() <= MOST_BROADCAST_GROUPS:
+        by_group = F.broadcast(by_group)
     out = _with_distance(counted.join(by_group, "q_own", "left"))
     kept = ~F.col("q_base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)
     return out.select(*counted.columns, F.col("d2").alias("q_d2"), kept.alias("q_kept"))

@@ -27,12 +27,14 @@ import random
 import re
 import string
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices
+
 #: Fixed patterns and lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -290,20 +292,19 @@ def _named(found: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, digests, names = ([], [], []), [], []
-            for text in batch.column(1).to_pylist():
-                base, found = spans(text or "")
-                for kind, column in enumerate(counts):
-                    column.append(sum(k == kind for _, k, _ in base))
-                digests.append(hashlib.sha256(_named(base).encode()).hexdigest())
-                names.append(_named(found))
-            columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(names, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts, digests, names = ([], [], []), [], []
+        for text in batch.column(1).to_pylist():
+            base, found = spans(text or "")
+            for kind, column in enumerate(counts):
+                column.append(sum(k == kind for _, k, _ in base))
+            digests.append(hashlib.sha256(_named(base).encode()).hexdigest())
+            names.append(_named(found))
+        columns = [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests), pa.array(names, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_slices(chosen, work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def masked(text: str, mask: str = "[SECRET]") -> str:
@@ -319,12 +320,11 @@ def masked(text: str, mask: str = "[SECRET]") -> str:
 def mask_secrets(docs: DataFrame, text_column: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with secrets masked in its text (null stays null), other columns as they are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_column)
-            texts = [None if t is None else masked(t, mask) for t in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index(text_column)
+        texts = [None if t is None else masked(t, mask) for t in batch.column(at).to_pylist()]
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_slices(docs, work, docs.schema)

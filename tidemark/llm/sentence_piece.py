@@ -19,7 +19,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Paths, Remembered
+from .common import map_slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MOST_WORDS, LONGEST_WORD = 300_000, 48
+MOST_WORDS, LONGEST_WORD = 200_000, 48
 
 
 class Transducer:
@@ -153,23 +153,19 @@ def encode_decode(docs: DataFrame, model: str = MODEL, id_column: str = "doc_id"
     The text is decoded from the ids again; restored: it is the normalised text.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = transducer(model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                flat, sizes, digests, restored = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    ids = own.encode(text or "")
-                    back = own.decode(ids)
-                    flat.append(np.array(ids, np.int32))
-                    sizes.append(len(ids))
-                    digests.append(hashlib.sha256(back.encode()).hexdigest())
-                    restored.append(back == own.normalised(text or ""))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
-                columns = [batch.column(0), pa.array(sizes, pa.int64()), lists, pa.array(digests), pa.array(restored)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids", "decoded_sha256", "restored"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, flat, sizes, digests, restored = transducer(model), [], [], [], []
+        for text in batch.column(1).to_pylist():
+            ids = own.encode(text or "")
+            back = own.decode(ids)
+            flat.append(np.array(ids, np.int32))
+            sizes.append(len(ids))
+            digests.append(hashlib.sha256(back.encode()).hexdigest())
+            restored.append(back == own.normalised(text or ""))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), lists, pa.array(digests), pa.array(restored)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_ids", "ids", "decoded_sha256", "restored"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, restored boolean")
+    return map_slices(chosen, work, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, restored boolean", after=lambda: transducer(model).word.forget())

@@ -15,8 +15,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -24,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, text_bytes
+from .common import map_slices, settle, text_bytes
 
 BITS = 64
 #: Bits of the trie that the first step takes, and each further step for pairs that are too large.
@@ -56,14 +54,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id long, fp long): the fingerprint's 64 bits as a signed long."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [fingerprint(x, shingle) for x in text_bytes(batch.column(1))]
-            bits = np.array(values, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "fp"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = [fingerprint(x, shingle) for x in text_bytes(batch.column(1))]
+        bits = np.array(values, np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "fp"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    return map_slices(chosen, work, "doc_id long, fp long")
 
 
 def _masks(bits: int, budget: int) -> list[int]:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import functools
 import json
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Paths, Remembered
+from .common import map_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -151,19 +151,17 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     limit_chars: code points of the text's longest prefix of whole runs with at most ``limit`` tokens.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(tokenizer)
-        for batch in batches:
-            sizes, counts, cuts = [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                chars, tokens = own.sums(text)
-                counts.append(n := sum(tokens))
-                sizes.append(len(text.encode()))
-                cuts.append(len(text) if n <= limit else sum(chars[: int(np.searchsorted(np.cumsum(tokens), limit, "right"))]))
-            over = [n > limit for n in counts]
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(over), pa.array(cuts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, sizes, counts, cuts = coder(tokenizer), [], [], []
+        for text in batch.column(1).to_pylist():
+            text = text or ""
+            chars, tokens = own.sums(text)
+            counts.append(n := sum(tokens))
+            sizes.append(len(text.encode()))
+            cuts.append(len(text) if n <= limit else sum(chars[: int(np.searchsorted(np.cumsum(tokens), limit, "right"))]))
+        over = [n > limit for n in counts]
+        columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(over), pa.array(cuts, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+    return map_slices(chosen, work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
