@@ -64,7 +64,7 @@ def test_garbled(spark, token, garbled):
 
 def test_quality_status(spark):
     good = "Báo cáo thường niên của công ty năm nay trình bày kết quả kinh doanh\n" * 20
-    spaced = "V i e t N a m c o n g t y b a o c a o\n"
+    spaced = "V i e t N a m c o n g t y b a o c a o xong\n"
     rows = [("good", good), ("empty", ""), (None, None), ("spaced", spaced * 4 + good), ("garbled", ("ph6ng " * 6 + good) * 3), ("short", "a b c d")]
     got = {r.k: r for r in Q.quality(spark.createDataFrame(rows, "k string, content string")).collect()}
     assert [got[k].quality_status for k in ("good", "empty", None, "spaced", "garbled", "short")] == ["pass", "pass", "pass", "fail", "fail", "fail"]
@@ -201,3 +201,43 @@ def test_streams(spark, tmp_path):
     query = ingest.event_counts(stream).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("counts").agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_schema_and_embedding(spark):
+    from tidemark import schema
+    from tidemark.operators import embedding as E
+
+    assert len(schema.TABLES) == 33 and all(set(schema.key_of(t)) <= set(schema.schema_of(t).names) for t in schema.TABLES)
+    old = spark.createDataFrame([("A", 2020, "x")], "ticker string, year int, source_path string")
+    row = schema.evolved(old, "conversion_jobs").first()
+    assert row.status == "pending" and row.force_ocr is False and row.source_path == "x"
+
+    def small(texts):
+        if sum(len(t.split()) for t in texts) > 4:
+            raise E.TooLarge
+        return E.hashed(texts, 4)
+
+    assert len(E.embed_all(["a b c", "d e f", "g h i j k l m"], small, 8)) == 3
+    reports = spark.createDataFrame([("A", 1, "one two three"), ("B", 1, "four")], "ticker string, year int, content string")
+    done = reports.where("ticker = 'B'")
+    assert [(r.ticker, len(r.embedding)) for r in E.embed_reports(reports, done).collect()] == [("A", 64)]
+    asked = spark.createDataFrame([("Q", "a b", ["c"]), ("R", "a", None)], "item string, criterion string, hypotheses array<string>")
+    assert {r.item: len(r.query_vector) for r in E.query_vectors(asked).collect()} == {"Q": 64, "R": 64}
+
+
+def test_refined_rosters(spark):
+    from tidemark.operators.rosters import refined
+
+    people = {
+        "GOV_DIRECTORY": [{"name": "A", "position": "Chủ tịch HĐQT", "is_independent": True, "gender": "male"}, {"name": "B", "role": "Thành viên HĐQT độc lập", "gender": " Female"}],
+        "GOV_EXECUTIVE": [{"name": "C", "position": "Tổng Giám đốc", "notes": "thành viên HĐQT"}, {"name": "D", "position": "Trưởng BKS"}, {"name": "", "position": "CEO"}, {"name": "E", "position": "Kế toán trưởng"}],
+        "GOV_SUPERVISORY": [{"name": "F", "position": "Trưởng ban"}, {"name": "G", "position": "Kế toán trưởng"}],
+        "GOV_AUDIT": [{"name": "H", "role": "Signing auditor"}, {"name": "I", "role": "BKS"}],
+    }
+    rows = [(c, json.dumps(p)) for c, p in people.items()] + [("GOV_DIRECTORY", None), ("GOV_DIRECTORY", "null")]
+    got = refined(spark.createDataFrame(rows, "item_code string, details_json string")).collect()
+    d, e, s, a = got[:4]
+    assert (d.total_members, d.independent_count, d.chair_name, d.women_count, d.men_count) == (2, 1, "A", 1, 1)
+    assert (e.total_members, e.ceo_name, e.chief_accountant_name, e.board_member_count) == (2, "C", "E", 1)
+    assert (s.total_members, s.removed_members) == (1, 1) and a.signing_auditor_names == ["H"]
+    assert [r.total_members for r in got[4:]] == [0, 0]

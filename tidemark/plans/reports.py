@@ -104,11 +104,11 @@ def _(v):
 @query(
     "company_counts",
     """SELECT ticker, floor, company_name, (SELECT COUNT(*) FROM financial_statements f WHERE f.code = c.ticker) AS statements, (SELECT COUNT(*) FROM financial_ratios f WHERE f.code = c.ticker) AS ratios,
-  (SELECT COUNT(*) FROM vietstock_documents f WHERE f.ticker = c.ticker) AS documents, (SELECT COUNT(*) FROM conversion_jobs f WHERE f.ticker = c.ticker) AS jobs, (SELECT COUNT(*) FROM annual_reports f WHERE f.ticker = c.ticker) AS reports
+  (SELECT COUNT(*) FROM listed_documents f WHERE f.ticker = c.ticker) AS documents, (SELECT COUNT(*) FROM conversion_jobs f WHERE f.ticker = c.ticker) AS jobs, (SELECT COUNT(*) FROM annual_reports f WHERE f.ticker = c.ticker) AS reports
 FROM companies c LEFT JOIN stocks s ON s.code = c.ticker""",
 )
 def _(v):
-    facts = {"statements": v.financial_statements, "ratios": v.financial_ratios, "documents": v.vietstock_documents, "jobs": v.conversion_jobs, "reports": v.annual_reports}
+    facts = {"statements": v.financial_statements, "ratios": v.financial_ratios, "documents": v.listed_documents, "jobs": v.conversion_jobs, "reports": v.annual_reports}
     return D.company_counts(v.companies, v.stocks, facts)
 
 
@@ -174,33 +174,33 @@ _X = YEAR.replace("title", "x.title")
 @query(
     "job_matrix",
     f"""
-WITH u AS (SELECT ticker, year FROM annual_reports UNION SELECT ticker, {YEAR} AS year FROM vietstock_documents UNION SELECT ticker, year FROM conversion_jobs UNION SELECT ticker, year FROM document_embeddings)
-SELECT ticker, year, {_exists('vietstock_documents', "AND doc_type = '2'", _X)} AS annual_listed, {_exists('vietstock_documents', "AND doc_type = '1'", _X)} AS financial_statement_listed,
-  {_exists('vietstock_documents', "AND doc_type = '2' AND synced_to_raw", _X)} AS annual_downloaded, {_exists('vietstock_documents', "AND doc_type = '1' AND synced_to_raw", _X)} AS financial_statement_downloaded,
+WITH u AS (SELECT ticker, year FROM annual_reports UNION SELECT ticker, {YEAR} AS year FROM listed_documents UNION SELECT ticker, year FROM conversion_jobs UNION SELECT ticker, year FROM document_embeddings)
+SELECT ticker, year, {_exists('listed_documents', "AND doc_type = '2'", _X)} AS annual_listed, {_exists('listed_documents', "AND doc_type = '1'", _X)} AS financial_statement_listed,
+  {_exists('listed_documents', "AND doc_type = '2' AND synced_to_raw", _X)} AS annual_downloaded, {_exists('listed_documents', "AND doc_type = '1' AND synced_to_raw", _X)} AS financial_statement_downloaded,
   {_exists('conversion_jobs', "AND status = 'completed'")} AS converted, {_exists('annual_reports')} AS loaded, {_exists('document_embeddings')} AS embedded,
   {_exists('inference_jobs', "AND status = 'completed'")} AS edc_done, {_exists('proper_vn_jobs', "AND status = 'completed'")} AS proper_done, {_exists('governance_jobs', "AND status = 'completed'")} AS governance_done
 FROM u WHERE ticker IS NOT NULL AND ticker <> '' AND year BETWEEN 1996 AND 2000""",
 )
 def _(v):
     jobs = {"edc": v.inference_jobs, "proper": v.proper_vn_jobs, "governance": v.governance_jobs}
-    return D.job_matrix(v.vietstock_documents, v.conversion_jobs, v.annual_reports, v.document_embeddings, jobs, 1996, 2000)
+    return D.job_matrix(v.listed_documents, v.conversion_jobs, v.annual_reports, v.document_embeddings, jobs, 1996, 2000)
 
 
-@query("tickers_without_jobs", f"SELECT DISTINCT ticker, {YEAR} AS year FROM vietstock_documents d WHERE doc_type = '2' AND {YEAR} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversion_jobs c WHERE c.ticker = d.ticker AND c.year = {YEAR})")
+@query("tickers_without_jobs", f"SELECT DISTINCT ticker, {YEAR} AS year FROM listed_documents d WHERE doc_type = '2' AND {YEAR} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM conversion_jobs c WHERE c.ticker = d.ticker AND c.year = {YEAR})")
 def _(v):
-    return D.tickers_without_jobs(v.vietstock_documents, v.conversion_jobs)
+    return D.tickers_without_jobs(v.listed_documents, v.conversion_jobs)
 
 
 _GAP = f"""
-t AS (SELECT ticker FROM companies UNION SELECT ticker FROM annual_reports UNION SELECT ticker FROM conversion_jobs UNION SELECT ticker FROM vietstock_documents),
-d AS (SELECT ticker, MAX({YEAR}) AS y FROM vietstock_documents GROUP BY 1), j AS (SELECT ticker, MAX(year) AS y FROM conversion_jobs GROUP BY 1), l AS (SELECT ticker, MAX(year) AS y FROM annual_reports GROUP BY 1),
+t AS (SELECT ticker FROM companies UNION SELECT ticker FROM annual_reports UNION SELECT ticker FROM conversion_jobs UNION SELECT ticker FROM listed_documents),
+d AS (SELECT ticker, MAX({YEAR}) AS y FROM listed_documents GROUP BY 1), j AS (SELECT ticker, MAX(year) AS y FROM conversion_jobs GROUP BY 1), l AS (SELECT ticker, MAX(year) AS y FROM annual_reports GROUP BY 1),
 e AS (SELECT t.ticker, GREATEST(COALESCE(d.y, 0), COALESCE(j.y, 0)) AS expected_latest_year, COALESCE(l.y, 0) AS loaded_latest_year FROM t LEFT JOIN d USING (ticker) LEFT JOIN j USING (ticker) LEFT JOIN l USING (ticker)),
 gap AS (SELECT e.*, c.status AS expected_job_status, c.source_path AS expected_source_path FROM e LEFT JOIN conversion_jobs c ON c.ticker = e.ticker AND c.year = e.expected_latest_year WHERE expected_latest_year > 0)"""
 
 
 @query("report_gap", f"WITH {_GAP} SELECT * FROM gap")
 def _(v):
-    return D.report_gap(v.companies, v.vietstock_documents, v.conversion_jobs, v.annual_reports)
+    return D.report_gap(v.companies, v.listed_documents, v.conversion_jobs, v.annual_reports)
 
 
 @query(
@@ -208,7 +208,7 @@ def _(v):
     f"WITH {_GAP} SELECT *, TRUE AS is_missing, expected_latest_year AS missing_year, COALESCE(expected_source_path, '') <> '' AS has_source FROM gap WHERE ticker LIKE '%1%' AND loaded_latest_year < expected_latest_year",
 )
 def _(v):
-    return D.gap_flags(D.report_gap(v.companies, v.vietstock_documents, v.conversion_jobs, v.annual_reports), "1", True)
+    return D.gap_flags(D.report_gap(v.companies, v.listed_documents, v.conversion_jobs, v.annual_reports), "1", True)
 
 
 @query("report_pairs", "SELECT DISTINCT ticker, year FROM document_embeddings INTERSECT SELECT ticker, year FROM financial_statement_document_embeddings")
@@ -270,24 +270,24 @@ _OUT = "CASE WHEN id % 2 = 0 THEN 'markdown' ELSE 'text' END"
 
 @query(
     "doc_job_status",
-    f"""WITH c AS (SELECT ticker, {YEAR} AS year, COUNT(*) AS documents, COUNT(*) FILTER (synced_to_raw) AS synced FROM vietstock_documents WHERE {YEAR} IS NOT NULL GROUP BY ALL)
+    f"""WITH c AS (SELECT ticker, {YEAR} AS year, COUNT(*) AS documents, COUNT(*) FILTER (synced_to_raw) AS synced FROM listed_documents WHERE {YEAR} IS NOT NULL GROUP BY ALL)
 SELECT c.*, j.status AS job_status FROM c LEFT JOIN (SELECT *, {_OUT} AS output_dir FROM conversion_jobs) j ON j.ticker = c.ticker AND j.year = c.year AND j.output_dir = 'markdown'""",
 )
 def _(v):
-    return D.document_job_status(v.vietstock_documents, v.conversion_jobs.withColumn("output_dir", F.expr(_OUT)), "markdown")
+    return D.document_job_status(v.listed_documents, v.conversion_jobs.withColumn("output_dir", F.expr(_OUT)), "markdown")
 
 
 @query(
     "duplicate_docs",
-    "WITH k AS (SELECT file_info_id, MIN(id) AS keep_id, COUNT(*) AS copies FROM vietstock_documents WHERE file_info_id IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1) SELECT d.id, d.file_info_id, keep_id, copies FROM vietstock_documents d JOIN k USING (file_info_id) WHERE d.id <> keep_id",
+    "WITH k AS (SELECT file_info_id, MIN(id) AS keep_id, COUNT(*) AS copies FROM listed_documents WHERE file_info_id IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1) SELECT d.id, d.file_info_id, keep_id, copies FROM listed_documents d JOIN k USING (file_info_id) WHERE d.id <> keep_id",
 )
 def _(v):
-    return D.duplicate_documents(v.vietstock_documents)
+    return D.duplicate_documents(v.listed_documents)
 
 
-@query("doc_tracking", "SELECT doc_type, COUNT(*) AS total, COUNT(*) FILTER (synced_to_raw) AS synced, COUNT(*) FILTER (NOT synced_to_raw) AS unsynced, COUNT(DISTINCT ticker) AS tickers, MAX(published_date) AS latest FROM vietstock_documents GROUP BY 1")
+@query("doc_tracking", "SELECT doc_type, COUNT(*) AS total, COUNT(*) FILTER (synced_to_raw) AS synced, COUNT(*) FILTER (NOT synced_to_raw) AS unsynced, COUNT(DISTINCT ticker) AS tickers, MAX(published_date) AS latest FROM listed_documents GROUP BY 1")
 def _(v):
-    return D.document_tracking(v.vietstock_documents)
+    return D.document_tracking(v.listed_documents)
 
 
 @query(
@@ -303,9 +303,9 @@ def _(v):
     return D.table_counts({"stocks": v.stocks, "ratios": v.financial_ratios, "chunks": v.document_embeddings})
 
 
-@query("latest_doc", "SELECT ticker, id, title, published_date, raw_path FROM vietstock_documents WHERE doc_type = '2' AND synced_to_raw QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_date DESC, id DESC) = 1")
+@query("latest_doc", "SELECT ticker, id, title, published_date, raw_path FROM listed_documents WHERE doc_type = '2' AND synced_to_raw QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY published_date DESC, id DESC) = 1")
 def _(v):
-    return D.latest_document(v.vietstock_documents)
+    return D.latest_document(v.listed_documents)
 
 
 @query("company_sync", "WITH s AS (SELECT DISTINCT upper(code) AS t FROM stocks WHERE floor IN ('HOSE')) SELECT COUNT(*) AS matched, COUNT(*) FILTER (c.ticker IS NULL) AS added, COUNT(c.ticker) AS existing FROM s LEFT JOIN companies c ON c.ticker = t")
@@ -315,11 +315,11 @@ def _(v):
 
 @query(
     "download_rank",
-    f"""WITH d AS (SELECT id, ticker, {YEAR} AS year, published_date, 0 AS score FROM vietstock_documents)
+    f"""WITH d AS (SELECT id, ticker, {YEAR} AS year, published_date, 0 AS score FROM listed_documents)
 SELECT id, ticker, year, score, year IS NULL AS no_year, MIN(id) OVER (PARTITION BY ticker, year) AS arrival, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY score DESC, published_date DESC NULLS LAST, id DESC) AS INTEGER) AS place FROM d""",
 )
 def _(v):
-    return D.download_order(v.vietstock_documents)
+    return D.download_order(v.listed_documents)
 
 
 @query(

@@ -36,14 +36,14 @@ def _(v):
 @query(
     "title_year",
     """SELECT id, title, TRY_CAST(regexp_extract(title, '([0-9]{4})', 1) AS INTEGER) AS title_year, TRY_CAST(regexp_extract(raw_path, '(20[0-9]{2})', 1) AS INTEGER) AS file_year,
-  upper(trim(ticker)) AS ticker_upper, lower(title) LIKE '%nam%' AS names_year FROM vietstock_documents""",
+  upper(trim(ticker)) AS ticker_upper, lower(title) LIKE '%nam%' AS names_year FROM listed_documents""",
 )
 def _(v):
-    return v.vietstock_documents.select("id", "title", X.title_year(F.col("title")).alias("title_year"), X.markdown_year(F.col("raw_path")).alias("file_year"), F.upper(F.trim("ticker")).alias("ticker_upper"), F.lower("title").contains("nam").alias("names_year"))
+    return v.listed_documents.select("id", "title", X.title_year(F.col("title")).alias("title_year"), X.markdown_year(F.col("raw_path")).alias("file_year"), F.upper(F.trim("ticker")).alias("ticker_upper"), F.lower("title").contains("nam").alias("names_year"))
 
 
 _TITLE = "CASE id % 5 WHEN 0 THEN 'Báo cáo tài chính hợp nhất kiểm toán năm 2020' WHEN 1 THEN 'Giải trình BCTC kiểm toán' WHEN 2 THEN 'Thuyết minh báo cáo tài chính' WHEN 3 THEN title ELSE 'BCTC quý 2 soát xét' END"
-_T = "t AS (SELECT id, replace(strip_accents(lower(trim(" + _TITLE + "))), 'đ', 'd') AS t FROM vietstock_documents)"
+_T = "t AS (SELECT id, replace(strip_accents(lower(trim(" + _TITLE + "))), 'đ', 'd') AS t FROM listed_documents)"
 _SCORE = " + ".join([f"CASE WHEN t LIKE '%{w}%' THEN {p} ELSE 0 END" for w, p in X.TITLE_POINTS.items()] + [f"CASE WHEN t LIKE '%{w}%' THEN -80 ELSE 0 END" for w in X.NOTICE_WORDS])
 _BLOCKED = " OR ".join(f"t LIKE '%{w}%'" for w in [*X.NOTICE_WORDS, "thuyet minh"])
 
@@ -55,7 +55,7 @@ _BLOCKED = " OR ".join(f"t LIKE '%{w}%'" for w in [*X.NOTICE_WORDS, "thuyet minh
 )
 def _(v):
     t = F.expr(_TITLE)
-    return v.vietstock_documents.select("id", X.title_quality(t).alias("score"), X.preferred_title(t).alias("preferred"), X.audited_annual(t, F.lit(None).cast("string")).alias("audited_annual"))
+    return v.listed_documents.select("id", X.title_quality(t).alias("score"), X.preferred_title(t).alias("preferred"), X.audited_annual(t, F.lit(None).cast("string")).alias("audited_annual"))
 
 
 @query("firm_age", "SELECT ticker, CASE WHEN first_event_year IS NOT NULL THEN greatest(0, 2026 - first_event_year) END AS firm_age FROM company_history_summary")
@@ -441,9 +441,9 @@ def _(v):
     return U.create_jobs(v.document_embeddings, v.inference_jobs, "gpt-4.1-mini", True)
 
 
-@query("delete_cascade", "SELECT 'reports' AS table_name, COUNT(*) FILTER (ticker IN ('T1', 'T7')) AS deleted FROM annual_reports UNION ALL SELECT 'documents', COUNT(*) FILTER (ticker IN ('T1', 'T7')) FROM vietstock_documents UNION ALL SELECT 'ratios', COUNT(*) FILTER (code IN ('T1', 'T7')) FROM financial_ratios")
+@query("delete_cascade", "SELECT 'reports' AS table_name, COUNT(*) FILTER (ticker IN ('T1', 'T7')) AS deleted FROM annual_reports UNION ALL SELECT 'documents', COUNT(*) FILTER (ticker IN ('T1', 'T7')) FROM listed_documents UNION ALL SELECT 'ratios', COUNT(*) FILTER (code IN ('T1', 'T7')) FROM financial_ratios")
 def _(v):
-    return U.delete_where({"reports": v.annual_reports, "documents": v.vietstock_documents, "ratios": v.financial_ratios}, ["T1", "T7"], {"ratios": "code"})[1]
+    return U.delete_where({"reports": v.annual_reports, "documents": v.listed_documents, "ratios": v.financial_ratios}, ["T1", "T7"], {"ratios": "code"})[1]
 
 
 @query("delete_jobs", "SELECT r.ticker, r.year, r.category_code FROM inference_results_hyde2 r WHERE NOT EXISTS (SELECT 1 FROM inference_jobs j WHERE j.ticker = r.ticker AND j.year = r.year AND j.model = r.model AND j.status = 'failed')")
@@ -521,3 +521,14 @@ def _(v):
 def _(v):
     raw = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN '{"is_present": true, "evidence_level": "quantified", "reason": "r"}' WHEN 1 THEN 'x{' ELSE '{}' END""")
     return v.orders.select(F.col("o_orderkey").alias("id"), S.proper_answer(raw).alias("a")).select("id", "a.*")
+
+
+@query(
+    "refined_rosters",
+    """SELECT ticker, year, item_code, CAST(CASE WHEN item_code = 'GOV_EXECUTIVE' THEN 0 ELSE json_array_length(COALESCE(details_json, '[]')) END AS INTEGER) AS total_members,
+  CAST(CASE WHEN item_code IN ('GOV_EXECUTIVE', 'GOV_DIRECTORY') THEN 0 ELSE (SELECT COUNT(*) FROM json_each(COALESCE(details_json, '[]')) j WHERE json_extract_string(j.value, '$.is_independent') = 'true') END AS INTEGER) AS independent_count FROM governance_results_hyde2""",
+)
+def _(v):
+    from ..operators.rosters import refined
+
+    return refined(v.governance_results_hyde2).select("ticker", "year", "item_code", "total_members", "independent_count")

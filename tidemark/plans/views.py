@@ -18,7 +18,7 @@ FROM customer
     "companies": """
 SELECT CONCAT('T', CAST(c_custkey AS STRING)) AS ticker FROM customer WHERE c_custkey % 7 <> 0
 """,
-    "vietstock_documents": """
+    "listed_documents": """
 SELECT o_orderkey AS id, CONCAT('T', CAST(o_custkey AS STRING)) AS ticker,
   CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE '1' END AS doc_type,
   CASE WHEN o_orderkey % 11 = 0 THEN 'Bao cao khong ro ky' ELSE CONCAT('Bao cao thuong nien nam ', CAST(year(o_orderdate) AS STRING)) END AS title,
