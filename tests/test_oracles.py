@@ -48,7 +48,7 @@ def test_query(name, spark, duck):
 
 @pytest.mark.parametrize("name", sorted(VIEWS))
 def test_views_agree(name, spark, duck):
-    assert getattr(Views(spark, SF), name).count() == duck.sql(f"SELECT COUNT(*) FROM ({VIEWS[name]})").fetchone()[0]
+    assert getattr(Views(spark, SF), name).count() == duck.sql(f"SELECT COUNT(*) FROM ({VIEWS[name]})").fetchall()[0][0]
 
 
 def test_plans_push_down(spark):
