@@ -131,11 +131,11 @@ def _estimates(chosen: DataFrame) -> DataFrame:
     return out.select("q_group", *[f"m_{i}" for i in range(p)], *[f"k_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
-def _nearest_half(measured: DataFrame) -> DataFrame:
+def _nearest_half(measured: DataFrame, hint) -> DataFrame:
     """The vectors whose d2 is at most their group's median, which is exact on a fine scale of its logarithm."""
     measured = measured.withColumn("rank", F.floor(200 * F.log1p("d2")))
     half = measured.groupBy("q_group").agg(F.percentile("rank", F.lit(0.5)).alias("half"))
-    return measured.join(half, "q_group").where("rank <= half").select("q_group", *DIMS)
+    return measured.join(hint(half), "q_group").where("rank <= half").select("q_group", *DIMS)
 
 
 def fit(counted: DataFrame, steps: int = STEPS, least: int = LEAST_VECTORS) -> tuple[DataFrame, DataFrame]:
@@ -146,11 +146,13 @@ def fit(counted: DataFrame, steps: int = STEPS, least: int = LEAST_VECTORS) -> t
     levels = vectors.select(F.col("q_own").alias("q_group"), *DIMS)
     levels = levels.unionByName(wide.select(F.concat(F.lit("*"), "q_lang").alias("q_group"), *DIMS)).unionByName(everything)
     levels = settle(levels)
-    counts = levels.groupBy("q_group").count()
+    counts = settle(levels.groupBy("q_group").count())
+    # a hot group's vectors stay where they are while groups are few: what is joined has a row for each group
+    hint = F.broadcast if counts.count() <= MOST_BROADCAST_GROUPS else lambda df: df
     large = counts.where(F.col("count") >= least).select("q_group")
     medians = [F.percentile(a, F.lit(0.5)).alias(f"m_{i}") for i, a in enumerate(DIMS)]
     centre = levels.groupBy("q_group").agg(*medians)
-    apart = levels.join(centre, "q_group")
+    apart = levels.join(hint(centre), "q_group")
     apart = apart.groupBy("q_group").agg(*[F.percentile(F.abs(F.col(a) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"a_{i}") for i, a in enumerate(DIMS)])
     p = len(DIMS)
     start = centre.join(apart, "q_group").select(
@@ -160,7 +162,7 @@ def fit(counted: DataFrame, steps: int = STEPS, least: int = LEAST_VECTORS) -> t
     )
     estimate = settle(start)
     for _ in range(steps):
-        estimate = settle(_estimates(_nearest_half(_with_distance(levels.join(estimate, "q_group")))))
+        estimate = settle(_estimates(_nearest_half(_with_distance(levels.join(hint(estimate), "q_group")), hint)))
     groups = counted.select("q_own", "q_lang").distinct()
     own, lang, whole = large.withColumnRenamed("q_group", "own"), large.withColumnRenamed("q_group", "lang"), large.withColumnRenamed("q_group", "whole")
     groups = groups.join(own, F.col("q_own") == F.col("own"), "left").join(lang, F.concat(F.lit("*"), "q_lang") == F.col("lang"), "left")
