@@ -224,7 +224,11 @@ def keep_one(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
     Where several rows carry that id, one of them stays.  No id can name a row whose id is null: one such
     row stays for each distinct text.  Columns stay as they are.
     """
-    found = near_duplicates(docs, budget, shingle)
+    return kept_rows(docs, near_duplicates(docs, budget, shingle))
+
+
+def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, given (doc_id, component_id) of each row."""
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("keep_id")).count()
     kept = settle(kept)
     once = docs.join(kept.where("count = 1").select("keep_id"), F.col("doc_id") == F.col("keep_id"), "left_semi")
