@@ -11,6 +11,11 @@ Characters are read as classes (capital, small, digit, the sign itself); the fir
 keep the character where a format fixes it there.  Labelled strings are drawn with a fixed seed from
 published credential formats, ``LABELLED`` of each kind; the corpus has no credential labels.
 
+A run that is no credential as a whole, or that base patterns have parts of, is searched for credentials inside:
+a sub-candidate starts where a free piece does or after one of ``SEPARATORS`` (never with one) and ends before one or with the
+piece.  Of all sets of accepted ones that don't overlap, the one with the largest sum of log ratios above the
+threshold is taken, in one pass over the piece.
+
 Base patterns: assignments, access keys and long hexadecimal runs, as leftmost matches.  What the
 automata accept is added as kind ``format`` where no base match overlaps it.
 
@@ -43,6 +48,10 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 LEAST_FORMAT = 20
+#: What may set a credential off within a run, and what is trimmed from the ends of one.
+SEPARATORS, TRIMMED = "=/.", ".=-_+/"
+#: The most parts that separators make of a credential.
+PARTS = 3
 
 LABELLED, LITERAL, CONFIDENCE = 400, 5, 0.01
 SEED = 7
@@ -222,10 +231,14 @@ class Background:
                 ones[a] += 1
         self.pairs, self.ones = pairs, ones
 
+    def step(self, before: str, c: str) -> float:
+        """Log likelihood of the class c after another; "" is the start or the end."""
+        return math.log((self.pairs.get((before, c), 0) + 0.5) / (self.ones.get(before, 0) + 35.0))
+
     def likelihood(self, text: str) -> float:
         out, before = 0.0, ""
         for c in [*map(_class, text), ""]:
-            out += math.log((self.pairs[before, c] + 0.5) / (self.ones[before] + 35.0))
+            out += self.step(before, c)
             before = c
         return out
 
@@ -250,6 +263,59 @@ class Grammar:
             return False
         return self.score(text) > self.threshold
 
+    def inside(self, text: str) -> list[tuple[int, int]]:
+        """The best set, with up to ``PARTS`` neighbours as one where an accepted sub-candidate spans them."""
+        found, out, i = self.best_set(text), [], 0
+        while i < len(found):
+            last = next((j for j in range(min(i + PARTS, len(found)) - 1, i, -1) if self.accepts(text[found[i][0] : found[j][1]])), i)
+            out.append((found[i][0], found[last][1]))
+            i = last + 1
+        return out
+
+    def best_set(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the accepted sub-candidates, none overlapping, with the largest sum of (score - threshold) * (length + 1).
+
+        A walk is an automaton's way from a start; of walks that have the same future only the best goes on.
+        """
+        n = len(text)
+        if n < LEAST_FORMAT or not (any(c.isdigit() for c in text) and any(c.isupper() for c in text) and any(c.islower() for c in text)):
+            return []
+        first = n - len(text.lstrip(TRIMMED))
+        automata, classes = list(self.automata.values()), [_class(c) for c in text]
+        best, taken = [0.0] * (n + 1), [-1] * (n + 1)
+        walks: dict[tuple[int, int, int, int], tuple[float, int]] = {}  # (automaton, state, length, kinds seen): (-sum, start)
+        for i in range(n + 1):
+            if i:
+                best[i] = best[i - 1]
+                if walks and (i == n or text[i] in SEPARATORS):
+                    end = self.background.step(classes[i - 1], "") + self.threshold
+                    for (k, state, length, seen), (cost, start) in walks.items():
+                        if length == LEAST_FORMAT and seen == 7 and (total := automata[k].log[state, ""][0] - end - cost) > best[i]:
+                            best[i], taken[i] = total, start
+            if i == n:
+                break
+            if text[i] not in SEPARATORS and (i in (0, first) or text[i - 1] in SEPARATORS):
+                walks |= {(k, 0, 0, 0): (-best[i], i) for k in range(len(automata))}
+            c, now = classes[i], {}
+            kind = {"A": 1, "a": 2, "0": 4}.get(c, 0)
+            for (k, state, length, seen), (cost, start) in walks.items():
+                own = automata[k]
+                letter = "=" + text[i] if length < LITERAL and text[i] in own.fixed.get(length, ()) else c
+                step = own.log.get((state, letter))
+                if step is not None:
+                    cost += self.background.step(classes[i - 1] if length else "", c) + self.threshold - step[0]
+                    key = (k, step[1], min(length + 1, LEAST_FORMAT), seen | kind)
+                    now[key] = min(now.get(key, (math.inf, 0)), (cost, start))
+            walks = now
+        out, i = [], n
+        while i:
+            if taken[i] >= 0:
+                out.append((taken[i], i))
+                i = taken[i]
+            else:
+                i -= 1
+        return out[::-1]
+
 
 @functools.lru_cache(maxsize=1)
 def grammar() -> Grammar:
@@ -278,10 +344,16 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     base = base_spans(text, runs)
     added = []
     for a, b in runs:
-        while b > a and text[b - 1] in ".=-_+/":
-            b -= 1
-        if b - a >= LEAST_FORMAT and not any(s < b and a < e for s, _, e in base) and grammar().accepts(text[a:b]):
-            added.append((a, 3, b))
+        over = [(s, e) for s, _, e in base if s < b and a < e]
+        end = a + len(text[a:b].rstrip(TRIMMED))
+        if not over and end - a >= LEAST_FORMAT and grammar().accepts(text[a:end]):
+            added.append((a, 3, end))
+            continue
+        for s, e in [*over, (b, b)]:  # the pieces that base spans leave free
+            piece = text[a:s].rstrip(TRIMMED) if s - a >= LEAST_FORMAT else ""
+            if len(piece) >= LEAST_FORMAT:
+                added += [(a + i, 3, a + j) for i, j in grammar().inside(piece)]
+            a = max(a, e)
     return base, sorted(base + added) if added else base
 
 
