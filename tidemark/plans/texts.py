@@ -29,8 +29,8 @@ def _tagged(v):
 
 @query("accent_norm", f"WITH {_sql(TAGGED)} SELECT doc_id, strip_accents(substr(chunk_text, 1, 300)) AS plain, replace(replace(strip_accents(substr(chunk_text, 1, 300)), 'đ', 'd'), 'Đ', 'D') AS plain_d FROM tagged")
 def _(v):
-    head = F.substring("chunk_text", 1, 300)
-    return _tagged(v).select("doc_id", X.strip_accents(head).alias("plain"), X.strip_accents(head, True).alias("plain_d"))
+    text = F.col("chunk_text")
+    return _tagged(v).select("doc_id", X.strip_accents(text).alias("plain"), X.strip_accents(text, True).alias("plain_d"))
 
 
 @query(
