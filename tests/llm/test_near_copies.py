@@ -71,3 +71,34 @@ def test_large_group_and_odd_rows(spark):
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (None, "a text without any id at all"), (None, "a text without any id at all"), (1004, "c d")]
     kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted(["0", "1000", "1002", "1004", "None"])
+
+
+def test_two_large_families_in_shared_buckets(monkeypatch, spark):
+    """Members that only meet the other family beyond the first leaders are linked as well."""
+    monkeypatch.setattr(near_copies, "LEADERS", 1)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    chain = []
+    for i in range(40):  # neighbours are near copies, ends are not
+        words = list(words)
+        words[i] = f"x{i}"
+        chain.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(chain)], "doc_id long, text string")
+    assert [r.component_id for r in near_copies.near_copies(docs).orderBy("doc_id").collect()] == components(chain)
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(60))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (9, text("f")), (9, text("f"))]
+    names = ["keep_id", "i", "rk1", "k1", "k2", "row", "label", "node", "component_id", "count", "copies", "stays", "id", "u"]
+    docs = spark.createDataFrame([(*r, *[f"{n}{at}" for n in names]) for at, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    from tidemark.llm import simhash
+
+    for keep in (near_copies.keep_one, simhash.keep_one):
+        kept = keep(docs)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(1, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (9, text("f"))]))
+        for r in got:
+            at = int(r.keep_id[len("keep_id") :])
+            assert tuple(r) == (*rows[at], *[f"{n}{at}" for n in names])

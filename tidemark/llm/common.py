@@ -17,13 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Point Spark at the shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """Point Spark at the shared folder of ``spark.checkpoint.dir``; where it is unset, local mode gets a temporary one
+    and a cluster an error, as a folder of one host is lost with it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def carried(docs: DataFrame, **columns) -> DataFrame:
+    """``row`` (all columns of ``docs`` as one struct) and the given columns, so no name of ``docs`` can clash."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def text_keys(text) -> dict:
+    """96 bits of hashes that tell whole texts apart; null as empty."""
+    whole = F.coalesce(text, F.lit(""))
+    return {"k1": F.xxhash64(whole), "k2": F.hash(whole)}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the copy is in the shared checkpoint folder, so lost executors don't lose it."""
     ensure_checkpoints(df.sparkSession)

@@ -8,9 +8,10 @@ remaining pair is one bounded group, walked bit by bit with numpy.  A group retu
 of its links, never all links, and the forests are joined to components by star contraction.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like
-any other; repeated rows and equal ids each keep their row; an id that is null keeps its row but can
-only name a component that has no other id (then null); an empty table gives an empty result; further
-columns are ignored.
+any other; a very long text is read whole, its shingles in parts; repeated rows and equal ids each keep
+their row; an id that is null keeps its row but can only name a component that has no other id (then
+null); an empty table gives an empty result; further columns, whatever their names, are ignored by
+``near_duplicates`` and kept as they are by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, settle, text_bytes
+from .common import carried, map_slices, settle, text_bytes, text_keys
 
 BITS = 64
 #: Bits of the trie that the first step takes, and each further step for pairs that are too large.
@@ -30,6 +31,8 @@ TOP_BITS, STEP_BITS = 6, 4
 #: Fingerprints in a pair of subtrees from which on Spark takes it further down.
 LARGEST_PAIR = 200_000
 SEED = 42
+#: Keys of rows (28 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST_KEYS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -51,16 +54,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > n, bitorder="little").tobytes(), "little")
 
 
-def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id long, fp long): the fingerprint's 64 bits as a signed long."""
+def with_fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, keys: bool = False) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint's 64 bits as a signed long; ``keys`` adds the text's k1 and k2."""
+    text = F.col(text_column)
+    more = [c.alias(k) for k, c in text_keys(text).items()] if keys else []
+    schema = "doc_id long, fp long" + (", k1 long, k2 int" if keys else "")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = [fingerprint(x, shingle) for x in text_bytes(batch.column(1))]
         bits = np.array(values, np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64())], ["doc_id", "fp"])
+        names = ["doc_id", "fp", *batch.schema.names[2:]]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int64()), *batch.columns[2:]], names)
 
-    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return map_slices(chosen, work, "doc_id long, fp long")
+    return map_slices(docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), *more), work, schema)
 
 
 def _masks(bits: int, budget: int) -> list[int]:
@@ -177,7 +183,8 @@ def links(fps: DataFrame, budget: int = 2, largest: int = LARGEST_PAIR) -> DataF
         found = edges if found is None else found.unionByName(edges)
         if heavy is None:
             return found
-        live = _descend(keyed.join(heavy, ["lo", "hi"], "left_semi").select("fp", "other"), depth, STEP_BITS, budget)
+        deeper = settle(keyed.join(heavy, ["lo", "hi"], "left_semi").select("fp", "other"))  # else each level computes those above again
+        live = _descend(deeper, depth, STEP_BITS, budget)
         depth += STEP_BITS
 
 
@@ -210,30 +217,49 @@ def star_components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", largest: int = LARGEST_PAIR) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the smallest id reachable over links of ``budget`` or fewer bits."""
     marked = settle(with_fingerprints(docs, id_column, text_column, shingle))
+    classes = _classes(marked, budget, largest)
+    names = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return marked.join(classes.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(marked: DataFrame, budget: int, largest: int = LARGEST_PAIR) -> DataFrame:
+    """(fp, rep, root) for each fingerprint: its smallest id and the fingerprint that names its component."""
     fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = star_components(links(fps, budget, largest))
-    nodes = fps.join(roots, fps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    names = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = nodes.join(names, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
 
 
 def keep_one(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id.
+    """The rows of ``docs`` without near-duplicates, columns as they are: one row stays for each component.
 
-    Where several rows carry that id, one of them stays.  No id can name a row whose id is null: one such
-    row stays for each distinct text.  Columns stay as they are.
+    It is the row with the smallest doc_id (null last), among equal ids that of the smallest text hash, and
+    among rows equal in both that of the smallest hash of all columns.  So a repeated id loses no text.
     """
-    return kept_rows(docs, near_duplicates(docs, budget, shingle))
+    marked = settle(with_fingerprints(docs, "doc_id", "text", shingle, keys=True))
+    return kept_rows(docs, marked.join(_classes(marked, budget).select("fp", F.col("root").alias("label")), "fp"))
 
 
 def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, given (doc_id, component_id) of each row."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("keep_id")).count()
-    kept = settle(kept)
-    once = docs.join(kept.where("count = 1").select("keep_id"), F.col("doc_id") == F.col("keep_id"), "left_semi")
-    again = docs.join(kept.where("count > 1").select("keep_id"), F.col("doc_id") == F.col("keep_id"), "left_semi")
-    again = again.dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").withColumn("__text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    unnamed = unnamed.dropDuplicates(["__text_key"]).drop("__text_key")
-    return once.unionByName(again).unionByName(unnamed)
+    """The rows of ``docs`` that stay, given (doc_id, k1, k2, label) of each row; equal labels are a component.
+
+    Texts are not shuffled while the rows that go have at most ``MOST_BROADCAST_KEYS`` keys.
+    """
+    key, one = ["doc_id", "k1", "k2"], F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    counted = settle(found.groupBy("label", *key).agg(F.count("*").alias("copies")))
+    first = counted.groupBy("label").agg(F.min(one).alias("first")).select(F.col("label").alias("own"), "first")
+    counted = settle(counted.join(first, F.col("label") == F.col("own")).select(*key, "copies", (one == F.col("first")).alias("stays")))
+    stays, goes = counted.where("stays"), counted.where("not stays")
+    rows = carried(docs, i=F.col("doc_id").cast("long"), **{f"r{k}": v for k, v in text_keys(F.col("text")).items()})
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("rk1") == F.col("k1")) & (F.col("rk2") == F.col("k2"))
+    few = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST_KEYS else df
+    if goes.count() <= MOST_BROADCAST_KEYS:
+        rows = rows.join(F.broadcast(goes.select(*key)), same, "left_anti")
+    else:
+        rows = rows.join(stays.select(*key), same, "left_semi")
+    again = stays.where("copies > 1").select(*key)
+    if again.isEmpty():
+        return rows.select("row.*")
+    again = few(again)
+    hashed = [f"row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    alike = rows.join(again, same, "left_semi").groupBy("i", "rk1", "rk2").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
+    return rows.join(again, same, "left_anti").select("row.*").unionByName(alike.select("row.*"))
