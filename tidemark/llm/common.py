@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,16 @@ def carried(docs: DataFrame, **columns) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores after it where ``columns`` has it already (in either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_keys(text) -> dict:
     """96 bits of hashes that tell whole texts apart; null as empty."""
     whole = F.coalesce(text, F.lit(""))
@@ -39,7 +50,19 @@ def text_keys(text) -> dict:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage; the copy is in the shared checkpoint folder, so lost executors don't lose it."""
+    """Compute once and cut the lineage: a table in the shared checkpoint folder, so lost executors don't lose it.
+
+    A checkpoint would compute its last stage twice, once to count and once to write.
+    """
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_as_dealt(df: DataFrame) -> DataFrame:
+    """The same by a checkpoint, which keeps partitions and their order."""
     ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -4,14 +4,18 @@ Documents are aggregated by membership pattern (the set of sources that hold the
 tokens up to ``repeats`` times; the k-th repetition costs more than the one before (2k-1), so the flow
 prefers fresh tokens and spreads repetition.  Sources demand their quota.  The flow through a pattern
 says how many whole repetitions all its documents get and how many tokens one further, seeded, selection
-must add.  The selection takes documents by a seeded hash up to the wanted number of tokens; its exact
-cut comes from a histogram of the hash and one window over the single bucket that holds the cut.
+must add, and how many of its tokens each source gets (``mix_routes``).  The selection takes documents by a
+seeded hash of id and text up to the wanted number of tokens.  Its exact cut comes from a histogram of the
+hash, one window over the hashes of the single bucket that holds the cut, and, where rows equal in
+hash and size straddle it, counts of those rows by partition of the settled table.  So a source misses its
+target by half a document at most, also where most of its rows are alike.
 
 Only the patterns and sources reach the driver, at most ``MOST_PATTERNS`` of them (more raise an error).
 
-Defined results: a null text has no words; a null source is a source of its own and comes last; rows
-equal in id and size stand or fall together; an empty table, and one without words, gives targets of 0;
-columns that documents have besides are kept by ``mixed``.
+Defined results: a null text has no words; a null source is a source of its own and comes last; a very long
+text is one document and is taken whole or not; of rows equal in id, text and size as many are taken as
+are due, whichever; an empty table, and one without words, gives targets of 0; columns that documents
+have besides are kept, and where one has a name that ``mixed`` adds, the added one gets underscores after it.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections import defaultdict, deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, words_of
+from .common import carried, free_names, settle, words_of
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -30,6 +34,8 @@ SEED = "mix-1"
 MOST_PATTERNS = 100_000
 #: The selection hash has 60 bits; its first 12 are the histogram's bucket.
 HASH_DIGITS, LOW_BITS = 15, 48
+#: Columns that ``mixed`` adds.
+ADDED = ["mix_size", "mix_key", "mix_taken", "mix_source_size", "mix_target", "mix_routes"]
 
 
 def source_key(source: Column) -> Column:
@@ -132,91 +138,115 @@ def _part_flow(part: list[str], supply: dict, members: dict, quota: dict, repeat
             arcs[i ^ 1][1] += amount
 
 
-def selection_hash(id_column: Column, seed: str = SEED) -> Column:
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("")))), 1, HASH_DIGITS)
-    return F.conv(digits, 16, 10).cast("long")
+def selection_hash(id_column: Column, text: Column, seed: str = SEED) -> Column:
+    whole = F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(whole), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, sources: Column | None = None, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_size, mix_key, mix_taken (tokens taken, repetitions counted), mix_source_size and mix_target.
+def mixed(docs: DataFrame, sources: Column | None = None, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns those in ``carry``; default: all) with the columns ADDED.
 
-    ``sources``: an array column of the sources that hold a document (default: its one ``source``);
-    the last two columns are those of the first of them by code point.
+    mix_taken: the tokens taken, repetitions counted.  mix_source_size and mix_target are those of the first
+    of a document's sources by code point.  mix_routes: how many tokens of its pattern go to each source.
+    ``sources``: an array column of the sources that hold a document (default: its one ``source``).
     """
+    rows, plan = _planned(docs, sources, size, weights, repeats, seed, carry)
+    out = rows.join(plan, rows.p == plan.pattern, "left").withColumn("times", _times())
+    names = free_names(docs.columns if carry is None else carry, *ADDED)
+    values = [F.col("n"), F.col("p"), F.col("n") * F.col("times"), F.col("source_size"), F.col("target"), F.col("routes")]
+    return out.select("row.*", *[v.alias(n) for v, n in zip(values, names)])
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as the mix takes it, columns as they are."""
+    rows, plan = _planned(docs, **options)
+    out = rows.join(plan, rows.p == plan.pattern, "left").where("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), _times())).alias("copy"))
+    return out.select("row.*")
+
+
+def _place() -> Column:
+    return F.struct(F.col("h").alias("h"), F.col("n").alias("n"), F.col("at").alias("at"))
+
+
+def _times() -> Column:
+    """How often a row of the planned table is taken."""
+    return F.coalesce(F.col("whole") + F.when(_place() <= F.col("cut"), 1).otherwise(0), F.lit(0)).cast("int")
+
+
+def _planned(docs: DataFrame, sources: Column | None = None, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, plan): settled (row, p, n, h, at), and for each pattern its flow; ``at`` tells equal rows apart."""
     spark = docs.sparkSession
     sources = F.array("source") if sources is None else sources
     keys = F.array_sort(F.array_distinct(F.transform(sources, source_key)))
-    columns = {
-        "mix_size": F.size(words_of(F.col("text"))).cast("long") if size is None else size,
-        "mix_keys": keys,
-        "mix_key": F.array_join(keys, "\u0001"),
-        "mix_hash": selection_hash(F.col("doc_id"), seed),
-    }
-    marked = docs.withColumns(columns)
-    rows = settle(marked.select("doc_id", *columns))
-    patterns = rows.groupBy("mix_key").agg(F.sum("mix_size").alias("size"), F.first("mix_keys").alias("keys")).limit(MOST_PATTERNS + 1).collect()
+    size = F.size(words_of(F.col("text"))).cast("long") if size is None else size
+    marked = carried(docs, keys=keys, n=size, h=selection_hash(F.col("doc_id"), F.col("text"), seed))
+    if carry is not None:
+        marked = marked.withColumn("row", F.struct(*[F.col("row")[c].alias(c) for c in carry]))
+    marked = marked.select("row", "keys", F.array_join("keys", "\u0001").alias("p"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "h")
+    rows = settle(marked.withColumn("at", F.monotonically_increasing_id()))
+    patterns = rows.groupBy("p").agg(F.sum("n").alias("size"), F.first("keys").alias("keys")).limit(MOST_PATTERNS + 1).collect()
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    supply = {r.mix_key: r["size"] for r in patterns}
-    members = {r.mix_key: list(r["keys"]) for r in patterns}
+    supply = {r.p: r["size"] for r in patterns}
+    members = {r.p: list(r["keys"] or []) for r in patterns}
     sizes: dict[str, int] = defaultdict(int)
     for k, own in members.items():
         for q in own:
             sizes[q] += supply[k]
     share = targets(sizes, weights, repeats, sum(supply.values()))
     flow = min_cost_flow(supply, members, {q: (2 * a + b) // (2 * b) for q, (a, b) in share.items()}, repeats)
-    through: dict[str, int] = defaultdict(int)
-    for (p, _), x in flow.items():
+    through, routes = defaultdict(int), defaultdict(list)
+    for (p, q), x in sorted(flow.items()):
         through[p] += x
+        routes[p].append((None if q == "-" else q[1:], x))
     plan = [
-        (p, min(through[p] // s if s else 0, repeats), through[p] % s if s else 0, sizes[members[p][0]], share[members[p][0]][0] / share[members[p][0]][1])
+        (p, min(through[p] // s if s else 0, repeats), through[p] % s if s else 0, sizes[members[p][0]], share[members[p][0]][0] / share[members[p][0]][1], routes[p])
         for p, s in supply.items()
         if members[p]
     ]
-    plan = spark.createDataFrame(plan, "mix_plan_key string, whole long, rest long, mix_source_size long, mix_target double")
-    cut = _cuts(rows, plan)
-    plan = F.broadcast(plan.join(cut, "mix_plan_key", "left"))  # at most MOST_PATTERNS rows
-    place = F.struct(F.col("mix_hash").alias("h"), F.col("doc_id").cast("long").alias("i"), F.col("mix_size").alias("s"))
-    once_more = F.when(place <= F.col("cut"), 1).otherwise(0)
-    taken = F.coalesce(F.col("mix_size") * (F.col("whole") + once_more), F.lit(0).cast("long"))
-    out = marked.join(plan, F.col("mix_key") == F.col("mix_plan_key"), "left").withColumn("mix_taken", taken)
-    return out.select(*docs.columns, "mix_size", "mix_key", "mix_taken", "mix_source_size", "mix_target")
+    plan = spark.createDataFrame(plan, "pattern string, whole long, rest long, source_size long, target double, routes array<struct<source:string,tokens:long>>")
+    return rows, F.broadcast(plan.join(_cuts(rows, plan), "pattern", "left"))  # at most MOST_PATTERNS rows
 
 
 def _cuts(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(mix_plan_key, cut): the last (hash, id, size) of each pattern that its further selection takes."""
-    need = F.broadcast(plan.where("rest > 0").select("mix_plan_key", "rest"))
-    bucket = F.shiftright("mix_hash", LOW_BITS).alias("bucket")
-    in_order = Window.partitionBy("mix_key").orderBy("bucket")
-    histogram = rows.groupBy("mix_key", bucket).agg(F.sum("mix_size").alias("tokens"))
-    histogram = histogram.withColumn("upto", F.sum("tokens").over(in_order)).join(need, F.col("mix_key") == F.col("mix_plan_key"))
+    """(pattern, cut): the last (h, n, at) of each pattern that its further selection takes."""
+    need = F.broadcast(plan.where("rest > 0").select("pattern", "rest"))
+    bucket = F.shiftright("h", LOW_BITS)
+    slim = rows.select("p", "h", "n", "at", bucket.alias("bucket"))
+    in_order = Window.partitionBy("p").orderBy("bucket")
+    histogram = slim.groupBy("p", "bucket").agg(F.sum("n").alias("tokens"))
+    histogram = histogram.withColumn("upto", F.sum("tokens").over(in_order)).join(need, F.col("p") == F.col("pattern"))
     at = histogram.where("upto >= rest and upto - tokens < rest")
-    at = at.select("mix_plan_key", F.col("bucket").alias("cut_bucket"), (F.col("upto") - F.col("tokens")).alias("before"), "rest")
-    inside = rows.join(F.broadcast(at), (F.col("mix_key") == F.col("mix_plan_key")) & (bucket == F.col("cut_bucket")))
-    peers = inside.groupBy("mix_plan_key", "mix_hash", "doc_id", "mix_size").agg(F.sum("mix_size").alias("tokens"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("mix_plan_key").orderBy("mix_hash", "doc_id", "mix_size")
-    upto = F.col("before") + F.sum("tokens").over(order)
-    taken = peers.withColumn("upto", upto).where("2 * upto - tokens <= 2 * rest")
-    place = F.struct(F.col("mix_hash").alias("h"), F.col("doc_id").cast("long").alias("i"), F.col("mix_size").alias("s"))
-    inside_cut = taken.groupBy("mix_plan_key").agg(F.max(place).alias("cut"))
+    at = settle(at.select("pattern", F.col("bucket").alias("cut_bucket"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("rest")))
+    inside = slim.join(F.broadcast(at), (F.col("p") == F.col("pattern")) & (F.col("bucket") == F.col("cut_bucket")))
+    # the last group of equal rows that is reached, and how many of its rows are due: the nearest whole number, halves up
+    alike = inside.groupBy("pattern", "h", "n").agg(F.count("*").alias("rows"), F.first("rest").alias("rest"))
+    order = Window.partitionBy("pattern").orderBy("h", "n")
+    alike = alike.withColumn("upto", F.sum(F.col("n") * F.col("rows")).over(order)).withColumn("before", F.col("upto") - F.col("n") * F.col("rows"))
+    due = F.when(F.col("n") == 0, F.col("rows")).otherwise(F.least(F.floor((2 * (F.col("rest") - F.col("before")) + F.col("n")) / (2 * F.col("n"))), F.col("rows")))
+    reached = alike.where("before < rest").withColumn("due", due).where("due > 0")
+    last = reached.groupBy("pattern").agg(F.max(F.struct("h", "n", "due", "rows")).alias("last")).select("pattern", "last.*")
+    last = settle(last)
+    # which of the equal rows: by partition of the settled table, then by place in the one partition that holds the cut
+    split = F.broadcast(last.where("due < rows").select("pattern", F.col("h").alias("cut_h"), F.col("n").alias("cut_n"), "due"))
+    peers = inside.drop("rest").join(split, "pattern").where("h = cut_h and n = cut_n").withColumn("part", F.shiftright("at", 33))
+    parts = peers.groupBy("pattern", "part").agg(F.count("*").alias("rows"), F.first("due").alias("due"))
+    parts = parts.withColumn("upto", F.sum("rows").over(Window.partitionBy("pattern").orderBy("part"))).where("upto >= due and upto - rows < due")
+    parts = F.broadcast(parts.select("pattern", "part", (F.col("due") - F.col("upto") + F.col("rows")).alias("nth")))
+    ranked = peers.select("pattern", "part", "at").join(parts, ["pattern", "part"]).withColumn("place", F.row_number().over(Window.partitionBy("pattern", "part").orderBy("at")))
+    chosen = ranked.where("place = nth").select("pattern", F.col("at").alias("cut_at"))
+    everything = F.lit((1 << 63) - 1)
+    found = last.join(chosen, "pattern", "left").select("pattern", F.struct(F.col("h"), F.col("n"), F.coalesce("cut_at", everything).alias("at")).alias("cut"))
     # nothing in the cut bucket is taken: everything before the bucket is
-    floor = F.struct(F.shiftleft("cut_bucket", LOW_BITS).alias("h"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("s"))
-    return at.join(inside_cut, "mix_plan_key", "left").select("mix_plan_key", F.coalesce("cut", floor).alias("cut"))
-
-
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as the mix takes it, columns as they are."""
-    out = mixed(docs, **options)
-    times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(0).cast("int")
-    out = out.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times)))
-    return out.select(*docs.columns)
+    floor = F.struct(F.shiftleft("cut_bucket", LOW_BITS).alias("h"), F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    return at.join(found, "pattern", "left").select("pattern", F.coalesce("cut", floor).alias("cut"))
 
 
 #: The rows of op2 in DuckDB SQL: with one source a document the flow has one path for each source.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS u
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS u
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 AS k FROM d GROUP BY source),
 w AS (SELECT source, source_size, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM s),
@@ -232,9 +262,9 @@ q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 3 * source_size) AS f
 r AS (SELECT *, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS whole, CASE WHEN source_size > 0 THEN flow % source_size ELSE 0 END AS rest FROM q),
 c AS (
   SELECT d.*, r.source_size, r.target, r.whole, r.rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto, sum(size) OVER (PARTITION BY d.source, u, doc_id, size) AS peers
+    sum(size) OVER (PARTITION BY d.source ORDER BY u, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN rest > 0 AND 2 * upto - peers <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN rest > 0 AND 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """

@@ -112,35 +112,30 @@ def _group(lang: Column, source: Column) -> Column:
 
 def _with_distance(vectors: DataFrame) -> DataFrame:
     """The column d2 from an estimate's m_i and k_i_j; one flat expression, so filters on it stay small."""
-    apart = [F.col(a) - F.col(f"m_{i}") for i, a in enumerate(DIMS)]
-    white = [reduce(lambda x, y: x + y, [F.col(f"k_{i}_{j}") * apart[j] for j in range(i + 1)]) for i in range(len(DIMS))]
-    return vectors.withColumn("d2", reduce(lambda x, y: x + y, [z * z for z in white]))
+    white = ["(" + " + ".join(f"k_{i}_{j} * ({DIMS[j]} - m_{j})" for j in range(i + 1)) + ")" for i in range(len(DIMS))]
+    return vectors.withColumn("d2", F.expr(" + ".join(f"{z} * {z}" for z in white)))
 
 
 def _estimates(chosen: DataFrame, factor: float = 1.0) -> DataFrame:
     """Mean m_i, inverse Cholesky factor k_i_j and logarithm of the determinant of each (q_group, q_start)'s
     covariance times ``factor``, floors added."""
-    p = len(DIMS)
-    sums = [F.sum(a).alias(f"s_{i}") for i, a in enumerate(DIMS)]
-    products = [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"p_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    p, pairs = len(DIMS), [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+    sums = [F.expr(f"sum({a})").alias(f"s_{i}") for i, a in enumerate(DIMS)]
+    products = [F.expr(f"sum({DIMS[i]} * {DIMS[j]})").alias(f"p_{i}_{j}") for i, j in pairs]
     out = chosen.groupBy("q_group", "q_start").agg(F.count("*").alias("n"), *sums, *products)
-    out = out.select("q_group", "q_start", "n", *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)], *[f"p_{i}_{j}" for i in range(p) for j in range(i + 1)])
-    for i in range(p):
-        for j in range(i + 1):
-            cov = factor * (F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}"))
-            if i == j:
-                cov = F.greatest(cov, F.lit(0.0)) + (SCALE * FLOORS[DIMS[i]]) ** 2
-            for k in range(j):
-                cov = cov - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            # floors keep pivots positive; greatest() guards rounding
-            l_ij = F.sqrt(F.greatest(cov, F.lit(1e-6))) if i == j else cov / F.col(f"l_{j}_{j}")
-            out = out.withColumn(f"l_{i}_{j}", l_ij)
-    for i in range(p):
-        for j in range(i + 1):
-            below = reduce(lambda x, y: x + y, [F.col(f"l_{i}_{k}") * F.col(f"k_{k}_{j}") for k in range(j, i)], F.lit(0.0))
-            out = out.withColumn(f"k_{i}_{j}", ((1.0 if i == j else 0.0) - below) / F.col(f"l_{i}_{i}"))
-    logs = reduce(lambda x, y: x + y, [F.log(F.col(f"l_{i}_{i}")) for i in range(p)])
-    return out.withColumn("log_det", 2 * logs).select("q_group", "q_start", "log_det", *ESTIMATE)
+    # one select, in which later columns refer to earlier ones; floors keep pivots positive, greatest() guards rounding
+    steps = [f"s_{i} / n AS m_{i}" for i in range(p)]
+    for i, j in pairs:
+        cov = f"{factor!r}D * (p_{i}_{j} / n - m_{i} * m_{j})"
+        if i == j:
+            cov = f"greatest({cov}, 0D) + {(SCALE * FLOORS[DIMS[i]]) ** 2!r}D"
+        cov = " - ".join([cov, *[f"l_{i}_{k} * l_{j}_{k}" for k in range(j)]])
+        steps.append(f"sqrt(greatest({cov}, 1e-6D)) AS l_{i}_{i}" if i == j else f"({cov}) / l_{j}_{j} AS l_{i}_{j}")
+    for i, j in pairs:
+        below = " + ".join(["0D", *[f"l_{i}_{k} * k_{k}_{j}" for k in range(j, i)]])
+        steps.append(f"({1.0 if i == j else 0.0}D - ({below})) / l_{i}_{i} AS k_{i}_{j}")
+    steps.append("2 * (" + " + ".join(f"ln(l_{i}_{i})" for i in range(p)) + ") AS log_det")
+    return out.selectExpr("*", *steps).select("q_group", "q_start", "log_det", *ESTIMATE)
 
 
 #: Columns of an estimate.

@@ -22,7 +22,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed
 
-    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id"])
     return out.select(
         "doc_id",
         F.col("mix_size").alias("size"),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, settle_as_dealt
 
 K = 20
 QUERY_BLOCK = 32_768
@@ -199,7 +199,7 @@ def top_k(vectors: DataFrame, asks: Column, k: int = K, id_column: str = "vec_id
     rows = quantised(vectors, asks, id_column, vector_column, scale)
     parts = max(1, vectors.count() // range_rows)
     dealt = rows.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    rows = settle(dealt)
+    rows = settle_as_dealt(dealt)
     first = rows.orderBy(F.desc("norm"), "vec_id").limit(FIRST_VECTORS).select("vec_id", "ints").toArrow()
     longest = _by_dimension(first)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
