@@ -34,7 +34,18 @@ def test_layouts():
         assert chat.turns_of(record)[1] == want, record
     assert chat.turns_of({"system": "s", "prompt": "q", "response": None})[1] == [("system", "s"), ("user", "q"), ("assistant", "")]
     assert chat.turns_of({"other": 1}) == (None, []) and chat.turns_of([1]) == (None, []) and chat.turns_of({}) == (None, [])
-    assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
+    for record in (  # fields of other layouts beside, and messages in parts
+        {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "prompt": "p"},
+        {"instruction": "q", "output": "a", "system": "", "text": "qa"},
+        {"prompt": "q", "completion": "a", "text": "q a", "question": "other"},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": ["a"]}]},
+        {"messages": [{"role": "user", "content": "q", "name": None}, {"role": "assistant", "content": "a", "tool": {"x": 1}}, "no message"]},
+        {"instruction": "q", "input": None, "response": "a", "output_format": "x"},
+    ):
+        assert chat.turns_of(record)[1] == want, record
+    assert chat.turns_of({"instruction": "i", "output": "o", "system": "s"})[1] == [("system", "s"), ("user", "i"), ("assistant", "o")]
+    assert chat.turns_of({"messages": "none", "prompt": 3}) == (None, [])
+    assert len({x.required | x.known for x in chat.LAYOUTS}) == len(chat.LAYOUTS)
 
 
 def test_read_back(spark):

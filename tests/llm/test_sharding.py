@@ -16,10 +16,27 @@ def check(spark, rows, shards, **options):
     for s, own in used.items():
         assert 0 <= s < shards
         assert sorted(r.slot for r in own) == list(range(len(own)))
-        assert abs(sum(r["size"] for r in own) - total / shards) <= most
+        assert abs(sum(r["size"] for r in own) - total / shards) <= max(most, total / shards / sharding.LARGE)
     return got
 
 
+def test_equal_texts_stay_together(spark):
+    """A group of equal texts is in one shard unless no shard has room for it."""
+    rng = random.Random(3)
+    rows, share = [], 0
+    for g in range(400):
+        text = "".join(rng.choices("abcdef", k=rng.randint(1, 300)))
+        rows += [(len(rows) + i, text) for i in range(rng.choice([1, 2, 3, 3, 20 if g % 9 == 0 else 2]))]
+    rows += [(10**6 + i, "hot text " * 20) for i in range(900)]
+    rng.shuffle(rows)
+    got = check(spark, rows, 8, rows_per_range=50)
+    shards = {}
+    for r in got:
+        shards.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    spread = {k for k, v in shards.items() if len(v) > 1}
+    assert spread == {(zlib.crc32(b"hot text " * 20), 196)}
+
+
 def test_shards_are_even(spark):
     rng = random.Random(1)
     texts = ["".join(rng.choices("aé ", k=rng.randint(0, 400))) for _ in range(200)]
@@ -32,7 +49,8 @@ def test_shards_are_even(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "t" * (i % 50)) for i in range(200)], "doc_id long, text string")
-    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    rows = [(i % 150 if i % 7 else None, "t" * (i % 50), f"s{i}", f"l{i}", i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot string, at int")
+    sharding.write_shards(docs, str(tmp_path / "out"), 4, rows_per_range=20)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    assert sorted(map(tuple, back.select(*docs.columns).collect()), key=str) == sorted(rows, key=str) and back.select("shard_").distinct().count() == 4

@@ -9,14 +9,11 @@ def slow(rows, k):
     import math
 
     sound = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    asked = {}
-    for i, v in sound:
-        if i % 20 == 0:
-            asked[i] = min(asked.get(i, v), v)
     out = []
-    for q, v in asked.items():
-        scores = [(-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v)]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    for at, (q, v) in enumerate(sound):  # each row that asks, against every other row
+        if q % 20 == 0:
+            scores = [(-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(sound) if j != at and len(w) == len(v)]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 

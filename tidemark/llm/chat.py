@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON object in some layout: rows with role and text, lists of messages, prompt and
-completion, instruction with input and output, and so on.  The nested field paths that mean something in
-any known layout are hashed, and the hash selects a declarative mapping to canonical turns.  Fields that
-no layout knows don't change the hash.
+completion, instruction with input and output, and so on.  The record's nested field paths are hashed, and
+the hash selects a declarative mapping to canonical turns: the layout whose required paths the record has
+all, by the number of its paths that the record has, then by place in the list.  A schema is resolved once and
+remembered by its hash; fields that the layout doesn't know change nothing.
 
 The template marks a turn as ``<|turn|>role\\ntext<|end|>\\n``.  Inside roles and texts a backslash is
 doubled and each control string, of this template or of others, gets a backslash after its first
@@ -15,7 +16,8 @@ conversation's turns in sorted order, so not even the longest one is held in mem
 
 Defined results: a null text or role is empty; turns go by turn (null last), then by their formatted string;
 repeated rows are repeated turns; rows without conv_id are one conversation; a record in an unknown layout,
-or that is no JSON object, has no turns but keeps its id; an empty table gives an empty result.
+or that is no JSON object, has no turns but keeps its id; a very long text is one turn, formatted and read
+whole, few turns at a time; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_slices
+
 #: Fixed strings of the template, and control strings of other public templates.
 TURN, END = "<|turn|>", "<|end|>"
 CONTROL = [
@@ -56,41 +60,47 @@ class Part(NamedTuple):
 
 class Layout(NamedTuple):
     name: str
-    paths: frozenset
+    required: frozenset
+    known: frozenset
     parts: tuple
 
 
 def _layout(name: str, *parts: Part) -> Layout:
-    paths = set()
+    required, known = set(), set()
     for p in parts:
         inside = f"{p.each}[]." if p.each else ""
-        paths |= {inside + x for x in (p.role, p.text) if not x.startswith("=")}
-    return Layout(name, frozenset(paths), parts)
+        paths = {inside + x for x in (p.role, p.text) if not x.startswith("=")}
+        known |= paths
+        required |= set() if p.optional else paths
+    return Layout(name, frozenset(required), frozenset(known), parts)
 
 
+_SYSTEM = Part("=system", "system", "", True)
 LAYOUTS = [
+    _layout("messages", _SYSTEM, Part("role", "content", "messages")),
+    _layout("from_value", _SYSTEM, Part("from", "value", "conversations")),
+    _layout("turns", _SYSTEM, Part("role", "text", "turns")),
+    _layout("prompt_messages", _SYSTEM, Part("role", "content", "prompt"), Part("=assistant", "completion")),
+    _layout("prompt_completion", _SYSTEM, Part("=user", "prompt"), Part("=assistant", "completion")),
+    _layout("prompt_response", _SYSTEM, Part("=user", "prompt"), Part("=assistant", "response")),
+    _layout("question_answer", _SYSTEM, Part("=user", "question"), Part("=assistant", "answer")),
+    _layout("instruction_output", _SYSTEM, Part("=user", "instruction"), Part("=user", "input", "", True), Part("=assistant", "output")),
+    _layout("instruction_response", _SYSTEM, Part("=user", "instruction"), Part("=user", "input", "", True), Part("=assistant", "response")),
     _layout("turn_rows", Part("role", "text")),
-    _layout("messages", Part("role", "content", "messages")),
-    _layout("from_value", Part("from", "value", "conversations")),
-    _layout("turns", Part("role", "text", "turns")),
-    _layout("prompt_completion", Part("=user", "prompt"), Part("=assistant", "completion")),
-    _layout("prompt_response", Part("=user", "prompt"), Part("=assistant", "response")),
-    _layout("system_prompt_response", Part("=system", "system", "", True), Part("=user", "prompt"), Part("=assistant", "response")),
-    _layout("question_answer", Part("=user", "question"), Part("=assistant", "answer")),
-    _layout("instruction", Part("=user", "instruction"), Part("=assistant", "output")),
-    _layout("instruction_input", Part("=user", "instruction"), Part("=user", "input", "", True), Part("=assistant", "output")),
-    _layout("nested_prompt_messages", Part("role", "content", "prompt"), Part("=assistant", "completion")),
+    _layout("role_content", Part("role", "content")),
 ]
 #: Other names of the canonical roles, in the layouts that use them.
 ROLE_NAMES = {"from_value": {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bot": "assistant"}}
+#: Schemas whose layout is remembered.
+MOST_SCHEMAS = 10_000
 
 
 def field_paths(value, path: str = "") -> set[str]:
-    """The paths of a JSON value's leaves: names joined by dots, [] for the items of a list."""
+    """The paths of a JSON value's fields: names joined by dots, [] for the items of a list."""
     if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items())) if value else set()
+        return {path}.union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items())) - {""}
     if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{path}[]") for v in value)) if value else {f"{path}[]"}
+        return {path}.union(*(field_paths(v, f"{path}[]") for v in value))
     return {path}
 
 
@@ -98,23 +108,45 @@ def _hash(paths) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(paths)))
 
 
-KNOWN = frozenset().union(*(x.paths for x in LAYOUTS))
-BY_FINGERPRINT = {_hash(x.paths): x for x in LAYOUTS}
+def fingerprint(record) -> int:
+    return _hash(field_paths(record))
 
 
-def fingerprint(record) -> int:
-    return _hash(field_paths(record) & KNOWN)
+_LAYOUT_OF: dict[int, Layout | None] = {}
+
+
+def layout_of(record) -> Layout | None:
+    """The layout that the record's fingerprint selects, None where none has all its required paths."""
+    paths = field_paths(record)
+    key = _hash(paths)
+    if key not in _LAYOUT_OF:
+        if len(_LAYOUT_OF) >= MOST_SCHEMAS:
+            _LAYOUT_OF.clear()
+        fitting = [x for x in LAYOUTS if x.required <= paths]
+        _LAYOUT_OF[key] = max(fitting, key=lambda x: len(x.known & paths), default=None)
+    return _LAYOUT_OF[key]
+
+
+def as_text(value) -> str:
+    """A field as text: parts of a list are joined, by their text where they have one; others are JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list) and value and all(isinstance(x, str) or isinstance(x, dict) and isinstance(x.get("text"), str) for x in value):
+        return "".join(x if isinstance(x, str) else x["text"] for x in value)
+    return json.dumps(value, ensure_ascii=False)
 
 
 def turns_of(record) -> tuple[str | None, list[tuple[str, str]]]:
     """(layout name, canonical turns) of a record."""
-    layout = BY_FINGERPRINT.get(fingerprint(record)) if isinstance(record, dict) else None
+    layout = layout_of(record) if isinstance(record, dict) else None
     if layout is None:
         return None, []
     names, out = ROLE_NAMES.get(layout.name, {}), []
-    as_text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
     for part in layout.parts:
-        for item in record[part.each] if part.each else [record]:
+        items = record[part.each] if part.each else [record]
+        for item in items if isinstance(items, list) else []:
+            if not isinstance(item, dict):
+                continue
             role = part.role[1:] if part.role.startswith("=") else as_text(item.get(part.role))
             text = as_text(item.get(part.text))
             if text or not part.optional:
@@ -156,20 +188,20 @@ def format_records(records: DataFrame) -> DataFrame:
     gives one row without ``formatted``.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.strip().split(" ")[0] for x in FORMATTED.split(",")]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-        for batch in batches:
-            rows = []
-            for conv, turn, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                try:
-                    layout, turns = turns_of(json.loads(payload or ""))
-                except ValueError:
-                    layout, turns = None, []
-                rows += [(conv, turn, i, layout, *formatted(*t)) for i, t in enumerate(turns)] or [(conv, turn, 0, layout, None, 0, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
+    names = [x.strip().split(" ")[0] for x in FORMATTED.split(",")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for conv, turn, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            try:
+                layout, turns = turns_of(json.loads(payload or ""))
+            except (ValueError, RecursionError):
+                layout, turns = None, []
+            rows += [(conv, turn, i, layout, *formatted(*t)) for i, t in enumerate(turns)] or [(conv, turn, 0, layout, None, 0, 0)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], names)
 
-    return records.select("conv_id", "turn", "payload").mapInArrow(run, FORMATTED)
+    return map_slices(records.select("conv_id", "turn", "payload"), work, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -184,7 +216,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         now, state, done = None, None, []
         close = lambda: done.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             for conv, turn, start, end in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "formatted", "loss_start", "loss_end"))):
                 if state is None or conv != now:
                     if state:

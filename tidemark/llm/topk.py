@@ -15,8 +15,10 @@ are taken in blocks of at most ``QUERY_BLOCK`` (a broadcast of bounded size); ea
 vectors, and only the best k of a partition leave it.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do
-rows without id; a query meets only vectors of its own dimension; a repeated id is a row of its own but
-never its own query's candidate; ties go to the smaller id; fewer candidates than k give fewer rows.
+rows without id; a query meets only vectors of its own dimension; a repeated id is a row of its own: each
+row that asks is a query (those of one id give their rows each), and every row but the query's own is a candidate,
+those of the same id too; ties go to the smaller id; fewer candidates than k give fewer rows; a very long
+vector makes query blocks smaller; further columns are ignored.
 Components beyond 2^24 are computed with Python's whole numbers; scores must fit a long.
 """
 
@@ -46,18 +48,18 @@ COORDINATES = 16
 EXACT = 1 << 20
 NONE = np.iinfo(np.int64).min
 
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "asker long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, asks: Column, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, ints array<long>, asks boolean, norm double) of the vectors that take part."""
+    """(own, vec_id, ints array<long>, asks boolean, norm double) of the vectors that take part; ``own`` tells rows apart."""
     parts = F.transform(F.col(vector_column), lambda x: x.cast("double"))
     sound = F.size(parts) > 0
     sound &= ~F.exists(parts, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     out = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).where(sound)
     out = out.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(parts, lambda x: F.floor(x * scale)).alias("ints"), F.coalesce(asks, F.lit(False)).alias("asks"))
     squares = F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return out.withColumn("norm", F.sqrt(squares))
+    return out.withColumn("norm", F.sqrt(squares)).withColumn("own", F.monotonically_increasing_id())
 
 
 class Best:
@@ -90,10 +92,10 @@ class Best:
 
 
 class Queries:
-    """A block of queries of one dimension, with what pruning needs."""
+    """A block of queries of one dimension, with what pruning needs; ``own`` tells their rows apart."""
 
-    def __init__(self, ids: np.ndarray, ints: np.ndarray, k: int):
-        self.ids, self.k = ids, k
+    def __init__(self, own: np.ndarray, ints: np.ndarray, k: int):
+        self.own, self.k = own, k
         self.exact = bool(np.abs(ints).max(initial=0) < EXACT)
         self.ints = ints if not self.exact else ints.astype(np.float64)
         wide = ints.astype(np.float64)
@@ -108,10 +110,10 @@ class Queries:
             return (self.ints[at] @ rows.T.astype(np.float64)).astype(np.int64)
         return (self.ints[at].astype(np.int64).astype(object) @ rows.T.astype(object)).astype(np.int64)
 
-    def bucket(self, best: Best, floor: np.ndarray, ids: np.ndarray, rows: np.ndarray, block: int = 1024) -> None:
-        """Offer a bucket; floor: a score that each query's k-th best reaches at least (NONE: unknown)."""
+    def bucket(self, best: Best, floor: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray | None = None, block: int = 1024) -> None:
+        """Offer a bucket; floor: a score that each query's k-th best reaches at least (NONE: unknown); own: ids if None."""
         order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], rows[order]
+        ids, rows, own = ids[order], rows[order], (ids if own is None else own)[order]
         wide = rows.astype(np.float64)
         lengths = np.sqrt((wide * wide).sum(1))
         bound = np.maximum(floor, best.scores[:, -1])
@@ -136,60 +138,60 @@ class Queries:
                     continue
                 scores = self.products(some, rows[keep])
                 scores[scores < mine[:, None]] = NONE
-                scores[self.ids[some][:, None] == ids[keep][None, :]] = NONE
+                scores[self.own[some][:, None] == own[keep][None, :]] = NONE
                 worth = (scores != NONE).any(1)
                 if worth.any():
                     best.add(some[worth], ids[keep], scores[worth])
 
 
-def _arrays(batch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, rows) of a batch with columns vec_id and ints, for each dimension in it."""
-    ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+def _arrays(batch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(own, ids, rows) of a batch with columns own, vec_id and ints, for each dimension in it."""
+    own, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "vec_id"))
     lists = batch.column("ints")
     flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
     starts = np.cumsum(sizes) - sizes
     for d in np.unique(sizes):
         at = np.nonzero(sizes == d)[0]
-        yield ids[at], flat[starts[at][:, None] + np.arange(d)[None, :]]
+        yield own[at], ids[at], flat[starts[at][:, None] + np.arange(d)[None, :]]
 
 
 def _search(blocks: dict, floors: dict, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {d: (Queries(*q.value, k), floors.get(d)) for d, q in blocks.items()}
-        best = {d: Best(len(s[0].ids), k) for d, s in state.items()}
+        state = {}
+        for d, q in blocks.items():
+            asker, asked, ints = q.value
+            state[d] = (Queries(asker, ints, k), asked, floors[d].value if d in floors else np.full(len(asker), NONE), Best(len(asker), k))
         for batch in batches:
-            for ids, rows in _arrays(batch):
+            for own, ids, rows in _arrays(batch):
                 if rows.shape[1] not in state:
                     continue
-                queries, floor = state[rows.shape[1]]
-                floor = np.full(len(queries.ids), NONE) if floor is None else floor.value
+                queries, _, floor, best = state[rows.shape[1]]
                 for i in range(0, len(ids), BUCKET):
-                    queries.bucket(best[rows.shape[1]], floor, ids[i : i + BUCKET], rows[i : i + BUCKET])
-        for d, found in best.items():
-            real = found.scores != NONE
-            asked = np.broadcast_to(state[d][0].ids[:, None], real.shape)
+                    queries.bucket(best, floor, ids[i : i + BUCKET], rows[i : i + BUCKET], own[i : i + BUCKET])
+        for queries, asked, _, best in state.values():
+            real = best.scores != NONE
+            columns = [np.broadcast_to(queries.own[:, None], real.shape), np.broadcast_to(asked[:, None], real.shape), best.ids, best.scores]
             for i in range(0, len(real), 4096):
                 r = real[i : i + 4096]
-                cols = [a[i : i + 4096][r] for a in (asked, found.ids, found.scores)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 4096][r], pa.int64()) for c in columns], ["asker", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _by_dimension(collected: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    return {rows.shape[1]: (ids, rows) for batch in collected.combine_chunks().to_batches() for ids, rows in _arrays(batch)}
+def _by_dimension(collected: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return {rows.shape[1]: (own, ids, rows) for batch in collected.combine_chunks().to_batches() for own, ids, rows in _arrays(batch)}
 
 
 def _query_blocks(rows: DataFrame, most: int) -> Iterator[tuple[int, dict]]:
-    """(number of blocks, {dimension: (ids, ints)}) for each block of queries; a repeated id asks with its smallest vector."""
-    asked = settle(rows.where("asks").groupBy("vec_id").agg(F.min("ints").alias("ints")))
+    """(number of blocks, {dimension: (own, ids, ints)}) for each block of queries."""
+    asked = settle(rows.where("asks").select("own", "vec_id", "ints"))
     count, widest = asked.agg(F.count("*"), F.max(F.size("ints"))).first()
     if not count:
         return
     most = max(64, min(most, MOST_NUMBERS // widest))
     blocks = -(-count * 5 // (4 * most))  # hashed, so some slack below the bound
     for i in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()
+        block = asked.where(F.pmod(F.xxhash64("own"), F.lit(blocks)) == i).toArrow()
         yield blocks, _by_dimension(block)
 
 
@@ -200,32 +202,37 @@ def top_k(vectors: DataFrame, asks: Column, k: int = K, id_column: str = "vec_id
     parts = max(1, vectors.count() // range_rows)
     dealt = rows.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     rows = settle_as_dealt(dealt)
-    first = rows.orderBy(F.desc("norm"), "vec_id").limit(FIRST_VECTORS).select("vec_id", "ints").toArrow()
+    first = rows.orderBy(F.desc("norm"), "vec_id").limit(FIRST_VECTORS).select("own", "vec_id", "ints").toArrow()
     longest = _by_dimension(first)
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by_score = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
     out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for blocks, block in _query_blocks(rows, query_block):
         shared, floors = {}, {}
-        for d, (ids, ints) in block.items():
+        for d, (asker, asked, ints) in block.items():
             if d in longest:
-                queries, best = Queries(ids, ints, k), Best(len(ids), k)
-                queries.bucket(best, np.full(len(ids), NONE), *longest[d])
+                queries, best = Queries(asker, ints, k), Best(len(asker), k)
+                own, ids, vectors_d = longest[d]
+                queries.bucket(best, np.full(len(asker), NONE), ids, vectors_d, own)
                 floors[d] = spark.sparkContext.broadcast(best.scores[:, -1].copy())
-            shared[d] = spark.sparkContext.broadcast((ids, ints))
-        found = rows.select("vec_id", "ints").mapInArrow(_search(shared, floors, k), SCHEMA)
+            shared[d] = spark.sparkContext.broadcast((asker, asked, ints))
+        found = rows.select("own", "vec_id", "ints").mapInArrow(_search(shared, floors, k), SCHEMA)
         ranked = found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        out = out.unionByName(ranked if blocks == 1 else settle(ranked))
+        if blocks > 1:
+            ranked = settle(ranked)
+            for sent in (*shared.values(), *floors.values()):
+                sent.destroy()
+        out = out.unionByName(ranked)
     return out
 
 
 #: The rows of op10 in DuckDB SQL.
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS ints FROM embeddings
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS ints FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.ints, c.ints) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.ints) = len(c.ints) WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.own <> c.own AND len(q.ints) = len(c.ints) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
