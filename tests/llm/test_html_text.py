@@ -7,12 +7,35 @@ from tidemark.llm import html_text as h
 
 def test_blocks():
     page = "<html><head><title>T &amp; t</title><style>p{}</style><script>if(a<b){'</p>'}</script></head><body><nav><ul><li><a href=x>A</a><li>B</ul></nav><article><p><b>x<br>y&nbsp; z<p>two\n lines<!-- no --></article>tail"
-    got = [(b.text, b.path[-1]) for b in h.blocks_of(page)]
-    assert [t for t, _ in got] == ["T & t", "A", "B", "x y z", "two lines", "tail"]
+    got = [b.text for b in h.blocks_of(page)]
+    assert got == ["T & t", "A", "B", "x y z", "two lines", "tail"]
     for odd in ("", "<", "<p", "</p></div>", "<script>", "<p><p><p>", "a<b>c", "<!-- open", "<div class='a>b'>x", "\x00<p>é", "<p title='>'>t"):
         h.blocks_of(odd)
 
 
+def test_odd_markup_loses_nothing():
+    texts = lambda page: [b.text for b in h.blocks_of(page)]
+    assert texts("<p>" + "İ" * 40 + "</p><SCRIPT>x</Script ><p>first</p><p>second</p>") == ["İ" * 40, "first", "second"]
+    assert texts("<p>let <math><mi>x</mi></math> be <svg><text>drawn</text></svg> here</p>") == ["let x be drawn here"]
+    for tag in ("svg", "object", "math", "video", "template", "select", "textarea", "iframe", "noscript"):
+        assert " ".join(texts(f"<p>a</p><{tag}><p>b</p><p>c</p>")) == "a b c", tag
+    assert texts("<p>a<template><p>no</p></template><select><option>no</select> b</p><script>no") == ["a b"]
+    assert texts("<p title='open>a</p><p>b</p>") == ["a", "b"]
+
+
+def test_time_grows_with_length():
+    import time
+
+    for piece in ("<div>x", "<a ", "<b>x", "<a \">\" ", "<a '", "<!", "<template>x", "<li>x", "<p><span>x", "</p>", "<svg><p>x", "&amp;<"):
+        times = []
+        for n in (10_000, 80_000):
+            began = time.process_time()
+            h.features(h.blocks_of(piece * n))
+            times.append(time.process_time() - began)
+        assert times[1] < 0.3 + 24 * times[0], (piece, times)
+    assert len(h.labeller().main([h.blocks_of("<div>x" * 100_000)])[0]) == 100_000
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     model = h.Labeller(rng)

@@ -1,20 +1,23 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf blocks: the text between block-level tags, with the path of open tags (and the
-words of their classes, ids and roles) above it.  Each block becomes a vector: hashed path, hashed words
-and a few counts.  A bidirectional LSTM in numpy reads the blocks of the whole page in order, both ways,
+words of their classes, ids and roles) above it, hashed as tags open, so a block costs the same at any depth.
+Each block becomes a vector: hashed path, hashed words and a few counts.  A bidirectional LSTM in numpy reads the blocks of the whole page in order, both ways,
 and labels every block as main text or not, so a block is judged in the context of the document.
 
 The labeller is trained here, with a fixed seed, on ``TRAINING_PAGES`` generated pages of many layouts
 whose labels are known; tests measure it on held-out pages.  Training takes seconds and happens once in a
 driver process; the weights (a fixed, small size) go to the executors with the task.
 
-Text of scripts, styles, templates, selections and the like is no block.  Character references are decoded,
-white space in a block becomes one space, and blocks without text go.
+Text of scripts and styles is no block, nor is that of templates, text areas, selections and frames that
+are closed; where one of those is not closed, it is read as any other element.  Formulas and drawings are
+part of the text they stand in; players, objects and noscript elements are blocks for the labeller to judge.  Character
+references are decoded, white space in a block becomes one space, and blocks without text go.  A tag whose
+quotes never close ends at the next '>'.
 
 Defined results: a null or empty page, and one without main text, gives an empty string; broken markup
-never fails; repeated rows are extracted each; an empty table gives an empty result; further columns are
-ignored.
+never fails; a very long page takes time and memory in proportion to its length, at any depth of its tags;
+repeated rows are extracted each; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,15 +41,21 @@ from .common import map_slices
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre search section summary table tbody td "
-    "tfoot th thead title tr ul".split()
+    "tfoot th thead title tr ul noscript object canvas audio video".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style noscript template select textarea iframe object svg math canvas audio video".split())
+#: Elements whose content is no text of the page; those of RAW reach to the page's end where they are not closed.
+RAW_TAGS = frozenset("script style".split())
+SILENT_TAGS = RAW_TAGS | frozenset("template select textarea iframe".split())
 #: A start tag that ends an open element of the given kinds.
 ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 SCOPE_TAGS = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_HEAD = r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)"
+MARKUP = re.compile(_HEAD + r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)(>?)", re.DOTALL)
+#: The same without regard to quotes, for the rest of a page where quotes don't close.
+LENIENT = re.compile(_HEAD + r"([^>]*+)(>?)", re.DOTALL)
+CLOSED = {tag: re.compile(f"</{tag}(?![a-z0-9])[^>]*+>?", re.IGNORECASE | re.ASCII) for tag in SILENT_TAGS}
 NAMED = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -59,26 +68,66 @@ TRAINING_PAGES, EPOCHS, SEED = 1600, 6, 11
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple, text: str, linked: int):
+    def __init__(self, path: np.ndarray, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
-def _path_words(tag: str, attributes: str) -> tuple[str, ...]:
+def _path_words(tag: str, attributes: str) -> list[str]:
     out = [tag]
     for groups in NAMED.findall(attributes) if "=" in attributes else ():
         for word in " ".join(groups).split():
             out += ["." + p.lower() for p in PARTS.findall(word)]
-    return tuple(out)
+    return out
+
+
+class _Open:
+    """The open elements of a page; each operation takes constant time but for the elements that it closes."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, np.ndarray]] = []
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def path(self) -> np.ndarray:
+        return self.stack[-1][1] if self.stack else _NO_PATH
+
+    def push(self, tag: str, attributes: str) -> None:
+        path = self.path()
+        if tag in BLOCK_TAGS or tag == "a":
+            path = path.copy()
+            for word in _path_words(tag, attributes):
+                at, sign = _path_at[word]
+                path[at] += sign
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPE_TAGS:
+            self.scopes.append(len(self.stack))
+        self.stack.append((tag, path))
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > at:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in SCOPE_TAGS:
+                self.scopes.pop()
+
+    def last(self, names: tuple) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def end(self, names: tuple) -> None:
+        """Close the last element of these kinds, if no scope has opened in it."""
+        at = self.last(names)
+        if at >= 0 and (not self.scopes or self.scopes[-1] <= at):
+            self.cut(at)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; text is decoded and its white space is single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
     pieces: list[str] = []
+    open_, markup, unclosed = _Open(), MARKUP, set()
     linked = at = 0
-    path: tuple = ()
-    lower = None
+    path = _NO_PATH
 
     def flush():
         nonlocal linked
@@ -89,55 +138,50 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    def opened(names: tuple) -> int | None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in SCOPE_TAGS:
-                return None
-        return None
-
     def add(piece: str):
         nonlocal linked
         pieces.append(piece)
-        if any(t == "a" for t, _ in stack):
+        if open_.places.get("a"):
             linked += len(piece.strip())
 
-    while m := MARKUP.search(page, at):
+    while m := markup.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
+        if not m[4]:  # the page ends before the tag does
+            if markup is MARKUP:
+                markup, at = LENIENT, m.start()
+                continue
+            at = m.start()  # no '>' is left: what follows is text
+            break
         tag = m[2].lower()
-        if tag in SILENT_TAGS:
-            if not m[1] and not m[3].endswith("/"):
-                lower = page.lower() if lower is None or len(lower) != len(page) else lower
-                end = lower.find(f"</{tag}", at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(page)
+        if tag in SILENT_TAGS and not m[1] and not m[3].endswith("/"):
+            close = None if tag in unclosed else CLOSED[tag].search(page, at)
+            if close or tag in RAW_TAGS:
+                at = close.end() if close else len(page)
                 pieces.append(" ")
-            continue
+                continue
+            unclosed.add(tag)
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in BLOCK_TAGS:
+        block = tag in BLOCK_TAGS
+        if block:
             flush()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (place := open_.last((tag,))) >= 0:
+                open_.cut(place)
         else:
-            names = ("p",) if tag in BLOCK_TAGS and opened(("p",)) is not None else ()
-            i = opened(names) if names else None
-            if i is not None:
-                del stack[i:]
-            if tag in ENDED_BY and (i := opened(ENDED_BY[tag])) is not None:
-                del stack[i:]
+            if block:
+                open_.end(("p",))
+            if tag in ENDED_BY:
+                open_.end(ENDED_BY[tag])
             if tag not in VOID_TAGS and not m[3].endswith("/"):
-                stack.append((tag, _path_words(tag, m[3])))
-        path = tuple(w for t, words in stack if t in BLOCK_TAGS or t == "a" for w in words) if tag in BLOCK_TAGS else path
+                open_.push(tag, m[3])
+        if block:
+            path = open_.path()
     if at < len(page):
         add(page[at:])
     flush()
@@ -150,6 +194,9 @@ def _bucket(size: int):
 
 _path_at = Remembered(_bucket(PATH_SIZE), 1 << 16)
 _word_at = Remembered(_bucket(WORD_SIZE), 1 << 17)
+_NO_PATH = np.zeros(PATH_SIZE, np.float32)
+#: Bound of a path's component, for pages of unheard-of depth.
+MOST_PATH = 8.0
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -157,9 +204,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     for i, b in enumerate(blocks):
         row = out[i]
-        for w in b.path:
-            at, sign = _path_at[w]
-            row[at] += sign
+        row[:PATH_SIZE] = b.path
         words = b.text.split()
         votes: dict[int, float] = {}
         for w in words:
@@ -170,7 +215,7 @@ def features(blocks: list[Block]) -> np.ndarray:
             row[PATH_SIZE + at] = max(-1.0, min(1.0, v * scale * 0.2))
         size = len(b.text)
         row[-COUNTS:] = (math.log1p(size) / 6, b.linked / size, min(1.0, sum(b.text.count(c) for c in ".,;!?") / len(words)), i / n, 1 - i / n, min(len(words), 40) / 40)
-    return out
+    return out.clip(-MOST_PATH, MOST_PATH)
 
 
 class Labeller:
@@ -186,8 +231,8 @@ class Labeller:
             self.w[f"c{d}"] = bias
         self.w["o"], self.w["p"] = draw(2 * HIDDEN, 1), np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """States (time, pages, HIDDEN) of one direction, and what its gradient needs."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool = False):
+        """States (time, pages, HIDDEN) of one direction, and with ``keep`` what its gradient needs."""
         w, times = self.w, range(len(x))
         pre = x @ w[f"x{d}"] + w[f"c{d}"]
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -200,7 +245,8 @@ class Labeller:
             m = mask[t][:, None]
             c_new = f * c + i * g
             th = np.tanh(c_new)
-            kept.append((t, i, f, o, g, c, th, h, m))
+            if keep:
+                kept.append((t, i, f, o, g, c, th, h, m))
             c, h = np.where(m, c_new, c), np.where(m, o * th, h)
             states[t] = h
         return states, kept
@@ -210,7 +256,7 @@ class Labeller:
         return (both @ self.w["o"] + self.w["p"])[..., 0]
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
-        runs = {d: self._run(x, mask, d) for d in "fb"}
+        runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate((runs["f"][0], runs["b"][0]), 2)
         z = (both @ self.w["o"] + self.w["p"])[..., 0]
         p = 1 / (1 + np.exp(-z))
@@ -319,6 +365,12 @@ def generated_page(rng: random.Random) -> tuple[str, list[tuple[str, bool]]]:
         end = "" if tag in ("p", "li") and rng.random() < 0.2 else f"</{tag}>"
         return f"<{tag}{attributes}>{inner}{end}" + rng.choice(("", "\n", " "))
 
+    def fallback() -> str:
+        """What shows where scripts or players don't work."""
+        tag = rng.choice(("noscript", "video", "audio", "object", "canvas"))
+        labels.append((text := words(3, 10), False))
+        return f"<{tag}>{esc(text)}</{tag}>"
+
     def listed(main: bool, linked: bool) -> str:
         items = []
         for _ in range(rng.randint(2, 8)):
@@ -375,8 +427,10 @@ def generated_page(rng: random.Random) -> tuple[str, list[tuple[str, bool]]]:
                 parts.append(listed(True, False))
             elif r < 0.93:
                 parts.append(block("p", words(1, 3) + ".", True))
-            elif r < 0.96:
+            elif r < 0.955:
                 parts.append(block("pre", words(2, 20), True))
+            elif r < 0.965:
+                parts.append(fallback())
             else:
                 parts.append(chrome(rng.choice(("ad", "share", "aside", "form"))))
         return start + "".join(parts) + end
@@ -388,7 +442,7 @@ def generated_page(rng: random.Random) -> tuple[str, list[tuple[str, bool]]]:
     after = [k for k in ("share", "aside", "comments", "ad", "form", "nav", "footer") if rng.random() < 0.45]
     rng.shuffle(before)
     wrap = rng.random() < 0.4
-    body = "".join(chrome(k) for k in before) + ("<div id='page'>" if wrap else "")
+    body = (fallback() if rng.random() < 0.1 else "") + "".join(chrome(k) for k in before) + ("<div id='page'>" if wrap else "")
     body += article()
     body += "".join(chrome(k) for k in after) + ("</div>" if wrap else "")
     return head + body + rng.choice(("</body></html>", "")), labels
