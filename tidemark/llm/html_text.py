@@ -62,7 +62,7 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PATH_SIZE, WORD_SIZE, COUNTS = 128, 48, 6
 INPUT = PATH_SIZE + WORD_SIZE + COUNTS
 HIDDEN = 20
-TRAINING_PAGES, EPOCHS, SEED = 1600, 6, 11
+TRAINING_PAGES, EPOCHS, SEED = 2400, 6, 11
 
 
 class Block:
