@@ -31,13 +31,29 @@ def test_whole_texts_match_the_library(library):
 
 def test_every_prefix_matches_the_library(library):
     rng, own = random.Random(6), token_counts.coder(token_counts.TOKENIZER)
-    for text in [t for t in TEXTS if len(t) < 200 and "<|" not in t] + [random_text(rng).replace("<|endoftext|>", "") for _ in range(60)]:
+    texts = [t for t in TEXTS if len(t) < 200] + [random_text(rng) for _ in range(150)]
+    texts += ["we'll I're x've 'tis 'r", "!!<|endoftext|>!!<|endof", "a  \n b\t\t\tc   ", "中" * 40, "a,b;" * 30, "word\n" * 30]
+    for text in texts:
         want = [len(library.encode(text[:i]).ids) for i in range(len(text) + 1)]
         assert own.prefix_counts(text) == want, repr(text)
         stored = token_counts.PrefixCounts(own, text)
         assert [stored.at(i) for i in range(len(text) + 1)] == want
-        for budget in (0, 1, 3, 10):
-            assert want[stored.fits(budget)] <= budget
+        sums = own.sums(text)
+        for budget in (0, 1, 2, 3, 5, 10, 17):
+            best = max(i for i, n in enumerate(want) if n <= budget)
+            assert stored.fits(budget) == best == own.limit_chars(text, *sums, budget), (text, budget)
+
+
+def test_limits_of_texts_without_spaces(spark, library):
+    texts = ["中" * 5000, "a,b;" * 3000, "word\n" * 3000, "x" * 9000, " " * 3000, "<|endoftext|>" * 1500, "plain words " * 900, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tables = token_counts.prefix_tables(docs).cache()
+    cut = {r.doc_id: (r.chars, r.tokens) for r in token_counts.truncated(tables, 1024).collect()}
+    for r in token_counts.count_tokens(docs).collect():
+        text = texts[r.doc_id]
+        assert (r.limit_chars, len(library.encode(text[: r.limit_chars]).ids)) == cut[r.doc_id]
+        assert r.limit_chars == len(text) or len(library.encode(text[: r.limit_chars + 1]).ids) > 1024
+        assert r.limit_chars > 0 or not text
 
 
 def test_query(spark, library):

@@ -1,14 +1,20 @@
 """Token counts at every prefix of a text, exactly as the tokenizers library gives them.
 
 A byte-level BPE file splits texts by a fixed pattern and merges bytes within each piece.  The table of
-``bpe.Paths`` holds the exact count at every prefix of a piece.  Runs of characters between single spaces
-are encoded independently of each other, so a text's counts are running sums over such runs, and those
-that recur are remembered (a bounded number).  With the running sums stored, ``PrefixCounts`` answers how
-many tokens a prefix has and where a budget ends without encoding anything again.
+``bpe.Paths`` holds the exact count at every prefix of a piece.  A prefix of a text is encoded like the text up
+to the piece that it ends in, with three exceptions that the table takes into account: white space at a prefix's end
+is one piece, a contraction is one only when it is whole, and so is a special token.  So ``prefix_counts`` gives a
+text's table in one pass; with it stored, ``PrefixCounts`` (on the driver) and ``truncated`` (on a table of
+stored counts) answer how many tokens a prefix has and where a budget ends without encoding anything again.
+
+Runs of characters between single spaces are encoded independently of each other, so whole texts are counted as
+sums over runs, and runs that recur are remembered (a bounded number); where a text goes over the limit, the table of
+the one run that holds the limit gives the exact place.
 
 Defined results: a null text counts as empty (no bytes, no tokens); strings of special tokens inside a text
-count as the one token that the library's default makes of them; repeated rows are counted each; an empty
-table gives an empty result; further columns are ignored.
+count as the one token that the library's default makes of them; a very long text, or one without any space, is
+counted whole; repeated rows are counted each; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 import functools
 import json
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +35,8 @@ from .common import map_slices
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
+#: Contractions that the splitting pattern of byte-level files names.
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
 #: Runs that are remembered by a worker, twice over, and the longest that is.
 MOST_RUNS, LONGEST_RUN = 300_000, 48
 
@@ -61,6 +70,9 @@ class ByteLevel:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.piece = Remembered(self._piece, MOST_RUNS)
         self.run = Remembered(self._count, MOST_RUNS)  # keys lack the space that they begin with
+        self.inside = Remembered(self._inside, MOST_RUNS // 8)
+        self.pieces = regex.compile(public_tokenizers.PATTERN).finditer
+        self.white = regex.compile(r"\s+")
 
     def _piece(self, piece: str) -> int:
         return self.paths.table(piece.encode().decode("latin-1"))[0][-1]
@@ -104,37 +116,81 @@ class ByteLevel:
         tokens.append(self.count_run(runs[0]))
         tokens += [remembered[r[1:]] if len(r) <= LONGEST_RUN and r[0] == " " else self.count_run(r) for r in runs[1:]]
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of every prefix of the text, in code points, the empty one first."""
+    def _inside(self, piece: str) -> list[int]:
+        """Tokens of every prefix of a piece, in code points, the empty one first."""
+        counts = self.paths.table(piece.encode().decode("latin-1"))[0]
+        if len(counts) == len(piece) + 1:
+            return counts
+        ends = accumulate((len(c.encode()) for c in piece), initial=0)
+        return [counts[i] for i in ends]
+
+    def _within(self, piece: str) -> list[int]:
+        return self.inside[piece] if len(piece) <= LONGEST_RUN else self._inside(piece)
+
+    def segment_counts(self, text: str) -> list[int]:
+        """Tokens of every prefix of a text whose special tokens are ordinary text."""
         out, before = [0], 0
-        chars, tokens = self.sums(text)
-        start = 0
-        for n, whole in zip(chars, tokens):
-            run = text[start : start + n]
-            single = self.special is not None and self.special.fullmatch(run) is not None
-            inner = [self.count_run(run[:k]) for k in range(1, n)]
-            out += [before + c for c in inner] + [before + (1 if single else whole)]
-            before, start = out[-1], start + n
+        white_start = white_before = -1
+        for m in self.pieces(text):
+            piece, start = m[0], m.start()
+            lead = self.white.match(piece)
+            lead = lead.end() if lead else 0
+            if lead:
+                if white_start < 0:
+                    white_start, white_before = start, before
+                run = self._within(self.white.match(text, white_start)[0])
+                out += [white_before + run[k - white_start] for k in range(start + 1, start + lead + 1)]
+            whole = self._within(piece)
+            if lead < len(piece):
+                white_start = -1
+                if piece in CONTRACTIONS:
+                    out += [before + self.count_run(piece[:k]) for k in range(1, len(piece))]
+                    out.append(before + whole[-1])
+                else:
+                    out += [before + c for c in whole[lead + 1 :]]
+            before += whole[-1]
         return out
 
+    def prefix_counts(self, text: str) -> list[int]:
+        """Tokens of every prefix of the text, in code points, the empty one first."""
+        out, at = [0], 0
+        for m in self.special.finditer(text) if self.special else ():
+            before, counts = out[-1], self.segment_counts(text[at : m.end()])
+            out += [before + c for c in counts[1:-1]]
+            out.append(before + counts[m.start() - at] + 1)
+            at = m.end()
+        before = out[-1]
+        return out + [before + c for c in self.segment_counts(text[at:])[1:]]
+
+    def limit_chars(self, text: str, chars: list[int], tokens: list[int], limit: int) -> int:
+        """Code points of the longest prefix with at most ``limit`` tokens, given the sums of its runs."""
+        upto = list(accumulate(tokens, initial=0))
+        if upto[-1] <= limit:
+            return len(text)
+        i = bisect_right(upto, limit) - 1  # the first run that ends above the limit; all later prefixes are above it
+        starts = list(accumulate(chars, initial=0))
+        special = self.special is not None and self.special.fullmatch(text, starts[i], starts[i + 1]) is not None
+        # what is before a special token may join its first characters
+        first = i - 1 if special and i and not self.special.fullmatch(text, starts[i - 1], starts[i]) else i
+        counts = self.segment_counts(text[starts[first] : starts[i + 1]])
+        last = len(counts) - (1 if special else 0)
+        return starts[first] + max(k for k in range(last) if upto[first] + counts[k] <= limit)
+
 
 class PrefixCounts:
-    """Stored running sums of a text: counts of prefixes and places of budgets, without encoding the whole again."""
+    """The stored table of a text: counts of prefixes and places of budgets, without encoding again."""
 
     def __init__(self, coder: ByteLevel, text: str):
-        self.coder, self.text = coder, text
-        chars, tokens = coder.sums(text)
-        self.chars, self.tokens = [0, *np.cumsum(chars).tolist()], [0, *np.cumsum(tokens).tolist()]
+        self.counts = np.array(coder.prefix_counts(text), np.int64)
+        self.least = np.minimum.accumulate(self.counts[::-1])[::-1]  # of this prefix and all longer ones
 
     def at(self, chars: int) -> int:
         """Tokens of the prefix of so many code points."""
-        i = bisect_right(self.chars, chars) - 1
-        inside = self.text[self.chars[i] : chars]
-        return self.tokens[i] + (self.coder.count_run(inside) if inside else 0)
+        return int(self.counts[chars])
 
     def fits(self, budget: int) -> int:
-        """Code points of the runs that a budget of tokens holds."""
-        return self.chars[bisect_right(self.tokens, budget) - 1]
+        """Code points of the longest prefix with at most so many tokens."""
+        return int(np.searchsorted(self.least, budget, "right")) - 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,7 +204,7 @@ def coder(name: str) -> ByteLevel:
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) for each row.
 
-    limit_chars: code points of the text's longest prefix of whole runs with at most ``limit`` tokens.
+    limit_chars: code points of the text's longest prefix with at most ``limit`` tokens.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -158,10 +214,28 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
             chars, tokens = own.sums(text)
             counts.append(n := sum(tokens))
             sizes.append(len(text.encode()))
-            cuts.append(len(text) if n <= limit else sum(chars[: int(np.searchsorted(np.cumsum(tokens), limit, "right"))]))
+            cuts.append(len(text) if n <= limit else own.limit_chars(text, chars, tokens, limit))
         over = [n > limit for n in counts]
         columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(over), pa.array(cuts, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"])
 
     chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return map_slices(chosen, work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_chars long")
+
+
+def prefix_tables(docs: DataFrame, tokenizer: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, counts): the tokens of every prefix of each text, the empty one first."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = coder(tokenizer)
+        tables = [own.prefix_counts(t or "") for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(tables, pa.list_(pa.int32()))], ["doc_id", "counts"])
+
+    chosen = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return map_slices(chosen, work, "doc_id long, counts array<int>", rows=32)
+
+
+def truncated(tables: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, chars, tokens): from stored tables, the longest prefix with at most ``budget`` tokens."""
+    chars = F.size("counts") - 1 - F.array_position(F.transform(F.reverse("counts"), lambda c: c <= budget), True).cast("int") + 1
+    return tables.select("doc_id", chars.alias("chars"), F.get("counts", chars).alias("tokens"))
