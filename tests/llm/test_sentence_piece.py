@@ -24,24 +24,71 @@ def test_ids_and_decoding_match_the_library(library):
         assert own.decode(ids) == library.decode(ids) == own.normalised(text), repr(text)
 
 
-def test_unigram_path_is_the_cheapest():
-    rng = random.Random(9)
-    for _ in range(200):
-        text = "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
-        weights = {w: rng.random() * 3 for w in {text[i:j] for i in range(len(text)) for j in range(i + 1, len(text) + 1)} if rng.random() < 0.6}
-        cost = lambda path: sum(weights.get(p, 20.0) for p in path)
-        ways = [[]] if not text else []
-
-        def split(rest, path):
-            if not rest:
-                ways.append(path)
-            for k in range(1, len(rest) + 1):
-                if rest[:k] in weights or k == 1:
-                    split(rest[k:], path + [rest[:k]])
-
-        split(text, [])
-        got = sentence_piece._viterbi(text, weights, 9, 20.0)
-        assert "".join(got) == text and abs(cost(got) - min(map(cost, ways))) < 1e-9
+def test_merging_machine_has_one_path():
+    """The general search through the lattice finds what the table of a BPE model finds."""
+    rng, own = random.Random(3), sentence_piece.transducer(sentence_piece.MODEL)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "th", "er", "▁", "ing", "on", "中", "\x01", "1"]) for _ in range(rng.randint(1, 12)))
+        found = sentence_piece.shortest_path(text, own.machine)
+        ends = [s for s, _ in found[1:]] + [len(text)]
+        assert [text[s:e] for (s, _), e in zip(found, ends)] == own.paths.path(text), text
+
+
+def built(kind, pieces, rule="identity", own=(), with_bytes=False, **rules):
+    """A model of given pieces; nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    if rule != "identity":
+        model.normalizer_spec.ParseFromString(pb.NormalizerSpec(precompiled_charsmap=charsmap(rule)).SerializeToString())
+    model.normalizer_spec.name = rule
+    for k, v in {"add_dummy_prefix": True, "remove_extra_whitespaces": True, "escape_whitespaces": True, **rules}.items():
+        setattr(model.normalizer_spec, k, v)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = kind, with_bytes
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    model.pieces.add(piece="<s>", score=0, type=3)
+    for p in own:
+        model.pieces.add(piece=p, score=0, type=4)
+    if with_bytes:
+        for b in range(256):
+            model.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    for p, s in pieces:
+        model.pieces.add(piece=p, score=s, type=1)
+    return model.SerializeToString()
+
+
+def charsmap(rule):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    return spec.normalizer_spec.precompiled_charsmap
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("rule,with_bytes,own", [("identity", False, ()), ("nmt_nfkc_cf", True, ()), ("nmt_nfkc", False, ("<x>", "ab")), ("identity", True, ("@@",))])
+def test_built_models_match_the_library(kind, rule, with_bytes, own):
+    rng = random.Random(kind)
+    letters = ["▁", "a", "b", "c", "d", "fi", "▁a", "▁▁"]
+    if kind == 1:
+        texts = dict.fromkeys(["▁", *"abcdef"] + ["".join(rng.choice(letters) for _ in range(rng.randint(2, 4))).replace("▁", "") or "a" for _ in range(60)] + ["▁" + "".join(rng.choices("abcd", k=rng.randint(1, 3))) for _ in range(30)])
+        pieces = [(t, -rng.random() * 8 - 1) for t in texts if t not in own]
+    else:  # merges in their order: each piece is made of two earlier ones
+        names = ["▁", *"abcdef"]
+        while len(names) < 90:
+            a, b = rng.choice(names), rng.choice(names)
+            if a + b not in names and len(a + b) < 7 and "▁" not in b:
+                names.append(a + b)
+        pieces = [(t, -float(i)) for i, t in enumerate(names[7:])] + [(t, -1000.0 - i) for i, t in enumerate(names[:7])]
+        pieces = [p for p in pieces if p[0] not in own]
+    for rules in ({}, {"remove_extra_whitespaces": False}, {"add_dummy_prefix": False}):
+        proto = built(kind, pieces, rule, own, with_bytes, **rules)
+        library, mine = sentencepiece.SentencePieceProcessor(model_proto=proto), sentence_piece.Transducer(proto)
+        alphabet = ["a", "b", "c", "d", "ab", "fe", " ", "  ", "ﬁ", "①", "É", "\u3000", "z", "<x>", "@@", "\t", "ｱ", "ﾞ", "é"]
+        for _ in range(600):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14)))
+            assert mine.encode(text) == library.encode(text), (rules, text)
+            assert mine.decode(mine.encode(text)) == library.decode(library.encode(text)), (rules, text)
 
 
 def test_query(spark, library):

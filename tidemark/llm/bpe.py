@@ -2,11 +2,18 @@
 
 A sequence of tokens is the encoding of its text exactly if every two neighbours are the encoding of their
 own text.  So the last token of each prefix can be found from those of shorter prefixes, and with it the
-prefix's token count, in one pass and without merging anything but pairs of tokens, which are remembered.
+prefix's token count, in one pass and without merging anything.
+
+Whether two neighbours are the encoding of their own text is read off the merges that formed them.  Where a
+token's rank is above those of its parts, as in every trained vocabulary, merges happen in the order of rank.
+Going back in time from the finished pair, the token that was formed last is undone, and what then meets at the
+border must not merge before that token was formed; ties go to the left.  Vocabularies without that order are
+merged instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import ahocorasick
@@ -50,16 +57,51 @@ class Paths:
         for token, i in tokens.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
+        self.ordered = True
         self.fits = Remembered(self._fit, pairs)
         self.whole = Remembered(lambda i: len(self.merged(self.names[i])) == 1, pairs)
+        self.formed = Remembered(self._formed, pairs)
+
+    def _formed(self, token: str) -> tuple[float, str, str]:
+        """(rank of the token's last merge, its left and right part); single characters have rank -1."""
+        if len(token) == 1:
+            return -1.0, token, token
+        parts, at = self._merge(token)
+        if len(parts) != 1:
+            return math.inf, token, token
+        left, right = token[:at], token[at:]
+        rank = self.rank(left, right)
+        if any(len(x) > 1 and self.formed[x][0] >= rank for x in (left, right)):
+            self.ordered = False
+        return rank, left, right
 
     def _fit(self, pair: int) -> bool:
         a, b = (self.names[i] for i in divmod(pair, self.width))
-        return self.merged(a + b) == [a, b]
+        rank, formed = self.rank, self.formed
+        (of_x, _, right), (of_y, left, _) = formed[a], formed[b]
+        if of_x == math.inf or of_y == math.inf:
+            return False
+        x, y, limit, tie = a, b, math.inf, False
+        while True:
+            r = rank(x, y)
+            if r is not None and (r < limit or tie and r == limit):
+                return not self.ordered and self.merged(a + b) == [a, b]
+            if of_x == of_y == -1.0:
+                return self.ordered or self.merged(a + b) == [a, b]
+            if of_x > of_y:
+                limit, tie, x = of_x, False, right
+                of_x, _, right = formed[x]
+            else:
+                limit, tie, y = of_y, True, left
+                of_y, left, _ = formed[y]
 
     def merged(self, text: str) -> list[str]:
         """The encoding by merging, for short texts."""
-        parts = list(text)
+        return self._merge(text)[0]
+
+    def _merge(self, text: str) -> tuple[list[str], int]:
+        """(encoding, where the last merge was, in characters)."""
+        parts, last = list(text), 0
         rank = self.rank
         ranks = [rank(a, b) for a, b in zip(parts, parts[1:])]
         while True:
@@ -68,7 +110,8 @@ class Paths:
                 if r is not None and (least is None or r < least):
                     least, at = r, i
             if least is None:
-                return parts
+                return parts, last
+            last = sum(map(len, parts[: at + 1]))
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del ranks[at]
             if at:
