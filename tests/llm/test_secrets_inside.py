@@ -65,3 +65,21 @@ def test_long_runs_take_one_pass():
     start = time.time()
     s.spans(text)
     assert time.time() - start < 60
+
+
+def test_recall_in_text_and_ordinary_text():
+    """Of credentials in many surroundings at least nine of ten are found whole; ordinary strings give no span."""
+    rng = random.Random(77)
+    hit = total = 0
+    for make in secret_scan.FORMATS.values():
+        for _ in range(60):
+            own = make(rng)
+            before = rng.choice(["key ", "GITHUB_PAT=", "https://x.io/", "(", '"', "id: ", "a.b/", "see "])
+            text = "word " + before + own + rng.choice([" end", ")", '"', ". Then", "\n", ""])
+            hit += any(text[s:e] == own for s, k, e in secret_scan.spans(text)[1] if k == 3)
+            total += 1
+    assert hit >= 0.9 * total, (hit, total)
+    for _ in range(3000):
+        text = f"{secret_scan.ordinary(rng)}{rng.choice(' /=.')}{secret_scan.ordinary(rng)}"
+        base, found = secret_scan.spans(text)
+        assert found == base, text

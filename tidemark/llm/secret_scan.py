@@ -19,8 +19,11 @@ threshold is taken, in one pass over the piece.
 Base patterns: assignments, access keys and long hexadecimal runs, as leftmost matches.  What the
 automata accept is added as kind ``format`` where no base match overlaps it.
 
-Defined results: a null text counts as empty and has no spans; spans are in code points; repeated rows are
-scanned each; an empty table gives an empty result.
+No labelled format is shorter than ``LEAST_FORMAT`` characters, so nothing shorter is a candidate.
+
+Defined results: a null text counts as empty and has no spans; a very long text is scanned whole, a long run in
+time in proportion to its length; spans are in code points; repeated rows are scanned each; an empty table
+gives an empty result; further columns, whatever their names, are ignored by ``scan`` and kept by ``mask_secrets``.
 """
 
 from __future__ import annotations
@@ -259,9 +262,7 @@ class Grammar:
         return (best - self.background.likelihood(text)) / (len(text) + 1) if best > -math.inf else -math.inf
 
     def accepts(self, text: str) -> bool:
-        if len(text) < LEAST_FORMAT or not (any(c.isdigit() for c in text) and any(c.isupper() for c in text) and any(c.islower() for c in text)):
-            return False
-        return self.score(text) > self.threshold
+        return len(text) >= LEAST_FORMAT and self.score(text) > self.threshold
 
     def inside(self, text: str) -> list[tuple[int, int]]:
         """The best set, with up to ``PARTS`` neighbours as one where an accepted sub-candidate spans them."""
@@ -278,33 +279,32 @@ class Grammar:
         A walk is an automaton's way from a start; of walks that have the same future only the best goes on.
         """
         n = len(text)
-        if n < LEAST_FORMAT or not (any(c.isdigit() for c in text) and any(c.isupper() for c in text) and any(c.islower() for c in text)):
+        if n < LEAST_FORMAT:
             return []
         first = n - len(text.lstrip(TRIMMED))
         automata, classes = list(self.automata.values()), [_class(c) for c in text]
         best, taken = [0.0] * (n + 1), [-1] * (n + 1)
-        walks: dict[tuple[int, int, int, int], tuple[float, int]] = {}  # (automaton, state, length, kinds seen): (-sum, start)
+        walks: dict[tuple[int, int, int], tuple[float, int]] = {}  # (automaton, state, length): (-sum, start)
         for i in range(n + 1):
             if i:
                 best[i] = best[i - 1]
                 if walks and (i == n or text[i] in SEPARATORS):
                     end = self.background.step(classes[i - 1], "") + self.threshold
-                    for (k, state, length, seen), (cost, start) in walks.items():
-                        if length == LEAST_FORMAT and seen == 7 and (total := automata[k].log[state, ""][0] - end - cost) > best[i]:
+                    for (k, state, length), (cost, start) in walks.items():
+                        if length == LEAST_FORMAT and (total := automata[k].log[state, ""][0] - end - cost) > best[i]:
                             best[i], taken[i] = total, start
             if i == n:
                 break
             if text[i] not in SEPARATORS and (i in (0, first) or text[i - 1] in SEPARATORS):
-                walks |= {(k, 0, 0, 0): (-best[i], i) for k in range(len(automata))}
+                walks |= {(k, 0, 0): (-best[i], i) for k in range(len(automata))}
             c, now = classes[i], {}
-            kind = {"A": 1, "a": 2, "0": 4}.get(c, 0)
-            for (k, state, length, seen), (cost, start) in walks.items():
+            for (k, state, length), (cost, start) in walks.items():
                 own = automata[k]
                 letter = "=" + text[i] if length < LITERAL and text[i] in own.fixed.get(length, ()) else c
                 step = own.log.get((state, letter))
                 if step is not None:
                     cost += self.background.step(classes[i - 1] if length else "", c) + self.threshold - step[0]
-                    key = (k, step[1], min(length + 1, LEAST_FORMAT), seen | kind)
+                    key = (k, step[1], min(length + 1, LEAST_FORMAT))
                     now[key] = min(now.get(key, (math.inf, 0)), (cost, start))
             walks = now
         out, i = [], n
