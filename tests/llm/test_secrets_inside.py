@@ -3,6 +3,7 @@ import time
 
 import pytest
 
+from tidemark.llm import secret_scan
 from tidemark.llm import secret_scan as s
 
 GITHUB, GOOGLE = "ghp_" + "a1B2" * 9, "AIza" + "Sy3-b_K" * 5
@@ -76,7 +77,7 @@ def test_recall_in_text_and_ordinary_text():
             own = make(rng)
             before = rng.choice(["key ", "GITHUB_PAT=", "https://x.io/", "(", '"', "id: ", "a.b/", "see "])
             text = "word " + before + own + rng.choice([" end", ")", '"', ". Then", "\n", ""])
-            hit += any(text[s:e] == own for s, k, e in secret_scan.spans(text)[1] if k == 3)
+            hit += any(text[a:e] == own for a, k, e in secret_scan.spans(text)[1] if k == 3)
             total += 1
     assert hit >= 0.9 * total, (hit, total)
     for _ in range(3000):
