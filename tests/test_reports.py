@@ -38,7 +38,9 @@ def test_audit_answers(spark):
     assert (got["A"].found, got["A"].external_audit_firm, got["A"].audit_opinion) == (True, "Deloitte Vietnam", "unqualified")
     assert (got["B"].found, got["B"].external_audit_firm, got["B"].audit_opinion) == (True, None, "unqualified")
     assert (got["C"].found, got["D"].external_audit_firm) == (False, "KPMG")
-    assert S.audit_facts({}, "công ty từ chối")["audit_opinion"] == "disclaimer"
+    refused = spark.createDataFrame([("E", 1999, "{}", "công ty từ chối"), ("F", 1999, None, None), ("G", 1999, '{"found": true, "signing_auditor_names": ["H"], "details": []}', "")], "ticker string, year int, answer string, source_text string")
+    got = {r.ticker: r for r in S.audit_normalized(refused).collect()}
+    assert (got["E"].audit_opinion, got["F"].found, got["G"].found, got["G"].signing_auditor_names) == ("disclaimer", False, True, ["H"])
 
 
 def test_statement_rosters(spark):
@@ -115,6 +117,12 @@ def test_state(spark):
     new = spark.createDataFrame([("A", 1, "completed"), ("A", 1, "completed"), ("C", 3, "pending")], "ticker string, year int, status string")
     rows = lambda d: sorted(tuple(r) for r in d.collect())
     assert rows(U.upsert(base, new, ["ticker", "year"])) == [("A", 1, "completed"), ("B", 2, "completed"), ("C", 3, "pending")]
+    several = spark.createDataFrame([("A", 1, "x"), ("A", 1, "y"), (None, 1, "n"), (None, 1, "m")], "ticker string, year int, status string")
+    for parts in (1, 2, 4):
+        out = {(r.ticker, r.year): r.status for r in U.upsert(base.unionByName(several.where("status = 'n'")), several.withColumn("at", F.monotonically_increasing_id()).repartition(parts), ["ticker", "year"], "at").drop("at").collect()}
+        assert out["A", 1] == "y" and out[None, 1] == "m" and len(out) == 3
+    scoped = spark.createDataFrame([("A", 1, "GOV_X"), ("A", 1, "GOV_X_FS"), ("B", 1, "GOV_X"), ("A", 1, None)], "ticker string, year int, item_code string")
+    assert sorted(map(str, map(tuple, U.scoped_delete(scoped, "A", 1, ["GOV_X"]).collect()))) == sorted(map(str, [("A", 1, "GOV_X_FS"), ("B", 1, "GOV_X"), ("A", 1, None)]))
     assert rows(U.insert_missing(base, new, ["ticker", "year"])) == [("A", 1, "failed"), ("B", 2, "completed"), ("C", 3, "pending")]
     assert rows(U.reset_failed(base))[0] == ("A", 1, "pending")
     assert rows(U.full_refresh(base, base.limit(0))) == rows(base)

@@ -71,15 +71,16 @@ def quality(reports: DataFrame, text_column: str = "content") -> DataFrame:
             "isolated_diacritic_count": F.size(F.filter("q_tokens", lambda t: (F.length(t) == 1) & t.rlike("[À-ỹ]"))),
             "q_chars": F.length(F.array_join("q_tokens", "")),
             "broken_spacing_count": F.size(spaced_matches(text)),
-            "garbled_count": F.size(F.filter(_words(text), is_garbled)),
+            "q_garbled": F.transform("q_lines", lambda x: F.size(F.filter(_words(x), is_garbled))),
             "q_nonempty": F.size(F.filter("q_lines", lambda x: x.rlike(r"(?U)\S"))),
         }
     )
+    out = out.withColumn("garbled_count", F.aggregate("q_garbled", F.lit(0), lambda a, x: a + x))  # no word goes over a line's end
     n = F.greatest(F.col("token_count"), F.lit(1))
     out = out.withColumns({"single_char_ratio": F.col("single_char_count") / n, "average_token_length": F.col("q_chars") / n, "garbled_ratio": F.col("garbled_count") / n})
     spaced, garbled = F.col("broken_spacing_count") >= SPACED_COUNT, F.col("garbled_ratio") >= GARBLED_RATIO
-    hit = lambda x: (spaced & (F.size(spaced_matches(x)) > 0)) | (garbled & F.exists(_words(x), is_garbled))
-    numbered = F.transform("q_lines", lambda x, i: F.when(hit(x), i + 1))
+    hit = lambda x, i: (garbled & (F.get("q_garbled", i) > 0)) | (spaced & (F.size(spaced_matches(x)) > 0))
+    numbered = F.transform("q_lines", lambda x, i: F.when(hit(x, i), i + 1))
     out = out.withColumn("affected_lines", F.when(spaced | garbled, F.array_compact(numbered)).otherwise(F.array().cast("array<int>")))
     out = out.withColumns({"affected_line_count": F.size("affected_lines"), "affected_region_count": regions(F.col("affected_lines"))})
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -97,7 +98,7 @@ def quality(reports: DataFrame, text_column: str = "content") -> DataFrame:
     status = F.when(~some, "pass").when(fail, "fail").when((F.col("suspicious_score") >= WARNING_SCORE) | spaced, "warning").otherwise("pass")
     names = {"high_single_char_ratio": single, "broken_spacing_patterns": spaced, "short_average_token_length": short, "garbled_vietnamese_tokens": garbled}
     reasons = F.array_join(F.array_compact(F.array(*[F.when(some & c, F.lit(r)) for r, c in names.items()])), ",")
-    return out.withColumns({"quality_status": status, "quality_reason": reasons}).drop("q_tokens", "q_lines", "q_chars", "q_nonempty")
+    return out.withColumns({"quality_status": status, "quality_reason": reasons}).drop("q_tokens", "q_lines", "q_chars", "q_nonempty", "q_garbled")
 
 
 #: Fixed markers of financial statements.
@@ -131,7 +132,7 @@ def chunks(reports: DataFrame, size: int = 512, overlap: int = 128, text_column:
     return out.select(*[c for c in out.columns if c != "c_window"], F.array_join("c_window", " ").alias("chunk_text"), F.size("c_window").alias("token_count"))
 
 
-#: Section tags: the terms that tell them and the role tag that follows.
+#: Fixed values, section tags: the terms that tell them and the role tag that follows.
 SECTION_TERMS = {
     "leadership_overview": ["thong tin chung", "thông tin chung", "gioi thieu", "giới thiệu"],
     "board_of_directors": ["hoi dong quan tri", "hội đồng quản trị", "hdqt", "hđqt"],
@@ -147,14 +148,23 @@ MEMBER_ROLE = r"(?U)\b(thanh vien|thành viên|chu tich|chủ tịch|tong giam d
 
 def chunk_metadata(text: Column) -> Column:
     """Section and role tags, up to four headings and three signals of a chunk."""
-    plain = squash(F.lower(F.coalesce(text, F.lit(""))))
-    has = {tag: contains_any(plain, terms) for tag, terms in SECTION_TERMS.items()}
-    tags = F.array_compact(F.array(*[F.when(h, F.lit(t)) for t, h in has.items()]))
-    roles = F.array_compact(F.array(*[F.when(has[t], F.lit(r)) for t, r in ROLE_OF.items()]))
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    headings = F.filter(lines, lambda x: x.startswith("#") | x.rlike(r"(?U)^\d+(?:\.\d+)*\s+"))
-    signals = F.struct(plain.rlike(PERSON_TITLE).alias("has_person_title"), plain.rlike(MEMBER_ROLE).alias("has_member_role"), F.coalesce(text, F.lit("")).contains("|").alias("has_table_like"))
-    return F.struct(F.lit(1).alias("schema_version"), tags.alias("section_tags"), roles.alias("role_tags"), F.transform(F.slice(headings, 1, 4), lambda x: F.substring(x, 1, 140)).alias("heading_hints"), signals.alias("signals"))
+    def tagged(x: Column) -> Column:  # x.t: the text, x.p: its plain form, each computed once
+        text, plain = x["t"], x["p"]
+        has = F.array(*[F.when(contains_any(plain, terms), F.lit(tag)) for tag, terms in SECTION_TERMS.items()])
+        lines = F.transform(F.split(text, LINE_BREAK), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        headings = F.filter(lines, lambda x: x.startswith("#") | x.rlike(r"(?U)^\d+(?:\.\d+)*\s+"))
+        signals = F.struct(plain.rlike(PERSON_TITLE).alias("has_person_title"), plain.rlike(MEMBER_ROLE).alias("has_member_role"), text.contains("|").alias("has_table_like"))
+        return F.struct(F.array_compact(has).alias("tags"), F.transform(F.slice(headings, 1, 4), lambda x: F.substring(x, 1, 140)).alias("heading_hints"), signals.alias("signals"))
+
+    roles = F.create_map(*[F.lit(x) for pair in ROLE_OF.items() for x in pair])
+
+    def whole(x: Column) -> Column:
+        role_tags = F.filter(F.transform(x["tags"], lambda t: F.try_element_at(roles, t)), lambda r: r.isNotNull())
+        return F.struct(F.lit(1).alias("schema_version"), x["tags"].alias("section_tags"), role_tags.alias("role_tags"), x["heading_hints"].alias("heading_hints"), x["signals"].alias("signals"))
+
+    given = F.coalesce(text, F.lit(""))
+    bound = F.transform(F.array(given), lambda t: F.struct(t.alias("t"), squash(F.lower(t)).alias("p")))
+    return F.transform(F.transform(bound, tagged), whole)[0]
 
 
 LLM_METADATA = "struct<section_tags array<string>, role_tags array<string>, signals struct<has_person_title boolean, has_member_role boolean, has_table_like boolean>, summary string, confidence double>"

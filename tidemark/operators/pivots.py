@@ -121,9 +121,11 @@ def run_progress(items: DataFrame) -> DataFrame:
 
 
 def statement_pivot(lines: DataFrame, years: list[int]) -> DataFrame:
-    """Line items by fiscal year; of equal dates the largest value."""
+    """Line items by fiscal year; of several of a year the one with the latest date, then the last value read (the largest
+    where dates are equal) overwrites the others, null or not."""
     year = F.substring("fiscal_date", 1, 4).try_cast("int")
-    values = [F.max(F.when(year == y, F.col("numeric_value"))).alias(f"y{y}") for y in years]
+    place = F.struct(F.col("fiscal_date"), F.col("numeric_value"))
+    values = [F.max(F.when(year == y, place))["numeric_value"].alias(f"y{y}") for y in years]
     return lines.groupBy("item_code", "label", "display_order").agg(*values)
 
 

@@ -6,6 +6,9 @@ shuffled before they are ranked; ranks up to k are group-limited before the sort
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,10 @@ from ..functions.vector import cosine_distance, guarded_similarity
 
 FIRM_YEAR = ["ticker", "year"]
 ALPHA, BETA, GAMMA = 1.0, 0.12, 0.08
-#: Query vectors that may be broadcast at once.
+#: Query vectors that are broadcast at once; more go in blocks.
 MOST_QUERIES = 10_000
 
-#: Terms of each governance item.  Terms that stand twice count twice.
+#: Terms of each governance item, and tags that fit and conflict.  Terms that stand twice count twice.
 PROFILES: dict[str, dict[str, list[str]]] = {
     "GOV_SHAREHOLDERS": {
         "include": ["cổ đông", "co dong", "sở hữu", "so huu", "tỷ lệ sở hữu", "ty le so huu", "cổ phiếu", "co phieu", "cổ đông lớn", "co dong lon"],
@@ -61,7 +64,7 @@ CONFLICT_TAGS = {
     "GOV_SUPERVISORY": ["board_of_directors", "executive_board"],
     "GOV_AUDIT": ["board_of_directors", "executive_board", "supervisory_board"],
 }
-#: Terms and points of audit chunks.
+#: Terms and points of audit chunks.
 AUDIT_TERMS = [
     "báo cáo kiểm toán", "bao cao kiem toan", "kiểm toán độc lập", "kiem toan doc lap", "ý kiến của kiểm toán viên", "y kien cua kiem toan vien", "công ty kiểm toán", "cong ty kiem toan",
     "đơn vị kiểm toán", "don vi kiem toan", "kiểm toán viên", "kiem toan vien", "ký báo cáo", "ky bao cao", "chữ ký", "chu ky", "người ký", "nguoi ky", "auditor", "audit report", "opinion",
@@ -81,11 +84,19 @@ def cosine_top(chunks: DataFrame, ticker: str, year: int, vector: list[float], k
     return own.withColumn("distance", cosine_distance(F.col("embedding"), query)).orderBy("distance", "chunk_index").limit(k)
 
 
+def query_blocks(queries: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """The queries in blocks of about half of ``most`` (MOST_QUERIES) at most, dealt by a hash."""
+    most = most or MOST_QUERIES
+    count = queries.count()
+    if count <= most:
+        return [queries]
+    blocks = -(-2 * count // most)
+    return [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)) == i) for i in range(blocks)]
+
+
 def with_distances(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Chunks against every query (item, query_vector); the queries are few and their number is checked."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors; run them in parts")
-    out = chunks.crossJoin(F.broadcast(queries))
+    """Chunks against every query (item, query_vector), in blocks of queries that may be broadcast."""
+    out = reduce(DataFrame.unionByName, [chunks.crossJoin(F.broadcast(block)) for block in query_blocks(queries)])
     return out.withColumn("distance", cosine_distance(F.col("embedding"), F.col("query_vector"))).drop("embedding", "query_vector")
 
 
@@ -141,9 +152,9 @@ def gated(scored: DataFrame, item: str, k: int, keys: list[str] = FIRM_YEAR) ->
     return scored.withColumns({"g_clean": clean, "g_enough": enough}).where(~F.col("g_enough") | F.col("g_clean")).drop("g_clean", "g_enough")
 
 
-def hybrid_rerank(chunks: DataFrame, item: str, vector: DataFrame, k: int = 20, multiplier: int = 4) -> DataFrame:
-    """Nearest k * multiplier chunks of each firm-year, scored, gated and ranked again."""
-    near = best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], k * multiplier, "near")
+def hybrid_rerank(chunks: DataFrame, item: str, vector: DataFrame, k: int = 20, multiplier: int = 4, tag: Callable = lambda df: df) -> DataFrame:
+    """Nearest k * multiplier chunks of each firm-year, scored, gated and ranked again; ``tag`` adds tags to the nearest."""
+    near = tag(best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], k * multiplier, "near"))
     return best(gated(hybrid_scores(near, item), item, k), FIRM_YEAR, [F.desc("hybrid_score"), "distance", "chunk_index"], k)
 
 
@@ -188,8 +199,9 @@ def audit_scores(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("audit_score", semantic(F.col("distance")) + prior + lexical)
 
 
-def audit_rerank(chunks: DataFrame, vector: DataFrame, k: int = 20) -> DataFrame:
-    near = best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], max(k, 6 * k), "near")
+def audit_rerank(chunks: DataFrame, vector: DataFrame, k: int = 20, tag: Callable = lambda df: df) -> DataFrame:
+    """Nearest 6 * k chunks of each firm-year by their audit score; ``tag`` adds tags to the nearest."""
+    near = tag(best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], max(k, 6 * k), "near"))
     return best(audit_scores(near), FIRM_YEAR, [F.desc("audit_score"), "distance", "chunk_index"], k)
 
 
@@ -201,10 +213,8 @@ def kb_retrieval(references: DataFrame, queries: DataFrame, k: int = 5, min_scor
 
     Indicator and topic must occur; each needle that occurs adds 0.01; the best k by score stay.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; run them in parts")
     text = F.lower("chunk_text")
-    out = references.crossJoin(F.broadcast(queries))
+    out = reduce(DataFrame.unionByName, [references.crossJoin(F.broadcast(block)) for block in query_blocks(queries)])
     holds = lambda c: F.col(c).isNull() | text.contains(F.lower(F.col(c)))
     out = out.where(holds("indicator_code") & holds("topic"))
     out = out.withColumn("similarity", guarded_similarity(F.col("query_vector"), F.col("embedding"))).where(F.col("similarity") >= min_score)

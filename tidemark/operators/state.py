@@ -8,30 +8,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` with rows of the updates' keys replaced, new keys added; of several updates of a key one stays."""
-    last = updates.dropDuplicates(keys)
-    return base.join(last.select(keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
+def _one_of_each(rows: DataFrame, keys: list[str], order: str | None, last: bool) -> DataFrame:
+    """The last (or first) row of each key by ``order``, else in the order of the rows; null keys are keys too."""
+    by = F.monotonically_increasing_id() if order is None else F.col(order)
+    placed = rows.select(*keys, F.struct("*").alias("u_row"), by.alias("u_order"))
+    pick = F.max_by if last else F.min_by
+    return placed.groupBy(keys).agg(pick("u_row", "u_order").alias("u_row")).select("u_row.*")
 
 
-def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Conflicts do nothing."""
-    return base.unionByName(rows.dropDuplicates(keys).join(base.select(keys), keys, "left_anti"), allowMissingColumns=True)
+def _without(rows: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key the other table hasn't; null keys are equal."""
+    other = keys_of.select(*[F.col(k).alias(f"u_{k}") for k in keys])
+    return rows.join(other, [F.col(k).eqNullSafe(F.col(f"u_{k}")) for k in keys], "left_anti")
 
 
-def _matched(base: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    renamed = updates.select(*keys, *[F.col(c).alias(f"new_{c}") for c in updates.columns if c not in keys], F.lit(True).alias("is_new"))
-    return base.withColumn("is_old", F.lit(True)).join(renamed, keys, "full")
+def upsert(base: DataFrame, updates: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """``base`` with rows of the updates' keys replaced, new keys added; of several updates of a key the last one by
+    ``order`` stays (without it: the last in the order of the rows).  Null keys are equal to each other."""
+    last = _one_of_each(updates, keys, order, True)
+    return _without(base, last, keys).unionByName(last, allowMissingColumns=True)
 
 
-def upsert_with(base: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
+def insert_missing(base: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Conflicts do nothing, so the first row of a new key stays."""
+    return base.unionByName(_without(_one_of_each(rows, keys, order, False), base, keys), allowMissingColumns=True)
+
+
+def upsert_with(base: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, Column], order: str | None = None) -> DataFrame:
     """Upsert with an expression over old (c) and new (new_c) columns for matched rows; others take the new value."""
-    both = _matched(base, updates.dropDuplicates(keys), keys)
+    new = _one_of_each(updates, keys, order, True)
+    new = new.select(*[F.col(c).alias(f"new_{c}") for c in new.columns], F.lit(True).alias("is_new"))
+    both = base.withColumn("is_old", F.lit(True)).join(new, [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in keys], "full")
     matched, only_new = F.col("is_old") & F.col("is_new"), F.col("is_old").isNull()
     out = []
     for c in base.columns:
         if c in keys:
-            out.append(F.col(c))
+            out.append(F.when(only_new, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c))
             continue
         new = F.col(f"new_{c}") if c in updates.columns else F.lit(None).cast(base.schema[c].dataType)
         value = rules.get(c, new if c in updates.columns else F.col(c))
@@ -116,9 +128,9 @@ def delete_jobs(jobs: DataFrame, results: DataFrame, status: str | None = None,
 
 
 def scoped_delete(results: DataFrame, ticker: str, year: int, codes: list[str]) -> DataFrame:
-    """Results without a firm-year's items, under the code itself or its statement-sourced form."""
-    stored = [*codes, *[f"{c}_FS" for c in codes]]
-    return results.where(~((F.col("ticker") == ticker) & (F.col("year") == year) & F.col("item_code").isin(stored)))
+    """Results without a firm-year's items of these codes; statement-sourced ones (_FS) are codes of their own and stay."""
+    gone = (F.col("ticker") == ticker) & (F.col("year") == year) & F.col("item_code").isin(codes)
+    return results.where(~F.coalesce(gone, F.lit(False)))
 
 
 def reset_downstream(tables: dict[str, DataFrame], jobs: dict[str, DataFrame], ticker: str, year: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -135,9 +147,10 @@ def sync_preview(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(old, ["ticker", "year"], "left").withColumn("action", action)
 
 
-def retries(items: DataFrame, most: int, limit: int, size: int) -> DataFrame:
-    """Failed items with attempts left, in order, in batches within their firm-year."""
-    chosen = items.where((F.col("status") == "failed") & (F.col("attempt_count") < most)).orderBy("ticker", "year", "chunk_index").limit(limit)
+def retries(items: DataFrame, most: int, limit: int | None, size: int) -> DataFrame:
+    """Failed items with attempts left, in order, in batches within their firm-year; ``limit`` None: all of them."""
+    chosen = items.where((F.col("status") == "failed") & (F.col("attempt_count") < most))
+    chosen = chosen if limit is None else chosen.orderBy("ticker", "year", "chunk_index").limit(limit)
     place = F.row_number().over(Window.partitionBy("ticker", "year").orderBy("chunk_index"))
     return chosen.withColumn("batch", F.floor((place - 1) / size))
 

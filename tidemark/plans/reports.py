@@ -225,7 +225,7 @@ def _(v):
     return D.statement_lines(v.financial_models, v.financial_statements, "T7", "2.0")
 
 
-@query("statement_pivot", f"WITH {_LINES} SELECT item_code, label, display_order, {', '.join(f'MAX(numeric_value) FILTER (fiscal_date LIKE {chr(39)}{y}%{chr(39)}) AS y{y}' for y in range(1995, 2002))} FROM l GROUP BY ALL")
+@query("statement_pivot", f"WITH {_LINES} SELECT item_code, label, display_order, {', '.join(f'first(numeric_value ORDER BY fiscal_date DESC, numeric_value DESC NULLS LAST) FILTER (fiscal_date LIKE {chr(39)}{y}%{chr(39)}) AS y{y}' for y in range(1995, 2002))} FROM l GROUP BY ALL")
 def _(v):
     return P.statement_pivot(D.statement_lines(v.financial_models, v.financial_statements, "T7", "2.0"), list(range(1995, 2002)))
 

@@ -27,7 +27,7 @@ def _tagged(v):
     return v.spark.sql(TAGGED)
 
 
-@query("accent_norm", f"WITH {_sql(TAGGED)} SELECT doc_id, strip_accents(substr(chunk_text, 1, 300)) AS plain, replace(replace(strip_accents(substr(chunk_text, 1, 300)), 'đ', 'd'), 'Đ', 'D') AS plain_d FROM tagged")
+@query("accent_norm", f"WITH {_sql(TAGGED)} SELECT doc_id, strip_accents(chunk_text) AS plain, replace(replace(strip_accents(chunk_text), 'đ', 'd'), 'Đ', 'D') AS plain_d FROM tagged")
 def _(v):
     text = F.col("chunk_text")
     return _tagged(v).select("doc_id", X.strip_accents(text).alias("plain"), X.strip_accents(text, True).alias("plain_d"))
@@ -156,14 +156,14 @@ def _(v):
 
 @query("prompt_batches", "SELECT run_id, ticker, year, chunk_index, CAST((ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY chunk_index) - 1) // 3 AS BIGINT) AS batch FROM chunk_items WHERE status = 'failed' AND attempt_count < 5")
 def _(v):
-    return U.retries(v.chunk_items, 5, 1_000_000, 3).select("run_id", "ticker", "year", "chunk_index", "batch")
+    return U.retries(v.chunk_items, 5, None, 3).select("run_id", "ticker", "year", "chunk_index", "batch")
 
 
 _DIST = "1 - list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
 
 
-def _queries(v, n=6):
-    return v.embeddings.where(F.col("vec_id") < n).select(F.concat(F.lit("Q"), F.col("vec_id").cast("string")).alias("item"), F.col("embedding").alias("query_vector"))
+def _queries(v):
+    return v.embeddings.where(F.col("vec_id") % 20 == 0).select(F.concat(F.lit("Q"), F.col("vec_id").cast("string")).alias("item"), F.col("embedding").alias("query_vector"))
 
 
 @query("cosine_topk", f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1) SELECT chunk_index, token_count, ROUND({_DIST.format('embedding', 'e')}, 6) + 0.0 AS distance FROM document_embeddings, q WHERE ticker = 'T3' AND year = 1996 ORDER BY {_DIST.format('embedding', 'e')}, chunk_index LIMIT 20")
@@ -172,7 +172,7 @@ def _(v):
     return R.cosine_top(v.document_embeddings, "T3", 1996, vector).select("chunk_index", "token_count", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
-_NEAR = f"""q AS (SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS query_vector FROM embeddings WHERE vec_id < 6),
+_NEAR = f"""q AS (SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS query_vector FROM embeddings WHERE vec_id % 20 = 0),
 near AS (SELECT ticker, year, item, chunk_index, chunk_text, {_DIST.format('embedding', 'query_vector')} AS distance FROM document_embeddings, q)"""
 
 
@@ -190,16 +190,23 @@ def _(v):
     return out.select("label", F.size("embedding").alias("dims"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 9).alias("squares"), F.round(F.get("embedding", F.lit(6)), 9).alias("seventh"))
 
 
+_CHUNKS = """SELECT CONCAT('T', CAST(label % 3 AS VARCHAR(9))) AS ticker, 1999 AS year, CAST(doc_id AS INTEGER) AS chunk_index, chunk_text, embedding
+  FROM tagged t CROSS JOIN (SELECT COUNT(*) AS vectors FROM embeddings) c JOIN embeddings e ON e.vec_id = t.doc_id % c.vectors"""
+
+
 def _chunked(v):
-    """Chunks with report vocabulary and their tags."""
-    texts = _tagged(v).select(F.col("doc_id").alias("d"), F.col("chunk_text").alias("t"))
-    rows = v.embeddings.withColumn("d", F.col("vec_id") % 200).join(texts, "d", "left")
-    out = rows.select(F.concat(F.lit("T"), (F.col("label") % 3).cast("string")).alias("ticker"), F.lit(1999).alias("year"), F.col("vec_id").cast("int").alias("chunk_index"), F.col("t").alias("chunk_text"), "embedding")
+    """Every document as a chunk with report vocabulary and a vector."""
+    _tagged(v)
+    v.embeddings.createOrReplaceTempView("embeddings")
+    return v.spark.sql(f"WITH {_sql(TAGGED)} {_CHUNKS}")
+
+
+def _with_tags(df):
     m = D.chunk_metadata(F.col("chunk_text"))
-    return out.withColumns({"section_tags": m["section_tags"], "role_tags": m["role_tags"], "has_table_like": m["signals"]["has_table_like"]})
+    return df.withColumn("m", m).withColumns({"section_tags": F.col("m.section_tags"), "role_tags": F.col("m.role_tags"), "has_table_like": F.col("m.signals.has_table_like")}).drop("m")
 
 
-_CHUNKED = f"""{_sql(TAGGED)}, c AS (SELECT 'T' || CAST(label % 3 AS VARCHAR) AS ticker, 1999 AS year, CAST(vec_id AS INTEGER) AS chunk_index, chunk_text, embedding FROM embeddings e LEFT JOIN tagged t ON t.doc_id = e.vec_id % 200),
+_CHUNKED = f"""{_sql(TAGGED)}, c AS ({_CHUNKS}),
 x AS (SELECT *, lower(COALESCE(chunk_text, '')) AS lt, {_OWN.replace('chunk_text', "COALESCE(chunk_text, '')")} AS tags FROM c)"""
 
 
@@ -226,7 +233,7 @@ SELECT ticker, year, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OV
 )
 def _(v):
     vector = v.embeddings.where("vec_id = 2").select(F.lit("GOV_EXECUTIVE").alias("item"), F.col("embedding").alias("query_vector"))
-    return R.hybrid_rerank(_chunked(v), "GOV_EXECUTIVE", vector, 10).select("ticker", "year", "chunk_index", F.round("hybrid_score", 6).alias("score"), "rank")
+    return R.hybrid_rerank(_chunked(v), "GOV_EXECUTIVE", vector, 10, tag=_with_tags).select("ticker", "year", "chunk_index", F.round("hybrid_score", 6).alias("score"), "rank")
 
 
 _ANCHORS = ["ban kiểm soát", "ban kiem soat"]
@@ -246,9 +253,9 @@ def _(v):
 def _(v):
     profile = R.PROFILES["GOV_EXECUTIVE"]
     vector = v.embeddings.where("vec_id = 2").select(F.lit("GOV_EXECUTIVE").alias("item"), F.col("embedding").alias("query_vector"))
-    near = R.hybrid_scores(R.best(R.with_distances(_chunked(v), vector), R.FIRM_YEAR, ["distance", "chunk_index"], 40, "near"), "GOV_EXECUTIVE")
+    near = R.hybrid_scores(_with_tags(R.best(R.with_distances(_chunked(v), vector), R.FIRM_YEAR, ["distance", "chunk_index"], 40, "near")), "GOV_EXECUTIVE")
     window = R.anchor_windows(_chunked(v), profile["anchor"], profile["section"])
-    window = R.hybrid_scores(R.with_distances(window, vector), "GOV_EXECUTIVE")
+    window = R.hybrid_scores(_with_tags(R.with_distances(window, vector)), "GOV_EXECUTIVE")
     return R.executive_order(R.section_boosted(near, window), 10).select("ticker", "year", "chunk_index", F.round("hybrid_score", 6).alias("score"), "seen_in_section", "rank")
 
 
@@ -264,19 +271,19 @@ SELECT ticker, year, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OV
 )
 def _(v):
     vector = v.embeddings.where("vec_id = 3").select(F.lit("GOV_AUDIT").alias("item"), F.col("embedding").alias("query_vector"))
-    return R.audit_rerank(_chunked(v), vector, 10).select("ticker", "year", "chunk_index", F.round("audit_score", 6).alias("score"), "rank")
+    return R.audit_rerank(_chunked(v), vector, 10, tag=_with_tags).select("ticker", "year", "chunk_index", F.round("audit_score", 6).alias("score"), "rank")
 
 
 def _kb(v):
     references = v.embeddings.select(F.col("vec_id").alias("chunk_id"), F.concat(F.when(F.col("vec_id") % 3 == 0, "CC1 checklist ").when(F.col("vec_id") % 3 == 1, "GHG1 disclosure ").otherwise("none "), F.col("label").cast("string")).alias("chunk_text"), "embedding")
-    asked = v.embeddings.where("vec_id < 6").select(
+    asked = v.embeddings.where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("query_id"), F.lit("checklist").alias("query"), F.when(F.col("vec_id") % 2 == 0, "CC1").otherwise("GHG1").alias("indicator_code"), F.lit(None).cast("string").alias("topic"), F.lit("EDC").alias("framework"), F.col("embedding").alias("query_vector")
     )
     return R.kb_retrieval(references, asked, 5, 0.0)
 
 
 _KB = f"""r AS (SELECT vec_id AS chunk_id, (CASE vec_id % 3 WHEN 0 THEN 'CC1 checklist ' WHEN 1 THEN 'GHG1 disclosure ' ELSE 'none ' END) || CAST(label AS VARCHAR) AS chunk_text, embedding FROM embeddings),
-q AS (SELECT vec_id AS query_id, CASE vec_id % 2 WHEN 0 THEN 'CC1' ELSE 'GHG1' END AS indicator_code, embedding AS qv FROM embeddings WHERE vec_id < 6),
+q AS (SELECT vec_id AS query_id, CASE vec_id % 2 WHEN 0 THEN 'CC1' ELSE 'GHG1' END AS indicator_code, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 f AS (SELECT query_id, indicator_code, chunk_id, lower(chunk_text) AS t, 1 - ({_DIST.format('embedding', 'qv')}) AS sim FROM r, q WHERE contains(lower(chunk_text), lower(indicator_code))),
 k AS (SELECT query_id, indicator_code, chunk_id, sim + 0.01 * (2 * CAST(contains(t, 'checklist') AS INTEGER) + 1 + CAST(contains(t, 'edc') AS INTEGER) + CAST(contains(t, 'disclosure') AS INTEGER)) AS score FROM f WHERE sim >= 0),
 ranked AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM k QUALIFY rank <= 5)"""

@@ -43,7 +43,7 @@ FROM documents
 SELECT CONCAT('T', CAST(e.label AS STRING)) AS ticker, CAST(1995 + e.vec_id % 3 AS INTEGER) AS year,
   CAST(ROW_NUMBER() OVER (PARTITION BY e.label, e.vec_id % 3 ORDER BY e.vec_id) - 1 AS INTEGER) AS chunk_index,
   d.text AS chunk_text, CAST(16 + e.vec_id % 97 AS INTEGER) AS token_count, e.embedding AS embedding, 'text-embedding-3-small' AS model
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % 200
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % (SELECT COUNT(*) FROM documents)
 """,
     "financial_ratios": """
 SELECT CONCAT('T', CAST(l_suppkey AS STRING)) AS code, l_returnflag AS ratio_group,
@@ -126,7 +126,7 @@ FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2
 SELECT CONCAT('T', CAST(e.label AS STRING)) AS ticker, CAST(1995 + e.vec_id % 3 AS INTEGER) AS year,
   CAST(ROW_NUMBER() OVER (PARTITION BY e.label, e.vec_id % 3 ORDER BY e.vec_id) - 1 AS INTEGER) AS chunk_index,
   d.text AS chunk_text, CAST(16 + e.vec_id % 97 AS INTEGER) AS token_count, e.embedding AS embedding, 'text-embedding-3-small' AS model
-FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % 200 WHERE e.label % 2 = 0
+FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id % (SELECT COUNT(*) FROM documents) WHERE e.label % 2 = 0
 """,
     "inference_results": """
 SELECT CONCAT('T', CAST(o_custkey % 60 AS STRING)) AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year,
