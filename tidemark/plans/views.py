@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import read_table
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -156,7 +158,8 @@ class Views:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            path = f"{self.sf_dir}/{name}.parquet"
+            return read_table(self.spark, path) if name == "documents" else self.spark.read.parquet(path)  # texts are costly, facts are not
         if name not in VIEWS:
             raise AttributeError(name)
         for table in tables_of(VIEWS[name]):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +17,17 @@ def session(name: str = "tidemark", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Bytes of a small table that is dealt to all cores: below, tasks cost more than they save; above, files are enough.
+SPREAD_FROM, SPREAD_BELOW = 4 << 20, 256 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; a small one in fewer files than there are cores is dealt out, as one row group is one task."""
+    df = spark.read.parquet(path)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    cores = spark.sparkContext.defaultParallelism
+    if SPREAD_FROM <= size < SPREAD_BELOW and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
