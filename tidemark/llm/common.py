@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import read_table
+
 #: Java regular expression for what separates words (space, tab to carriage return).
 GAP = r"[ \t\n\x0B\f\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
