@@ -26,7 +26,7 @@ SPREAD_FROM, SPREAD_BELOW = 4 << 20, 256 << 20
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table; a small one in fewer files than there are cores is dealt out, as one row group is one task."""
     df = spark.read.parquet(path)
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = spark.sparkContext.defaultParallelism
     if SPREAD_FROM <= size < SPREAD_BELOW and len(df.inputFiles()) < cores:
         return df.repartition(cores)
