@@ -183,20 +183,22 @@ def fit(counted: DataFrame, least: int = LEAST_VECTORS) -> tuple[DataFrame, Data
     fitted = settle(levels.join(hint(counts.where((F.col("count") >= least) | (F.col("q_group") == "*")).select("q_group")), "q_group"))
 
     def step(now: DataFrame) -> DataFrame:
-        return settle(_estimates(_nearest_half(_with_distance(fitted.join(hint(now), "q_group")), hint)))
+        return _estimates(_nearest_half(_with_distance(fitted.join(hint(now), "q_group")), hint))
 
     now = settle(_medians(fitted, hint).unionByName(_random_starts(fitted, counts, hint)))
     for _ in range(FIRST_STEPS):
-        now = step(now)
+        now = settle(step(now))
     lowest = now.groupBy("q_group").agg(F.min(F.struct("log_det", "q_start")).alias("best")).select("q_group", "best.q_start")
-    now = settle(now.join(lowest, ["q_group", "q_start"]))
-    moving = now
+    moving = settle(now.join(hint(lowest), ["q_group", "q_start"]))
+    reached = [moving]  # the estimates of each step, of the groups whose determinant fell
     for _ in range(MOST_STEPS):
-        after, was = step(moving), moving.select("q_group", F.col("log_det").alias("was"))
-        moving = settle(after.join(was, "q_group").where(F.col("log_det") < F.col("was") - 1e-9).drop("was"))
+        was = moving.select("q_group", F.col("log_det").alias("was"))
+        moving = settle(step(moving).join(hint(was), "q_group").where(F.col("log_det") < F.col("was") - 1e-9).drop("was"))
         if moving.isEmpty():
             break
-        now = settle(now.join(moving, "q_group", "left_anti").unionByName(moving))
+        reached.append(moving)
+    last = reduce(DataFrame.unionByName, reached)
+    now = settle(last.groupBy("q_group").agg(F.min(F.struct("log_det", "q_start", *ESTIMATE)).alias("best")).select("q_group", "best.*"))
     half = _estimates(_nearest_half(_with_distance(fitted.join(hint(now), "q_group")), hint), HALF_FACTOR)
     within = _with_distance(fitted.join(hint(settle(half)), "q_group")).where(F.col("d2") <= WITHIN)
     estimate = settle(_estimates(within.select("q_group", "q_start", *DIMS), WITHIN_FACTOR).select("q_group", *ESTIMATE))
