@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import read_table
 
-#: Settled tables after which the driver's unused objects are collected.
-COLLECT_EVERY = 4
-_settled = itertools.count(1)
 #: Java regular expression for what separates words (space, tab to carriage return).
 GAP = r"[ \t\n\x0B\f\r]+"
 
@@ -64,11 +60,16 @@ def settle(df: DataFrame) -> DataFrame:
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if next(_settled) % COLLECT_EVERY == 0:
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner free the driver's broadcasts and shuffles of finished steps
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_and_free(df: DataFrame) -> DataFrame:
+    """The same for the steps of a loop: the driver's broadcasts and shuffles of finished steps are freed."""
+    out = settle(df)
+    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner frees what is no longer referred to
+    return out
+
+
 def settle_as_dealt(df: DataFrame) -> DataFrame:
     """The same by a checkpoint, which keeps partitions and their order."""
     ensure_checkpoints(df.sparkSession)

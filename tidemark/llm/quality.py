@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, settle, words_of
+from .common import carried, settle, settle_and_free, words_of
 
 #: Rounding of the statistics: whole numbers of this fraction.
 SCALE = 1000
@@ -170,38 +170,38 @@ def _random_starts(levels: DataFrame, counts: DataFrame, hint) -> DataFrame:
 
 def fit(counted: DataFrame, least: int = LEAST_VECTORS) -> tuple[DataFrame, DataFrame]:
     """(estimates by q_group, map from (lang, source) group to the q_group that stands for it)."""
-    vectors = settle(counted.where("not q_base_failed").select("q_own", "q_lang", *DIMS).distinct())
+    vectors = settle_and_free(counted.where("not q_base_failed").select("q_own", "q_lang", *DIMS).distinct())
     wide = vectors.select("q_lang", *DIMS).distinct()
     everything = wide.select(*DIMS).distinct().withColumn("q_group", F.lit("*"))
     levels = vectors.select(F.col("q_own").alias("q_group"), *DIMS)
     levels = levels.unionByName(wide.select(F.concat(F.lit("*"), "q_lang").alias("q_group"), *DIMS)).unionByName(everything)
-    levels = settle(levels)
-    counts = settle(levels.groupBy("q_group").count())
+    levels = settle_and_free(levels)
+    counts = settle_and_free(levels.groupBy("q_group").count())
     # a hot group's vectors stay where they are while groups are few: what is joined has a row for each group
     hint = F.broadcast if counts.count() <= MOST_BROADCAST_GROUPS else lambda df: df
     large = counts.where(F.col("count") >= least).select("q_group")
-    fitted = settle(levels.join(hint(counts.where((F.col("count") >= least) | (F.col("q_group") == "*")).select("q_group")), "q_group"))
+    fitted = settle_and_free(levels.join(hint(counts.where((F.col("count") >= least) | (F.col("q_group") == "*")).select("q_group")), "q_group"))
 
     def step(now: DataFrame) -> DataFrame:
         return _estimates(_nearest_half(_with_distance(fitted.join(hint(now), "q_group")), hint))
 
-    now = settle(_medians(fitted, hint).unionByName(_random_starts(fitted, counts, hint)))
+    now = settle_and_free(_medians(fitted, hint).unionByName(_random_starts(fitted, counts, hint)))
     for _ in range(FIRST_STEPS):
-        now = settle(step(now))
+        now = settle_and_free(step(now))
     lowest = now.groupBy("q_group").agg(F.min(F.struct("log_det", "q_start")).alias("best")).select("q_group", "best.q_start")
-    moving = settle(now.join(hint(lowest), ["q_group", "q_start"]))
+    moving = settle_and_free(now.join(hint(lowest), ["q_group", "q_start"]))
     reached = [moving]  # the estimates of each step, of the groups whose determinant fell
     for _ in range(MOST_STEPS):
         was = moving.select("q_group", F.col("log_det").alias("was"))
-        moving = settle(step(moving).join(hint(was), "q_group").where(F.col("log_det") < F.col("was") - 1e-9).drop("was"))
+        moving = settle_and_free(step(moving).join(hint(was), "q_group").where(F.col("log_det") < F.col("was") - 1e-9).drop("was"))
         if moving.isEmpty():
             break
         reached.append(moving)
     last = reduce(DataFrame.unionByName, reached)
-    now = settle(last.groupBy("q_group").agg(F.min(F.struct("log_det", "q_start", *ESTIMATE)).alias("best")).select("q_group", "best.*"))
+    now = settle_and_free(last.groupBy("q_group").agg(F.min(F.struct("log_det", "q_start", *ESTIMATE)).alias("best")).select("q_group", "best.*"))
     half = _estimates(_nearest_half(_with_distance(fitted.join(hint(now), "q_group")), hint), HALF_FACTOR)
-    within = _with_distance(fitted.join(hint(settle(half)), "q_group")).where(F.col("d2") <= WITHIN)
-    estimate = settle(_estimates(within.select("q_group", "q_start", *DIMS), WITHIN_FACTOR).select("q_group", *ESTIMATE))
+    within = _with_distance(fitted.join(hint(settle_and_free(half)), "q_group")).where(F.col("d2") <= WITHIN)
+    estimate = settle_and_free(_estimates(within.select("q_group", "q_start", *DIMS), WITHIN_FACTOR).select("q_group", *ESTIMATE))
     groups = counted.select("q_own", "q_lang").distinct()
     own, lang = large.withColumnRenamed("q_group", "own"), large.withColumnRenamed("q_group", "lang")
     groups = groups.join(own, F.col("q_own") == F.col("own"), "left").join(lang, F.concat(F.lit("*"), "q_lang") == F.col("lang"), "left")
@@ -218,7 +218,7 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def verdicts(counted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``counted`` (from with_counts) with q_d2 and q_kept."""
     estimate, stands = fit(counted)
-    by_group = settle(stands.join(estimate, "q_group", "left").drop("q_group"))
+    by_group = settle_and_free(stands.join(estimate, "q_group", "left").drop("q_group"))
     if by_group.count() <= MOST_BROADCAST_GROUPS:
         by_group = F.broadcast(by_group)
     out = _with_distance(counted.join(by_group, "q_own", "left"))
@@ -229,12 +229,12 @@ def verdicts(counted: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 def rate(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2) for each row."""
     slim = _prepared(docs).withColumn("row", F.col("row.doc_id"))
-    out = verdicts(settle(with_counts(slim)), cutoff)
+    out = verdicts(settle_and_free(with_counts(slim)), cutoff)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"]
     return out.select(F.col("row").alias("doc_id"), *[F.col(f"q_{x}").alias(x) for x in names])
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """The rows of ``docs`` that pass, columns as they are."""
-    counted = settle(with_counts(_prepared(docs)))  # texts included: they are read and counted once
+    counted = settle_and_free(with_counts(_prepared(docs)))  # texts included: they are read and counted once
     return verdicts(counted, cutoff).where("q_kept").select("row.*")
