@@ -63,13 +63,6 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle_and_free(df: DataFrame) -> DataFrame:
-    """The same for the steps of a loop: the driver's broadcasts and shuffles of finished steps are freed."""
-    out = settle(df)
-    df.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner frees what is no longer referred to
-    return out
-
-
 def settle_as_dealt(df: DataFrame) -> DataFrame:
     """The same by a checkpoint, which keeps partitions and their order."""
     ensure_checkpoints(df.sparkSession)
