@@ -156,3 +156,49 @@ LOG_STEPS = [("Recognizing Layout", "layout"), ("Running OCR Error Detection", "
 def failed_step(log: Column, steps: list[tuple[str, str]] = LOG_STEPS) -> Column:
     """The last step of the list whose pattern a log shows."""
     return F.coalesce(*[F.when(log.rlike(f"(?i){p}"), name) for p, name in reversed(steps)])
+
+
+#: Fixed words of archive members' names by language.
+VIETNAMESE_NAMES, ENGLISH_NAMES = ["vi", "vietnamese"], ["en", "english"]
+VIETNAMESE_MARKS = ["bao", "cao", "tai", "chinh", "hop", "nhat", "kiem", "toan", "thuyet", "minh", "viet", "nam"]
+ENGLISH_MARKS = ["audited", "consolidated", "financial", "statements", "statement", "report", "notes", "note", "english"]
+NAMED_LANGUAGE = 10
+
+
+def language_score(path: Column) -> Column:
+    """How much a file's name looks Vietnamese: named languages count ten, each distinct mark one; English ones less."""
+    words = F.split(F.lower(F.element_at(F.split(path, "/"), -1)), "[^a-z0-9]+")
+    has = lambda names: F.size(F.array_intersect(words, F.array(*map(F.lit, names))))
+    named = lambda names: F.when(has(names) > 0, NAMED_LANGUAGE).otherwise(0)
+    return named(VIETNAMESE_NAMES) - named(ENGLISH_NAMES) + has(VIETNAMESE_MARKS) - has(ENGLISH_MARKS)
+
+
+#: Fixed file types of downloads, in the order in which they are tried.
+DOWNLOAD_TYPES = [".pdf", ".zip", ".rar", ".7z"]
+
+
+def download_url(path: Column, base: str) -> Column:
+    """A stored path as an address below ``base``; whole addresses stay, and an empty path is empty."""
+    own = F.trim(F.coalesce(path, F.lit("")))
+    below = F.concat(F.lit(base), F.regexp_replace(own, "^/*(?:(?i:data)/)?", ""))
+    return F.when((own == "") | own.rlike("^https?://"), own).otherwise(below)
+
+
+def download_candidates(ticker: Column, title: Column, path: Column, base: str) -> Column:
+    """The addresses to try for a document: its own, and below a folder the usual names of audited statements,
+    consolidated ones first where the title says so; only the own one without a firm or a year."""
+    own = download_url(path, base)
+    folder = F.concat(F.regexp_replace(own, "/+$", ""), F.lit("/"))
+    firm, year = F.upper(F.trim(F.coalesce(ticker, F.lit("")))), title_year(title)
+    stem = F.concat(folder, firm, F.lit("_Baocaotaichinh_"), year.cast("string"), F.lit("_Kiemtoan"))
+    whole = F.lower(strip_accents(F.coalesce(title, F.lit("")), True)).contains("hop nhat")
+    names = lambda end: F.array(*[F.concat(stem, F.lit(end + t)) for t in DOWNLOAD_TYPES])
+    more = F.when(whole, F.concat(names("_Hopnhat"), names(""))).otherwise(names(""))
+    is_file = F.regexp_replace(own, r"^[a-z]+://[^/]*|[?#].*$|/+$", "").rlike(r"[^/]\.[^./]+$")
+    return F.when(is_file | (firm == "") | year.isNull(), F.array(own)).otherwise(F.concat(F.array(own), more))
+
+
+def framework_name(name: Column) -> Column:
+    """The one name of a scoring framework; null stays, others are an error."""
+    known = F.upper(F.trim(name))
+    return F.when(known.isin("PROPER", "PROPER-VN", "PROPER_VN"), "PROPER_VN").when(known == "EDC", "EDC").when(name.isNotNull(), F.raise_error(F.concat(F.lit("unknown framework: "), name)))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, markdown_year, squash
+from ..functions.text import contains_any, markdown_year, preferred_title, squash, title_quality
 
 #: Fixed character classes, limits and weights of the quality score.
 LETTER = "A-Za-zÀ-ỹĐđ"
@@ -119,6 +119,39 @@ def quality_reruns(scored: DataFrame, statuses: list[str], min_garbled: int, lim
     return chosen.orderBy(F.desc("suspicious_score"), F.desc("garbled_count"), "ticker", "year").limit(limit)
 
 
+def suspicious_first(scored: DataFrame, least: float = 0.45) -> DataFrame:
+    """Reports of at least a score, the worst first."""
+    return scored.where(F.col("suspicious_score") >= least).orderBy(F.desc("suspicious_score"), F.desc("broken_spacing_count"), F.desc("single_char_ratio"))
+
+
+def audit_order(scored: DataFrame) -> DataFrame:
+    """Failed reports, then warnings, then the rest; in each the most garbled first."""
+    rank = F.when(F.col("quality_status") == "fail", 0).when(F.col("quality_status") == "warning", 1).when(F.col("quality_status") == "pass", 2).otherwise(3)
+    return scored.orderBy(rank, F.desc("garbled_count"), F.desc("garbled_ratio"), F.desc("suspicious_score"), "ticker", "year")
+
+
+def needs_ocr(pages: DataFrame, key: str, page: str, text: str, sample: int = 5, least: float = 100) -> DataFrame:
+    """(key, pages, sampled_chars, needs_ocr): whether evenly spaced pages, numbered from 0, hold few characters on average.
+
+    Lengths are taken where the texts are, so no text is shuffled.
+    """
+    size = F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)^\s+|\s+$", ""))
+    counts = pages.groupBy(key).agg(F.count("*").alias("n_pages"))
+    both = pages.select(key, F.col(page).alias("o_page"), size.alias("o_size")).join(counts, key)
+    taken = F.least(F.lit(sample), "n_pages")
+    step = F.floor(F.col("n_pages") / taken)
+    sampled = (F.col("o_page") % step == 0) & (F.col("o_page") < taken * step)
+    out = both.groupBy(key, "n_pages").agg(F.sum(F.when(sampled, F.col("o_size")).otherwise(0)).alias("sampled_chars"))
+    return out.withColumn("needs_ocr", F.col("sampled_chars") / taken < least)
+
+
+def statement_source(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, path) of the best file (name, size, path): preferred title, title's points, size, name."""
+    title = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    order = F.struct(preferred_title(title).cast("int"), title_quality(title), F.coalesce("size", F.lit(0)), "name")
+    return files.groupBy(keys).agg(F.max_by("path", order).alias("path"))
+
+
 def chunks(reports: DataFrame, size: int = 512, overlap: int = 128, text_column: str = "content") -> DataFrame:
     """Windows of ``size`` words that overlap; blank ones take no index and the last one reaches the end."""
     step = size - overlap

@@ -44,6 +44,17 @@ def checklist(spark) -> DataFrame:
     return spark.createDataFrame([(i, g, codes) for i, (g, codes) in enumerate(EDC_GROUPS.items())], "place int, item_group string, codes array<string>")
 
 
+def checklist_results(results: DataFrame) -> DataFrame:
+    """Every item of the checklist with its results; items without any keep one row of nulls."""
+    items = checklist(results.sparkSession).select("item_group", F.explode("codes").alias("code"))
+    return F.broadcast(items).join(results.withColumnRenamed("category_code", "code"), "code", "left")
+
+
+def rows_by_model(results: DataFrame) -> DataFrame:
+    """How many results each model has, most first."""
+    return results.groupBy("model").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "model")
+
+
 def valid_share(results: DataFrame, by: list[str]) -> DataFrame:
     valid = F.count_if("is_valid")
     return results.withColumn("version", code_version(F.col("category_code"))).groupBy(by).agg(valid.alias("valid"), F.count("*").alias("total"), _share(valid, F.count("*")).alias("valid_pct"))

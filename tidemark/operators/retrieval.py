@@ -256,3 +256,9 @@ def extraction_evaluation(cases: DataFrame) -> DataFrame:
     out = cases.withColumns({"expected": clean(F.col("expected")), "predicted": clean(F.col("predicted"))})
     out = out.withColumns({"missing": F.array_except("expected", "predicted"), "unexpected": F.array_except("predicted", "expected")})
     return out.withColumn("exact", (F.size("missing") == 0) & (F.size("unexpected") == 0))
+
+
+def reference_vectors(documents: DataFrame, chunks: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
+    """The chunks of the reference documents that have a vector of the model."""
+    own = embeddings.where(F.col("model") == model).select("chunk_id", "embedding")
+    return chunks.join(own, "chunk_id").join(documents.select("doc_id", "source_file"), "doc_id").select("chunk_id", "source_file", "chunk_text", "embedding")

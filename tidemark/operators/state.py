@@ -179,3 +179,14 @@ def full_refresh(old: DataFrame, new: DataFrame) -> DataFrame:
 def replace_tickers(base: DataFrame, rows: DataFrame, key: str = "code") -> DataFrame:
     """All rows of the firms that are among the new ones are replaced."""
     return base.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
+
+
+def sync_targets(firms: DataFrame, stored: DataFrame, key: str = "code", force: bool = False) -> DataFrame:
+    """The firms that a sync fetches: all if ``force``, else those without stored rows."""
+    return firms if force else firms.join(stored.select(key).distinct(), key, "left_anti")
+
+
+def sync_requests(firms: DataFrame, low: int, high: int) -> DataFrame:
+    """One request for each firm and year of the range; none where the range is empty."""
+    years = F.sequence(F.lit(low), F.lit(high)) if low <= high else F.array().cast("array<int>")
+    return firms.select("*", F.explode(years).alias("year"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reports, texts  # noqa: F401
+from . import reports, runs, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -146,6 +146,34 @@ SELECT CONCAT('run', CAST(user_id % 7 AS STRING)) AS run_id, CONCAT('T', CAST(us
   CAST(event_id AS INTEGER) AS chunk_index, CAST(event_id % 8 AS INTEGER) AS attempt_count,
   CASE WHEN event_id % 97 = 0 THEN 'failed' WHEN event_id % 11 = 0 THEN 'pending' ELSE 'completed' END AS status
 FROM events
+""",
+    "stored_chunks": """
+SELECT CONCAT('T', CAST(label AS STRING)) AS ticker, CAST(1995 + vec_id % 3 AS INTEGER) AS year,
+  CAST(ROW_NUMBER() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1 AS INTEGER) AS chunk_index, vec_id,
+  CASE vec_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN '{"metadata_source": "hybrid"}' ELSE '{"schema_version": 1}' END AS chunk_metadata_json
+FROM embeddings
+""",
+    "run_items": """
+SELECT CONCAT('run', CAST(label % 3 AS STRING)) AS run_id, CONCAT('batch', CAST(vec_id % 5 AS STRING)) AS batch_id, CONCAT('c', CAST(vec_id AS STRING)) AS custom_id,
+  CONCAT('T', CAST(label AS STRING)) AS ticker, CAST(1995 + vec_id % 3 AS INTEGER) AS year,
+  CAST(ROW_NUMBER() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) - 1 AS INTEGER) AS chunk_index,
+  CASE WHEN vec_id % 7 = 0 THEN 'pending' WHEN vec_id % 7 = 1 THEN 'failed' WHEN vec_id % 7 = 2 THEN 'completed' ELSE 'submitted' END AS status
+FROM embeddings WHERE label % 2 = 0
+""",
+    "run_batches": """
+SELECT DISTINCT CONCAT('batch', CAST(vec_id % 5 AS STRING)) AS batch_id,
+  CASE vec_id % 5 WHEN 0 THEN 'expired' WHEN 1 THEN 'in_progress' ELSE 'completed' END AS batch_status
+FROM embeddings
+""",
+    "run_answers": """
+SELECT CONCAT('c', CAST(vec_id AS STRING)) AS custom_id,
+  CASE WHEN vec_id % 11 = 0 THEN 'sorry' ELSE CONCAT('{"n":', CAST(vec_id AS STRING), '}') END AS answer
+FROM embeddings WHERE vec_id % 13 <> 0
+""",
+    "model_presets": """
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'embedding' ELSE 'inference' END AS task_type, CONCAT('model-', CAST(p_partkey AS STRING)) AS model_name,
+  p_partkey % 5 <> 0 AS is_active, CAST(NULL AS TIMESTAMP) AS created_at
+FROM part WHERE p_partkey <= 40
 """,
 }
 
