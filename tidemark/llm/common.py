@@ -108,3 +108,35 @@ def text_bytes(column) -> list:
 def words_of(text) -> "F.Column":
     """The words of a text column as an array, null as none (JVM side)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+
+
+def merged_in_a_tree(df: DataFrame, work: Callable, merge: Callable) -> dict:
+    """What the partitions of ``df`` say together: ``work`` turns a partition's Arrow batches into a dict, and executors
+    merge the values of equal keys in a tree, so the driver gets few dicts, however many partitions there are."""
+    import pickle
+
+    def both(a: dict, b: dict) -> dict:
+        for key, value in b.items():
+            a[key] = merge(a[key], value) if key in a else value
+        return a
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work(batches))], pa.binary())], ["part"])
+
+    parts = df.mapInArrow(run, "part binary").rdd
+    return parts.treeAggregate({}, lambda a, row: both(a, pickle.loads(row.part)), both)
+
+
+def list_rows(column) -> Iterator[tuple]:
+    """(length, places, rows) of an Arrow column of lists of numbers, for each length above 0; nulls inside come as NaN."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes[sizes > 0]):
+        at = np.nonzero(sizes == d)[0]
+        yield int(d), at, flat[starts[at][:, None] + np.arange(d)[None, :]]

@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables of a folder, and their SQL."""
+"""The operators as queries over the tables of a folder, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, divergence, mixing, topk
 from .common import table
 
 
@@ -84,5 +84,23 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op7_quality": op7_quality, "op8_sharding": op8_sharding, "op10_top_k": op10_top_k, "op4_token_counts": op4_token_counts, "op5_sentence_piece": op5_sentence_piece, "op9_secrets": op9_secrets, "op3_chat": op3_chat, "op6_html_text": op6_html_text}
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_chat": chat.ORACLE, "op10_top_k": topk.ORACLE}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_mixing": op2_mixing, "op7_quality": op7_quality, "op8_sharding": op8_sharding, "op10_top_k": op10_top_k, "op4_token_counts": op4_token_counts, "op5_sentence_piece": op5_sentence_piece, "op9_secrets": op9_secrets, "op3_chat": op3_chat, "op6_html_text": op6_html_text, "op11_whitening": op11_whitening, "op12_nearest": op12_nearest, "op13_divergence": op13_divergence}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op3_chat": chat.ORACLE, "op10_top_k": topk.ORACLE, "op13_divergence": divergence.ORACLE}
