@@ -1,8 +1,11 @@
+import os
 import random
 import re
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import divergence
@@ -48,7 +51,7 @@ def test_as_by_definition(spark, monkeypatch):
     rows = fixture(1)
     want = slow(rows, 5)
     assert run(spark, rows, least=5) == want
-    for name, value in (("BLOCK_SOURCES", 2), ("JOB_SUMS", 500), ("LEAVES", 3), ("MOST_COUNTERS", 40), ("DOCUMENTS", 7), ("RANGE_COUNTERS", 20)):
+    for name, value in (("BLOCK_SOURCES", 2), ("JOB_SUMS", 500), ("LEAVES", 3), ("MOST_COUNTERS", 40), ("WORDS", 30), ("RANGE_COUNTERS", 20)):
         monkeypatch.setattr(divergence, name, value)
     assert run(spark, rows, least=5, ranks=3) == slow(rows, 5, 3)
 
@@ -63,20 +66,35 @@ def test_nothing_kept_and_empty(spark):
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_holds_what_was_added(seed):
     rng = random.Random(seed)
-    trie, want = divergence.Trie(), {}
-    for _ in range(5000):
-        term, source = bytes(rng.choices(b"ab\xc3\xa9", k=rng.randrange(0, 7))), rng.choice("st")
-        trie.add(term, source, 2, 1)
-        leaf = want.setdefault(term, {}).setdefault(source, [0, 0])
-        leaf[0] += 2
-        leaf[1] += 1
-    assert list(trie.walk()) == sorted(want.items())
-    assert trie.counters == sum(map(len, want.values()))
+    trie, want, documents = divergence.Trie(), {}, Counter()
+    for _ in range(40):
+        words = list({bytes(rng.choices(b"ab\xc3\xa9", k=rng.randrange(0, 7))) for _ in range(60)})
+        at = np.array([rng.randrange(len(words)) for _ in range(90)])
+        sources, counts, docs = np.array([rng.randrange(3) for _ in at]), np.array([rng.randrange(1, 9) for _ in at]), np.array([rng.randrange(5) for _ in words])
+        trie.add(pa.array(words, pa.binary()), at, sources, counts, docs)
+        for i, s, c in zip(at, sources, counts):
+            want[words[i], s] = want.get((words[i], s), 0) + c
+        documents.update(dict(zip(words, docs.tolist())))
+    term = {leaf: t for t, leaf in trie.walk()}
+    assert [t for t, _ in trie.walk()] == sorted(documents) and {t: trie.docs[i] for i, t in term.items()} == documents
+    assert {(term[i], s): c for i, s, c in trie.parts[0].T} == want and trie.counters == len(want)
+    assert all(not children or len(children) > 1 or leaf is not None or not label for label, children, leaf in nodes(trie.root))
+
+
+def nodes(node):
+    yield node
+    for child in (node[1] or {}).values():
+        yield from nodes(child)
+
+
+def test_shared_bytes():
+    words = sorted([b"", b"a", b"ab", b"abc", b"abd", b"b", b"ba" * 50, b"ba" * 50 + b"x", b"\xc3\xa9"])
+    want = [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(words, words[1:])]
+    assert divergence.shared_bytes(pa.array([b"skip", *words], pa.binary()).slice(1)).tolist() == want
+    assert divergence.shared_bytes(pa.array([], pa.binary())).tolist() == []
 
 
 def test_shares_of_large_counts():
-    import numpy as np
-
     whole = (1 << 59) - 7
     counts = np.array([0, 17, whole // 3, whole - 5])
     assert divergence.shares(counts, np.int64(whole)).tolist() == [1 + 10**9 * (int(c) + 5) // whole for c in counts]

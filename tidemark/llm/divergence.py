@@ -1,8 +1,9 @@
 """How far the sources of a language part in their words, by mergeable radix tries.
 
-A partition counts the terms of its documents in one trie of bytes a language; a leaf has a counter for each source
-(occurrences, documents), and the root, the empty term, one for every document.  A trie that has grown to
-``MOST_COUNTERS`` counters is handed on and begun anew, so a task's memory is bounded.  The leaves go to ranges of
+A partition counts the terms of its documents in one trie of bytes a language; a leaf has a counter of occurrences for
+each source and one of documents, and the root, the empty term, counts every document.  The words of a slice of texts
+are counted first and go into the trie in order, each from where it parts from the one before.  Tries that have grown to ``MOST_COUNTERS`` counters are handed on and begun anew, so
+a task's memory is bounded.  The leaves go to ranges of
 (language, term) with splitters drawn from them, and each range merges its tries; a walk in the order of UTF-8 bytes
 gives the merged leaves, of which those in enough documents of the language are kept, as a written table.
 
@@ -20,12 +21,15 @@ at a time.  Counts are exact; p is as long as count sums of a language are below
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import gc
+from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +39,9 @@ LEAST_DOCUMENTS = 30
 SMOOTHING = 5
 PARTS = 1_000_000_000
 RANKS = 50
-MOST_COUNTERS = 300_000
-#: Words and documents that are counted before they go into the trie.
-WORDS, DOCUMENTS = 1_000_000, 2048
+MOST_COUNTERS = 800_000
+#: Words that are counted before they go into the trie.
+WORDS = 2_000_000
 #: Counters of a range; one partition each.
 RANGE_COUNTERS = 150_000
 #: Sources of a block, sums of pairs in one job, and leaves that are walked at once.
@@ -46,109 +50,177 @@ BLOCK_SOURCES, JOB_SUMS, LEAVES = 512, 4_000_000, 2048
 #: Bytes of terms, A-Z lower-cased; all others as blanks.
 TERM_BYTES = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
-COUNTED = "lang string, term string, sources array<string>, counts array<long>, docs array<long>"
-KEPT = "lang string, term string, total long, sources array<string>, counts array<long>"
+COUNTED = "lang string, term string, docs long, sources array<string>, counts array<long>"
 
 
 def terms(text: bytes) -> list[bytes]:
     return text.translate(TERM_BYTES).split()
 
 
+def shared_bytes(words: pa.Array) -> np.ndarray:
+    """How many first bytes each of some sorted binary values shares with the one before."""
+    ends = np.frombuffer(words.buffers()[1], np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes, out = np.diff(ends), np.zeros(len(words), np.int64)
+    live, depth = np.arange(1, len(words)), 0
+    while len(live):
+        live = live[(sizes[live] > depth) & (sizes[live - 1] > depth)]
+        live = live[data[ends[live] + depth] == data[ends[live - 1] + depth]]
+        depth += 1
+        out[live] = depth
+    return out
+
+
 class Trie:
-    """A radix trie of bytes.  A node is [label, children by first byte, leaf]; a leaf has [occurrences, documents] by source."""
+    """A radix trie of bytes with counters at its leaves: occurrences in each source, and documents.
+
+    A node is [label, children by first byte, number of its leaf].  Counters are arrays of (leaf, source, count) that
+    are added up as they grow.
+    """
 
     def __init__(self):
-        self.root, self.counters = [b"", {}, None], 0
-
-    def leaf(self, term: bytes) -> dict:
-        """The leaf of a term, made where there is none."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            below = node[1].get(term[at])
-            if below is None:
-                fresh = [term[at:], {}, {}]
-                node[1][term[at]] = fresh
-                return fresh[2]
-            label = below[0]
-            if not term.startswith(label, at):  # part the edge where they differ
-                same = 1
-                while at + same < end and same < len(label) and term[at + same] == label[same]:
-                    same += 1
-                upper = [label[:same], {label[same]: below}, None]
-                below[0] = label[same:]
-                node[1][term[at]] = upper
-                below, label = upper, upper[0]
-            node, at = below, at + len(label)
-        if node[2] is None:
-            node[2] = {}
-        return node[2]
-
-    def add(self, term: bytes, source, count: int, docs: int) -> None:
-        leaf = self.leaf(term)
-        held = leaf.get(source)
-        if held is None:
-            leaf[source] = [count, docs]
-            self.counters += 1
-        else:
-            held[0] += count
-            held[1] += docs
-
-    def walk(self) -> Iterator[tuple[bytes, dict]]:
+        self.root, self.leaves = [b"", None, None], 0
+        self.parts: list[np.ndarray] = []
+        self.docs = np.zeros(0, np.int64)
+
+    def places(self, terms: list[bytes], shared: list[int]) -> np.ndarray:
+        """The leaves of sorted terms, made where there are none; each walk begins where it parts from the last one."""
+        out, path = [], [(self.root, 0)]
+        for term, same in zip(terms, shared):
+            while path[-1][1] > same:
+                path.pop()
+            (node, at), end = path[-1], len(term)
+            while at < end:
+                children = node[1]
+                if children is None:
+                    children = node[1] = {}
+                below = children.get(term[at])
+                if below is None:
+                    below = children[term[at]] = [term[at:], None, None]
+                elif not term.startswith(below[0], at):  # part the edge where they differ
+                    label, alike, most = below[0], 1, min(end - at, len(below[0]))
+                    while alike < most and term[at + alike] == label[alike]:
+                        alike += 1
+                    below[0] = label[alike:]
+                    below = children[term[at]] = [label[:alike], {label[alike]: below}, None]
+                node, at = below, at + len(below[0])
+                path.append((node, at))
+            if node[2] is None:
+                node[2] = self.leaves
+                self.leaves += 1
+            out.append(node[2])
+        return np.array(out, np.int64)
+
+    def add(self, words: pa.Array, at: np.ndarray, sources: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> None:
+        """Take in counters: ``words`` (once each) has those at ``at``; ``docs`` are the documents of each of the words."""
+        order = pc.sort_indices(words)
+        ordered = words.take(order)
+        leaves = np.empty(len(words), np.int64)
+        leaves[order.to_numpy()] = self.places(ordered.to_pylist(), shared_bytes(ordered).tolist())
+        self.docs = np.concatenate((self.docs, np.zeros(self.leaves - len(self.docs), np.int64)))
+        self.docs[leaves] += docs
+        self.parts = [_added(np.concatenate([*self.parts, np.stack((leaves[at], sources, counts))], axis=1))]
+
+    @property
+    def counters(self) -> int:
+        return sum(part.shape[1] for part in self.parts)
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
         """(term, leaf) in the order of bytes."""
         todo = [(b"", self.root)]
         while todo:
             before, (label, children, leaf) = todo.pop()
             term = before + label
-            if leaf:
+            if leaf is not None:
                 yield term, leaf
-            todo.extend((term, children[first]) for first in sorted(children, reverse=True))
+            if children:
+                todo.extend([(term, children[first]) for first in sorted(children, reverse=True)])
+
+
+def _added(part: np.ndarray) -> np.ndarray:
+    """(leaf, source, count) with each leaf and source once, in order."""
+    order = np.lexsort((part[1], part[0]))
+    leaf, source, count = part[:, order]
+    first = np.nonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (source[1:] != source[:-1]))))[0] if len(leaf) else np.zeros(0, np.int64)
+    return np.stack((leaf[first], source[first], np.add.reduceat(count, first) if len(first) else count))
+
+
+class Names:
+    """Numbers of sources, in the order that they come."""
 
+    def __init__(self):
+        self.known: dict[str, int] = {}
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        coded = column.dictionary_encode()
+        numbers = np.array([self.known.setdefault(n, len(self.known)) for n in coded.dictionary.to_pylist()], np.int64)
+        return numbers[coded.indices.to_numpy(zero_copy_only=False)]
 
-def _leaves(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    """The leaves of tries as rows."""
+
+def _leaves(tries: dict[str, Trie], names: Names, least: int = 0) -> Iterator[pa.RecordBatch]:
+    """The leaves of tries in ``least`` documents, and all roots, as rows in order."""
+    listed = pa.array(list(names.known), pa.string())
     for lang, trie in sorted(tries.items()):
-        walked = trie.walk()
-        while some := [leaf for _, leaf in zip(range(16_384), walked)]:
-            ends = np.cumsum([0, *(len(leaf) for _, leaf in some)], dtype=np.int32)
-            lists = [[s for _, leaf in some for s in leaf], *([c[i] for _, leaf in some for c in leaf.values()] for i in (0, 1))]
-            columns = [pa.array([lang] * len(some), pa.string()), pa.array([t for t, _ in some], pa.binary()).cast(pa.string())]
-            columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, kind)) for x, kind in zip(lists, (pa.string(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs"])
+        leaf, source, count = trie.parts[0]
+        starts = np.searchsorted(leaf, np.arange(trie.leaves + 1))
+        walked = ((t, i) for t, i in trie.walk() if trie.docs[i] >= least or not t)
+        while some := [x for _, x in zip(range(16_384), walked)]:
+            ids = np.array([i for _, i in some])
+            sizes = starts[ids + 1] - starts[ids]
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            at = np.repeat(starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])
+            lists = [listed.take(pa.array(source[at])), pa.array(count[at])]
+            columns = {"lang": pa.array([lang] * len(some), pa.string()), "term": pa.array([t for t, _ in some], pa.binary()).cast(pa.string()), "docs": pa.array(trie.docs[ids])}
+            yield pa.RecordBatch.from_pydict(columns | {n: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x) for n, x in zip(("sources", "counts"), lists)})
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """Tries hold no cycles, and walking millions of their nodes again and again costs more than building them."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+        release()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tries: dict[str, Trie] = defaultdict(Trie)
-    found: dict[tuple, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+    names = Names()
+    found: dict[str, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
 
     def fold() -> None:
-        for (lang, source), (counts, docs) in found.items():
-            add = tries[lang].add
-            for term, count in counts.items():
-                add(term, source, count, docs[term])
+        """Count the words of each language and source, and the documents of each word."""
+        for lang, (words, sizes, sources) in found.items():
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            v, word = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            pairs, counts = np.unique(np.repeat(np.array(sources, np.int64), sizes) * v + word, return_counts=True)
+            once = np.unique(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) * v + word)
+            tries[lang].add(coded.dictionary, pairs % v, pairs // v, counts, np.bincount(once % v, minlength=v))
         found.clear()
 
-    words = documents = 0
-    for batch in batches:
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for at in range(0, batch.num_rows, 256):
-            for i, text in enumerate(text_bytes(batch.column("text").slice(at, 256)), at):
-                counts, docs = found[langs[i], sources[i]]
-                listed = terms(text)
-                counts.update(listed)
-                docs.update(set(listed))
-                counts[b""] += 1
-                docs[b""] += 1
-                words += len(listed)
-                documents += 1
-                if words >= WORDS or documents >= DOCUMENTS:
+    held = 0
+    with _no_collector():
+        for batch in batches:
+            langs, sources = batch.column("lang").to_pylist(), names.of(batch.column("source")).tolist()
+            for at in range(0, batch.num_rows, 256):
+                for i, text in enumerate(text_bytes(batch.column("text").slice(at, 256)), at):
+                    listed = terms(text)
+                    listed.append(b"")  # the document itself
+                    words, sizes, of = found[langs[i]]
+                    words += listed
+                    sizes.append(len(listed))
+                    of.append(sources[i])
+                    held += len(listed)
+                if held >= WORDS:
                     fold()
-                    words = documents = 0
+                    held = 0
                     if sum(t.counters for t in tries.values()) >= MOST_COUNTERS:
-                        yield from _leaves(tries)
+                        yield from _leaves(tries, names)
                         tries.clear()
-    fold()
-    yield from _leaves(tries)
-    release()
+        fold()
+        yield from _leaves(tries, names)
 
 
 def _merge(least: int):
@@ -156,33 +228,30 @@ def _merge(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = defaultdict(Trie)
-        for batch in batches:
-            langs, names = batch.column("lang").to_pylist(), text_bytes(batch.column("term"))
-            lists = batch.column("sources")
-            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).tolist()
-            sources, counts, docs = (batch.column(c).flatten().to_pylist() for c in ("sources", "counts", "docs"))
-            for i, (lang, term) in enumerate(zip(langs, names)):
-                add = tries[lang].add
-                for j in range(ends[i], ends[i + 1]):
-                    add(term, sources[j], counts[j], docs[j])
-        for lang, trie in sorted(tries.items()):
-            walked = ((t, leaf) for t, leaf in trie.walk() if not t or sum(d for _, d in leaf.values()) >= least)
-            while some := [leaf for _, leaf in zip(range(4096), walked)]:
-                rows = [(lang, t.decode(), sum(c for c, _ in leaf.values()), list(leaf), [c for c, _ in leaf.values()]) for t, leaf in some]
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "total", "sources", "counts"])
-        release()
+        names = Names()
+        with _no_collector():
+            for batch in batches:
+                for lang in batch.column("lang").unique().to_pylist():
+                    part = batch.filter(pc.equal(batch.column("lang"), lang))
+                    coded = part.column("term").cast(pa.binary()).dictionary_encode()
+                    v, word = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+                    docs = np.zeros(v, np.int64)
+                    np.add.at(docs, word, part.column("docs").to_numpy())
+                    sizes = part.column("sources").value_lengths().to_numpy(zero_copy_only=False)
+                    sources, counts = names.of(part.column("sources").flatten()), part.column("counts").flatten().to_numpy()
+                    tries[lang].add(coded.dictionary, np.repeat(word, sizes), sources, counts, docs)
+            yield from _leaves(tries, names, least)
 
     return run
 
 
 def kept_leaves(docs: DataFrame, text: Column, lang: Column, source: Column, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """(lang, term, total, sources, counts) of each kept term, and of the empty term, whose counts are documents; written."""
+    """(lang, term, docs, sources, counts) of each kept term, and of the empty term, whose counts are documents; written."""
     plain = docs.select(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in (("text", text), ("lang", lang), ("source", source))])
     counted = settle(plain.mapInArrow(_count, COUNTED))
     counters = counted.agg(F.sum(F.size("sources"))).first()[0] or 0
     ranged = counted.repartitionByRange(max(1, -(-counters // RANGE_COUNTERS)), "lang", "term")
-    return settle(ranged.mapInArrow(_merge(least), KEPT))
+    return settle(ranged.mapInArrow(_merge(least), COUNTED))
 
 
 def shares(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -203,14 +272,14 @@ class Block:
         self.best: list[list[tuple[int, bytes]]] = [[] for _ in left]
 
     def add(self, leaves: list[tuple], ranks: int) -> None:
-        """Walk some leaves (term, total, sources, counts) in the order of bytes."""
-        totals = np.array([leaf[1] for leaf in leaves], np.int64)
+        """Walk some leaves (term, sources, counts) in the order of bytes."""
+        totals = np.array([sum(leaf[2]) for leaf in leaves], np.int64)
         sides = []
         for side in (self.left, self.right)[: 1 if self.same else 2]:
             place = {s: i for i, (s, _) in enumerate(side)}
             counts = np.zeros((len(side), len(leaves)), np.int64)
             for j, leaf in enumerate(leaves):
-                for s, c in zip(leaf[2], leaf[3]):
+                for s, c in zip(leaf[1], leaf[2]):
                     if s in place:
                         counts[place[s], j] = c
             sides.append((counts, shares(counts, np.array([w for _, w in side], np.int64)[:, None])))
@@ -236,9 +305,9 @@ def _walk(sent, ranks: int):
         for batch in batches:
             for at in range(0, batch.num_rows, LEAVES):
                 part = batch.slice(at, LEAVES)
-                rows = zip(*(part.column(c).to_pylist() for c in ("lang", "term", "total", "sources", "counts")))
+                rows = zip(*(part.column(c).to_pylist() for c in ("lang", "term", "sources", "counts")))
                 for lang, leaves in groupby(rows, key=lambda r: r[0]):
-                    some = [(t.encode(), total, s, c) for _, t, total, s, c in leaves]
+                    some = [(t.encode(), s, c) for _, t, s, c in leaves]
                     for block in blocks.get(lang, ()):
                         block.add(some, ranks)
         for lang, found in blocks.items():
@@ -278,7 +347,8 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     leaves = kept_leaves(docs, F.col(text), F.col(lang), F.col(source), least)
     terms_of = leaves.where("term <> ''")
     roots = leaves.where("term = ''").select("lang", F.explode("sources").alias("source"))
-    kept = terms_of.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n"))
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    kept = terms_of.groupBy("lang").agg(F.count("*").alias("v"), F.sum(total).alias("n"))
     counts = terms_of.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("c")).groupBy("lang", F.col("c.sources").alias("source")).agg(F.sum("c.counts").alias("n"))
     # one row a group: they pair with each other in the result, so the result is far larger than they are
     groups = settle(roots.join(counts, ["lang", "source"], "left").join(kept.select("lang", "v", F.col("n").alias("all")), "lang", "left").na.fill(0))
