@@ -140,6 +140,23 @@ FROM orders GROUP BY 1, 2, 3
 SELECT CONCAT('T', CAST(user_id AS STRING)) AS ticker, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS event_order,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(1950 + event_id % 60 AS INTEGER) END AS event_year, event_type AS event_text
 FROM events
+""",
+    "pipeline_files": """
+SELECT CONCAT('T', CAST(o_custkey AS STRING)) AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'raw' ELSE 'markdown' END AS stage,
+  CONCAT('files/', CAST(MIN(o_orderkey) AS STRING)) AS file_path
+FROM orders GROUP BY 1, 2, 3
+""",
+    "proper_vn_results": """
+SELECT CONCAT('T', CAST(o_custkey % 60 AS STRING)) AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year,
+  CASE o_orderkey % 3 WHEN 0 THEN 'S1_VIOLATION' WHEN 1 THEN 'S2_ISO14001' ELSE 'S2_EFFICIENCY' END AS indicator_code,
+  MAX(o_orderkey % 13) > 8 AS is_present, 'gpt-4.1-mini' AS model
+FROM orders GROUP BY 1, 2, 3
+""",
+    "governance_results": """
+SELECT CONCAT('T', CAST(o_custkey % 60 AS STRING)) AS ticker, CAST(year(o_orderdate) AS INTEGER) AS year,
+  CASE o_orderkey % 4 WHEN 0 THEN 'GOV_DIRECTORY' WHEN 1 THEN 'GOV_EXECUTIVE' WHEN 2 THEN 'GOV_SUPERVISORY' ELSE 'GOV_SHAREHOLDERS' END AS item_code,
+  COUNT(*) > 1 AS found, 'gpt-4.1-mini' AS model
+FROM orders GROUP BY 1, 2, 3
 """,
     "chunk_items": """
 SELECT CONCAT('run', CAST(user_id % 7 AS STRING)) AS run_id, CONCAT('T', CAST(user_id AS STRING)) AS ticker, CAST(1995 + event_id % 3 AS INTEGER) AS year,
@@ -206,4 +223,6 @@ def with_views(sql: str) -> str:
     if not heads:
         return sql
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads},\n{body[15:].lstrip()}"
     return f"WITH {heads},\n{body[4:].lstrip()}" if body[:5].upper() == "WITH " else f"WITH {heads}\n{body}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,3 +34,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if SPREAD_FROM <= size < SPREAD_BELOW and len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
+
+
+def ensure_checkpoints(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset, local mode gets a temporary one and a cluster
+    an error, as a folder of one host is lost with it."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage: a table in the shared checkpoint folder, so lost executors don't lose it.
+
+    A checkpoint would compute its last stage twice, once to count and once to write.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoints(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
