@@ -145,10 +145,10 @@ def needs_ocr(pages: DataFrame, key: str, page: str, text: str, sample: int = 5,
     return out.withColumn("needs_ocr", F.col("sampled_chars") / taken < least)
 
 
-def statement_source(files: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, path) of the best file (name, size, path): preferred title, title's points, size, name."""
+def statement_source(files: DataFrame, keys: list[str], ties: list[str] = []) -> DataFrame:
+    """(keys, path) of the best file (name, size, path): preferred title, title's points, size, name, then ``ties``."""
     title = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
-    order = F.struct(preferred_title(title).cast("int"), title_quality(title), F.coalesce("size", F.lit(0)), "name")
+    order = F.struct(preferred_title(title).cast("int"), title_quality(title), F.coalesce("size", F.lit(0)), "name", *ties)
     return files.groupBy(keys).agg(F.max_by("path", order).alias("path"))
 
 

@@ -39,6 +39,21 @@ def edc_group_scores(results: DataFrame) -> DataFrame:
     return out.groupBy(*FIRM, "item_group").agg(F.sum(F.col("is_valid").cast("int")).alias("score"), F.count("*").alias("items"))
 
 
+def grouped_items(results: DataFrame) -> DataFrame:
+    """'code=valid' of each firm-year's items by checklist group, in the checklist's order."""
+    group = F.create_map(*[x for g, codes in EDC_GROUPS.items() for c in codes for x in (F.lit(c), F.lit(g))])
+    place = F.create_map(*[x for i, c in enumerate(EDC_CODES) for x in (F.lit(c), F.lit(i))])
+    own = results.where(F.col("category_code").isin(EDC_CODES)).withColumns({"item_group": group[F.col("category_code")], "place": place[F.col("category_code")]})
+    item = F.struct("place", F.concat("category_code", F.lit("="), F.col("is_valid").cast("string")).alias("item"))
+    return own.groupBy(*FIRM, "item_group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]), ",").alias("items"))
+
+
+def top_tickers(results: DataFrame, top: int = 20) -> DataFrame:
+    """The firms with the most results: valid ones, all and their share."""
+    valid, total = F.count_if("is_valid"), F.count("*")
+    return results.groupBy("ticker").agg(valid.alias("valid"), total.alias("total"), _share(valid, total).alias("valid_pct")).orderBy(F.desc("total"), "ticker").limit(top)
+
+
 def checklist(spark) -> DataFrame:
     """The checklist's groups with their items in order."""
     return spark.createDataFrame([(i, g, codes) for i, (g, codes) in enumerate(EDC_GROUPS.items())], "place int, item_group string, codes array<string>")

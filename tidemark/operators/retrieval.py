@@ -16,6 +16,7 @@ from ..functions.text import contains_any, squash, term_hits
 from ..functions.vector import cosine_distance, guarded_similarity
 
 FIRM_YEAR = ["ticker", "year"]
+PER_QUERY = [*FIRM_YEAR, "item"]
 ALPHA, BETA, GAMMA = 1.0, 0.12, 0.08
 #: Query vectors that are broadcast at once; more go in blocks.
 MOST_QUERIES = 10_000
@@ -77,11 +78,10 @@ AUDIT_PATTERNS = {
 }
 
 
-def cosine_top(chunks: DataFrame, ticker: str, year: int, vector: list[float], k: int = 20) -> DataFrame:
-    """The nearest chunks of one firm-year; the filter prunes before any distance is computed."""
+def cosine_top(chunks: DataFrame, ticker: str, year: int, queries: DataFrame, k: int = 20) -> DataFrame:
+    """The nearest chunks of one firm-year for each query; the filter prunes before any distance is computed."""
     own = chunks.where((F.col("ticker") == ticker) & (F.col("year") == year))
-    query = F.array(*[F.lit(float(x)) for x in vector])
-    return own.withColumn("distance", cosine_distance(F.col("embedding"), query)).orderBy("distance", "chunk_index").limit(k)
+    return near_chunks(own, queries, k, "rank")
 
 
 def query_blocks(queries: DataFrame, most: int | None = None) -> list[DataFrame]:
@@ -104,9 +104,16 @@ def best(scored: DataFrame, keys: list[str], order: list, k: int, name: str = "r
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def near_chunks(chunks: DataFrame, queries: DataFrame, k: int, name: str) -> DataFrame:
+    """The k nearest chunks of each firm-year for each query; keys and distances are ranked, and texts join what stays."""
+    key = [*FIRM_YEAR, "chunk_index"]
+    near = best(with_distances(chunks.select(*key, "embedding"), queries), PER_QUERY, ["distance", "chunk_index"], k, name)
+    return near.join(chunks.drop("embedding"), key)
+
+
 def batched_top(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The k nearest chunks of each firm-year for each query."""
-    return best(with_distances(chunks, queries), [*FIRM_YEAR, "item"], ["distance", "chunk_index"], k)
+    return near_chunks(chunks, queries, k, "rank")
 
 
 def _empty() -> Column:
@@ -143,7 +150,7 @@ def hybrid_scores(chunks: DataFrame, item: str) -> DataFrame:
     return out.withColumn("hybrid_score", score)
 
 
-def gated(scored: DataFrame, item: str, k: int, keys: list[str] = FIRM_YEAR) -> DataFrame:
+def gated(scored: DataFrame, item: str, k: int, keys: list[str] = PER_QUERY) -> DataFrame:
     """Executive and audit items keep only chunks that name the item and nothing excluded, where there are enough."""
     if item not in ("GOV_EXECUTIVE", "GOV_AUDIT"):
         return scored
@@ -152,10 +159,10 @@ def gated(scored: DataFrame, item: str, k: int, keys: list[str] = FIRM_YEAR) ->
     return scored.withColumns({"g_clean": clean, "g_enough": enough}).where(~F.col("g_enough") | F.col("g_clean")).drop("g_clean", "g_enough")
 
 
-def hybrid_rerank(chunks: DataFrame, item: str, vector: DataFrame, k: int = 20, multiplier: int = 4, tag: Callable = lambda df: df) -> DataFrame:
-    """Nearest k * multiplier chunks of each firm-year, scored, gated and ranked again; ``tag`` adds tags to the nearest."""
-    near = tag(best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], k * multiplier, "near"))
-    return best(gated(hybrid_scores(near, item), item, k), FIRM_YEAR, [F.desc("hybrid_score"), "distance", "chunk_index"], k)
+def hybrid_rerank(chunks: DataFrame, item: str, queries: DataFrame, k: int = 20, multiplier: int = 4, tag: Callable = lambda df: df) -> DataFrame:
+    """Nearest k * multiplier chunks of each firm-year and query, scored for an item, gated and ranked again; ``tag`` adds tags to the nearest."""
+    near = tag(near_chunks(chunks, queries, k * multiplier, "near"))
+    return best(gated(hybrid_scores(near, item), item, k), PER_QUERY, [F.desc("hybrid_score"), "distance", "chunk_index"], k)
 
 
 def anchor_windows(chunks: DataFrame, anchor_terms: list[str], section_terms: list[str], before: int = 1, after: int = 24, anchors: int = 8, most: int = 120) -> DataFrame:
@@ -176,14 +183,14 @@ def section_boosted(scored: DataFrame, windowed: DataFrame) -> DataFrame:
     raised = windowed.withColumn("hybrid_score", F.col("hybrid_score") + F.when(F.col("section_prior") > 0, 0.35).otherwise(0.15))
     both = scored.withColumn("in_section", F.lit(False)).unionByName(raised.withColumn("in_section", F.lit(True)), allowMissingColumns=True)
     row = F.struct(*both.columns)
-    keep = both.groupBy(*FIRM_YEAR, "chunk_index").agg(F.max_by(row, F.col("hybrid_score")).alias("r"), F.max("in_section").alias("seen_in_section"))
+    keep = both.groupBy(*PER_QUERY, "chunk_index").agg(F.max_by(row, F.col("hybrid_score")).alias("r"), F.max("in_section").alias("seen_in_section"))
     return keep.select("r.*", "seen_in_section")
 
 
 def executive_order(boosted: DataFrame, k: int) -> DataFrame:
     """Section chunks by their place first, then the rest by score."""
     first = F.when(F.col("seen_in_section"), F.col("chunk_index"))
-    return best(boosted, FIRM_YEAR, [F.desc("seen_in_section"), F.asc_nulls_last(first), F.desc("hybrid_score"), "chunk_index"], k)
+    return best(boosted, PER_QUERY, [F.desc("seen_in_section"), F.asc_nulls_last(first), F.desc("hybrid_score"), "chunk_index"], k)
 
 
 def audit_scores(chunks: DataFrame) -> DataFrame:
@@ -199,10 +206,10 @@ def audit_scores(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("audit_score", semantic(F.col("distance")) + prior + lexical)
 
 
-def audit_rerank(chunks: DataFrame, vector: DataFrame, k: int = 20, tag: Callable = lambda df: df) -> DataFrame:
-    """Nearest 6 * k chunks of each firm-year by their audit score; ``tag`` adds tags to the nearest."""
-    near = tag(best(with_distances(chunks, vector), FIRM_YEAR, ["distance", "chunk_index"], max(k, 6 * k), "near"))
-    return best(audit_scores(near), FIRM_YEAR, [F.desc("audit_score"), "distance", "chunk_index"], k)
+def audit_rerank(chunks: DataFrame, queries: DataFrame, k: int = 20, tag: Callable = lambda df: df) -> DataFrame:
+    """Nearest 6 * k chunks of each firm-year and query by their audit score; ``tag`` adds tags to the nearest."""
+    near = tag(near_chunks(chunks, queries, max(k, 6 * k), "near"))
+    return best(audit_scores(near), PER_QUERY, [F.desc("audit_score"), "distance", "chunk_index"], k)
 
 
 FRAMEWORK_WORDS = {"EDC": ["checklist", "edc", "disclosure"], "PROPER_VN": ["proper-vn", "stage 1", "stage 2", "color"]}

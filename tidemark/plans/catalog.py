@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import flows, reports, runs, texts  # noqa: F401
+from . import details, flows, reports, runs, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

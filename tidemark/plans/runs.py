@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import vector as V
 from ..operators import documents as D
 from ..operators import pivots as P
 from ..operators import retrieval as R
@@ -179,13 +180,13 @@ def _(v):
 
 @query(
     "reference_vectors",
-    """SELECT 'c' || e.vec_id AS chunk_id, d.source AS source_file, 'chunk ' || e.vec_id AS chunk_text, e.label
+    """SELECT 'c' || e.vec_id AS chunk_id, d.source AS source_file, 'chunk ' || e.vec_id AS chunk_text, CAST(len(e.embedding) AS INTEGER) AS dimensions, ROUND(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS squares, CAST(e.embedding[3] AS DOUBLE) AS third
   FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id // 3 WHERE e.vec_id % 3 <> 0""",
 )
 def _(v):
     name = F.concat(F.lit("c"), F.col("vec_id"))
     chunks = v.embeddings.select(name.alias("chunk_id"), F.expr("vec_id div 3").alias("doc_id"), F.concat(F.lit("chunk "), F.col("vec_id")).alias("chunk_text"))
     model = F.when(F.col("vec_id") % 3 == 0, "other").otherwise("small")
-    vectors = v.embeddings.select(name.alias("chunk_id"), model.alias("model"), F.col("label").alias("embedding"))
+    vectors = v.embeddings.select(name.alias("chunk_id"), model.alias("model"), "embedding")
     found = R.reference_vectors(v.documents.select("doc_id", F.col("source").alias("source_file")), chunks, vectors, "small")
-    return found.withColumnRenamed("embedding", "label")
+    return found.select("chunk_id", "source_file", "chunk_text", F.size("embedding").alias("dimensions"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 6).alias("squares"), F.get("embedding", F.lit(2)).cast("double").alias("third"))

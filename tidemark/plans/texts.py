@@ -166,10 +166,13 @@ def _queries(v):
     return v.embeddings.where(F.col("vec_id") % 20 == 0).select(F.concat(F.lit("Q"), F.col("vec_id").cast("string")).alias("item"), F.col("embedding").alias("query_vector"))
 
 
-@query("cosine_topk", f"WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 1) SELECT chunk_index, token_count, ROUND({_DIST.format('embedding', 'e')}, 6) + 0.0 AS distance FROM document_embeddings, q WHERE ticker = 'T3' AND year = 1996 ORDER BY {_DIST.format('embedding', 'e')}, chunk_index LIMIT 20")
+@query(
+    "cosine_topk",
+    f"""WITH q AS (SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS e FROM embeddings WHERE vec_id % 20 = 0)
+SELECT item, chunk_index, token_count, ROUND({_DIST.format('embedding', 'e')}, 6) + 0.0 AS distance FROM document_embeddings, q WHERE ticker = 'T3' AND year = 1996 QUALIFY ROW_NUMBER() OVER (PARTITION BY item ORDER BY {_DIST.format('embedding', 'e')}, chunk_index) <= 20""",
+)
 def _(v):
-    vector = v.embeddings.where("vec_id = 1").select("embedding").first()[0]
-    return R.cosine_top(v.document_embeddings, "T3", 1996, vector).select("chunk_index", "token_count", (F.round("distance", 6) + 0.0).alias("distance"))
+    return R.cosine_top(v.document_embeddings, "T3", 1996, _queries(v)).select("item", "chunk_index", "token_count", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 _NEAR = f"""q AS (SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS query_vector FROM embeddings WHERE vec_id % 20 = 0),
@@ -190,6 +193,8 @@ def _(v):
     return out.select("label", F.size("embedding").alias("dims"), F.round(V.dot(F.col("embedding"), F.col("embedding")), 9).alias("squares"), F.round(F.get("embedding", F.lit(6)), 9).alias("seventh"))
 
 
+_ASKED = "SELECT 'Q' || CAST(vec_id AS VARCHAR) AS item, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0"
+
 _CHUNKS = """SELECT CONCAT('T', CAST(label % 3 AS VARCHAR(9))) AS ticker, 1999 AS year, CAST(doc_id AS INTEGER) AS chunk_index, chunk_text, embedding
   FROM tagged t CROSS JOIN (SELECT COUNT(*) AS vectors FROM embeddings) c JOIN embeddings e ON e.vec_id = t.doc_id % c.vectors"""
 
@@ -226,14 +231,13 @@ def _hybrid(item, source, distance):
 
 @query(
     "hybrid_rerank",
-    f"""WITH {_CHUNKED}, q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 2),
-n AS (SELECT x.*, {_DIST.format('embedding', 'qv')} AS distance FROM x, q QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY distance, chunk_index) <= 40), h AS ({_hybrid('GOV_EXECUTIVE', 'n', 'distance')}),
-g AS (SELECT *, COUNT(*) FILTER (inc > 0 AND exc = 0) OVER (PARTITION BY ticker, year) >= 5 AS enough FROM h)
-SELECT ticker, year, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY score DESC, distance, chunk_index) AS INTEGER) AS rank FROM g WHERE NOT enough OR (inc > 0 AND exc = 0) QUALIFY rank <= 10""",
+    f"""WITH {_CHUNKED}, q AS ({_ASKED}),
+n AS (SELECT x.*, item, {_DIST.format('embedding', 'qv')} AS distance FROM x, q QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY distance, chunk_index) <= 40), h AS ({_hybrid('GOV_EXECUTIVE', 'n', 'distance')}),
+g AS (SELECT *, COUNT(*) FILTER (inc > 0 AND exc = 0) OVER (PARTITION BY ticker, year, item) >= 5 AS enough FROM h)
+SELECT ticker, year, item, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY score DESC, distance, chunk_index) AS INTEGER) AS rank FROM g WHERE NOT enough OR (inc > 0 AND exc = 0) QUALIFY rank <= 10""",
 )
 def _(v):
-    vector = v.embeddings.where("vec_id = 2").select(F.lit("GOV_EXECUTIVE").alias("item"), F.col("embedding").alias("query_vector"))
-    return R.hybrid_rerank(_chunked(v), "GOV_EXECUTIVE", vector, 10, tag=_with_tags).select("ticker", "year", "chunk_index", F.round("hybrid_score", 6).alias("score"), "rank")
+    return R.hybrid_rerank(_chunked(v), "GOV_EXECUTIVE", _queries(v), 10, tag=_with_tags).select("ticker", "year", "item", "chunk_index", F.round("hybrid_score", 6).alias("score"), "rank")
 
 
 _ANCHORS = ["ban kiểm soát", "ban kiem soat"]
@@ -252,11 +256,10 @@ def _(v):
 @query("executive_window")
 def _(v):
     profile = R.PROFILES["GOV_EXECUTIVE"]
-    vector = v.embeddings.where("vec_id = 2").select(F.lit("GOV_EXECUTIVE").alias("item"), F.col("embedding").alias("query_vector"))
-    near = R.hybrid_scores(_with_tags(R.best(R.with_distances(_chunked(v), vector), R.FIRM_YEAR, ["distance", "chunk_index"], 40, "near")), "GOV_EXECUTIVE")
+    near = R.hybrid_scores(_with_tags(R.near_chunks(_chunked(v), _queries(v), 40, "near")), "GOV_EXECUTIVE")
     window = R.anchor_windows(_chunked(v), profile["anchor"], profile["section"])
-    window = R.hybrid_scores(_with_tags(R.with_distances(window, vector)), "GOV_EXECUTIVE")
-    return R.executive_order(R.section_boosted(near, window), 10).select("ticker", "year", "chunk_index", F.round("hybrid_score", 6).alias("score"), "seen_in_section", "rank")
+    window = R.hybrid_scores(_with_tags(R.with_distances(window, _queries(v))), "GOV_EXECUTIVE")
+    return R.executive_order(R.section_boosted(near, window), 10).select("ticker", "year", "item", "chunk_index", F.round("hybrid_score", 6).alias("score"), "seen_in_section", "rank")
 
 
 _AUDIT = "+".join([f"0.7 * {_hits(R.AUDIT_TERMS)}"] + [f"CASE WHEN list_contains(tags, 'audit_report') THEN {p} ELSE 0 END" for p in (3.2, 2.8, 0.35, 0.35)] + ["CASE WHEN contains(lt, '|') THEN 0.05 ELSE 0 END"])
@@ -265,13 +268,12 @@ _WORDY = "+".join(f"CASE WHEN regexp_matches(' ' || lt || ' ', '{p.replace(chr(9
 
 @query(
     "audit_rerank",
-    f"""WITH {_CHUNKED}, q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 3), n AS (SELECT x.*, {_DIST.format('embedding', 'qv')} AS distance FROM x, q QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY distance, chunk_index) <= 60),
+    f"""WITH {_CHUNKED}, q AS ({_ASKED}), n AS (SELECT x.*, item, {_DIST.format('embedding', 'qv')} AS distance FROM x, q QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY distance, chunk_index) <= 60),
 s AS (SELECT *, 1.0 / (1.0 + greatest(distance, 0)) + {_AUDIT} + {_WORDY} AS score FROM n)
-SELECT ticker, year, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year ORDER BY score DESC, distance, chunk_index) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
+SELECT ticker, year, item, chunk_index, ROUND(score, 6) AS score, CAST(ROW_NUMBER() OVER (PARTITION BY ticker, year, item ORDER BY score DESC, distance, chunk_index) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""",
 )
 def _(v):
-    vector = v.embeddings.where("vec_id = 3").select(F.lit("GOV_AUDIT").alias("item"), F.col("embedding").alias("query_vector"))
-    return R.audit_rerank(_chunked(v), vector, 10, tag=_with_tags).select("ticker", "year", "chunk_index", F.round("audit_score", 6).alias("score"), "rank")
+    return R.audit_rerank(_chunked(v), _queries(v), 10, tag=_with_tags).select("ticker", "year", "item", "chunk_index", F.round("audit_score", 6).alias("score"), "rank")
 
 
 def _kb(v):

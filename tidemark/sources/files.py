@@ -112,9 +112,14 @@ def write_console_csv(df: DataFrame, path: str) -> None:
 
 
 def export(df: DataFrame, path: str, kind: str = "parquet", columns: list[str] | None = None) -> None:
-    """A result as csv, json or parquet, optionally only some columns in order."""
+    """A result as csv, json, parquet or workbook, optionally only some columns in order."""
     out = df.select(columns) if columns else df
     writer = out.write.mode("overwrite")
+    if kind == "workbook":
+        from .sheets import Workbook
+
+        df.sparkSession.dataSource.register(Workbook)
+        return writer.format("workbook").save(path)
     {"csv": lambda: writer.csv(path, header=True), "json": lambda: writer.json(path), "parquet": lambda: writer.parquet(path)}[kind]()
 
 
