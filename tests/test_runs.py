@@ -96,3 +96,13 @@ def test_syncs(spark):
     stored = spark.createDataFrame([("A",), ("A",)], "code string")
     assert {r.code for r in U.sync_targets(firms, stored).collect()} == {"B", None} and U.sync_targets(firms, stored, force=True).count() == 3
     assert U.sync_requests(firms, 2020, 2022).count() == 9 and U.sync_requests(firms, 2022, 2020).count() == 0
+
+
+def test_items_of_a_task():
+    known = {"edc": [{"code": "CC1", "description": "d"}]}
+    assert M.task_items("edc", None, known) == known["edc"]
+    assert M.task_items("edc", [{"code": " A ", "description": "b ", "x": 1}], known) == [{"code": "A", "description": "b", "x": 1}]
+    for bad in (("other", None), ("edc", [{"code": "A", "description": " "}]), ("edc", [{"description": "x"}])):
+        with pytest.raises(ValueError):
+            M.task_items(*bad, known)
+    assert M.plain_codes(["GOV_BOARD", "X"], {"GOV_BOARD": "GOV_DIRECTORY"}) == ["GOV_DIRECTORY", "X"]

@@ -114,13 +114,20 @@ def year_list(text: Column, low: int = 1900, high: int = 2100) -> Column:
 
 
 def billions(value: Column) -> Column:
-    """An amount in billions with separators; nothing for 0 and null."""
-    return F.when(value.isNull() | (value == 0), "").otherwise(F.format_number(value / 1e9, 2))
+    """An amount in billions with separators: one digit below one billion, else whole; nothing for 0 and null."""
+    n = value.cast("double") / 1e9
+    return F.when(value.isNull() | (value == 0), "").when(F.abs(n) < 1, F.format_number(n, 1)).otherwise(F.format_number(n, 0))
 
 
 def ratio_text(value: Column) -> Column:
-    size = F.abs(value)
-    return F.when(value.isNull(), "").when(size >= 1e9, F.format_number(value / 1e9, 2)).when(size >= 100, F.format_number(value, 0)).otherwise(F.format_number(value, 4))
+    """A ratio with digits by its size: none from 1000 on, two from 1 on, else four; nothing for null."""
+    n, size = value.cast("double"), F.abs(value)
+    return F.when(value.isNull(), "").when(size >= 1000, F.format_number(n, 0)).when(size >= 1, F.format_number(n, 2)).otherwise(F.format_number(n, 4))
+
+
+def renamed_folder(path: Column, old: str = "markdown_bctc/", new: str = "markdown_financial_statement/") -> Column:
+    """Paths that stores of an older layout hold, in the present one."""
+    return F.replace(path, F.lit(old), F.lit(new))
 
 
 def year_dates(low: int, high: int) -> Column:

@@ -309,3 +309,8 @@ def archive_primary(members: DataFrame, share: float = 0.6) -> DataFrame:
     largest = F.max("size").over(Window.partitionBy("archive"))
     large = members.withColumn("largest", largest).where(F.col("size") >= share * F.col("largest"))
     return large.groupBy("archive").agg(F.max_by("member", F.struct("language_score", "size", "member")).alias("member"), F.count("*").alias("candidates"))
+
+
+def first_filled(*tables: DataFrame) -> DataFrame:
+    """The first table that has a row, else the last; a probe reads one row."""
+    return next((t for t in tables[:-1] if not t.isEmpty()), tables[-1])

@@ -118,3 +118,30 @@ def with_presets(presets: DataFrame, task_type: str, models: list[str]) -> DataF
 
 def active_presets(presets: DataFrame, task_type: str) -> DataFrame:
     return presets.where((F.col("task_type") == task_type) & F.col("is_active")).orderBy("created_at", "model_name").select("model_name")
+
+
+def with_metadata(chunks: DataFrame, make: Callable[[Column], Column] = chunk_metadata) -> DataFrame:
+    """``chunks`` with ``chunk_metadata_json``: the stored one where the table has that column, else made from the text."""
+    if "chunk_metadata_json" in chunks.columns:
+        return chunks
+    return chunks.withColumn("chunk_metadata_json", F.to_json(make(F.col("chunk_text"))))
+
+
+def task_items(task: str, items: list[dict[str, str]] | None, known: dict[str, list[dict[str, str]]]) -> list[dict[str, str]]:
+    """A task's items: the known ones, or given ones whose code and description are trimmed and not blank."""
+    if items is None:
+        if task not in known:
+            raise ValueError(f"no task {task}")
+        return known[task]
+    out = []
+    for i, item in enumerate(items):
+        code, description = (str(item.get(k) or "").strip() for k in ("code", "description"))
+        if not code or not description:
+            raise ValueError(f"item {i} of {task} needs a code and a description")
+        out.append({**item, "code": code, "description": description})
+    return out
+
+
+def plain_codes(codes: list[str], aliases: dict[str, str]) -> list[str]:
+    """Codes in their order, aliases by the names that they stand for."""
+    return [aliases.get(c, c) for c in codes]

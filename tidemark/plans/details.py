@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import json as J
 from ..functions import text as X
+from ..operators import dashboards as G
 from ..operators import documents as D
 from ..operators import pivots as P
+from ..operators import runs as M
 from ..operators import scoring as S
 from ..operators import state as U
 from ..operators.rosters import refined
 from .registry import query
-from .texts import _BLOCKED, _SCORE, _TITLE
+from .texts import _BLOCKED, _SCORE, _TITLE, TAGGED, _sql, _tagged
 
 _JOBS = ["inference_jobs", "proper_vn_jobs", "governance_jobs"]
 
@@ -145,3 +148,53 @@ def _(v):
     """Executives and signing auditors that rosters name."""
     v.orders.createOrReplaceTempView("orders")
     return refined(v.spark.sql(_ROSTERED)).select("ticker", "year", "item_code", "ceo_name", "chief_accountant_name", "board_member_count", F.array_join("signing_auditor_names", ",").alias("signing"))
+
+
+@query(
+    "money_text",
+    """SELECT code, item_code, fiscal_date, CASE WHEN numeric_value IS NULL OR numeric_value = 0 THEN '' WHEN abs(numeric_value / 1e9) < 1 THEN format('{:,.1f}', numeric_value / 1e9) ELSE format('{:,.0f}', numeric_value / 1e9) END AS amount,
+  CASE WHEN abs(numeric_value / 1e8) >= 1000 THEN format('{:,.0f}', numeric_value / 1e8) WHEN abs(numeric_value / 1e8) >= 1 THEN format('{:,.2f}', numeric_value / 1e8) ELSE format('{:,.4f}', numeric_value / 1e8) END AS ratio FROM financial_statements""",
+)
+def _(v):
+    """Amounts in billions and ratios as a report shows them."""
+    return v.financial_statements.select("code", "item_code", "fiscal_date", X.billions(F.col("numeric_value")).alias("amount"), X.ratio_text(F.col("numeric_value") / 1e8).alias("ratio"))
+
+
+@query("renamed_folders", "SELECT id, replace(CASE WHEN id % 2 = 0 THEN 'data/markdown_bctc/' ELSE 'data/markdown/' END || id || '.md', 'markdown_bctc/', 'markdown_financial_statement/') AS source_file FROM listed_documents")
+def _(v):
+    path = F.concat(F.when(F.col("id") % 2 == 0, "data/markdown_bctc/").otherwise("data/markdown/"), F.col("id").cast("string"), F.lit(".md"))
+    return v.listed_documents.select("id", X.renamed_folder(path).alias("source_file"))
+
+
+@query("chosen_results", "SELECT ticker, COUNT(*) AS n FROM inference_results GROUP BY ticker")
+def _(v):
+    """Results of the first table that has any: the newer one is empty here."""
+    return G.first_filled(v.inference_results_hyde2.where("year < 1900").select("ticker"), v.inference_results.select("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@query(
+    "metadata_branch",
+    f"""WITH {_sql(TAGGED)} SELECT 'stored' AS branch, vec_id AS id, chunk_metadata_json AS told FROM stored_chunks
+UNION ALL SELECT 'made', doc_id, CASE WHEN contains(chunk_text, '|') THEN 'true' ELSE 'false' END FROM tagged""",
+)
+def _(v):
+    """Stored metadata where a table has the column, else what the texts say: the plan follows the table's columns."""
+    stored = M.with_metadata(v.stored_chunks).select(F.lit("stored").alias("branch"), F.col("vec_id").alias("id"), F.col("chunk_metadata_json").alias("told"))
+    made = M.with_metadata(_tagged(v)).select(F.lit("made").alias("branch"), F.col("doc_id").alias("id"), F.get_json_object("chunk_metadata_json", "$.signals.has_table_like").alias("told"))
+    return stored.unionByName(made)
+
+
+@query("first_words", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')[1:50], ' ') AS kept FROM documents")
+def _(v):
+    """Texts cut to a limit of words, as for a model without a vocabulary at hand."""
+    return v.documents.select("doc_id", X.first_words(F.col("text"), 50).alias("kept"))
+
+
+@query(
+    "signers",
+    """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Ông A|Bà ' || c_name WHEN 1 THEN c_name WHEN 2 THEN '' ELSE '[broken' END AS names FROM customer""",
+)
+def _(v):
+    """Stored signers: a JSON list of names, or a text that is the only one."""
+    raw = F.expr("""CASE c_custkey % 4 WHEN 0 THEN CONCAT('["Ông A", "Bà ', c_name, '"]') WHEN 1 THEN c_name WHEN 2 THEN NULL ELSE '[broken' END""")
+    return v.customer.select(F.col("c_custkey").alias("id"), F.array_join(J.list_or_text(raw), "|").alias("names"))
