@@ -170,14 +170,22 @@ def test_files(spark, tmp_path):
 
 
 def test_milestones_and_pages(spark):
-    page = "<script>var t = {categories: [\"2001\", \"Year 2005\"]};</script><h3>Mốc lịch sử</h3><ul><li>12/03/1999: founded</li><li>no year</li></ul><p>In 2010 the firm grew.</p><li>12/03/1999: founded</li>"
-    rows = spark.createDataFrame([("AAA", page), ("BBB", None)], "ticker string, html string")
+    page = """<ul><li>menu</li></ul><script>var t_categories = ["2001", "Year 2005"];</script><div><h3>Mốc  lịch <i>sử</i></h3><ul><li>12/03/1999: founded</li><li>no year</li></ul>
+      <table><tr><th>5-6-2002</th><td> </td><td>listed<br>twice</td></tr></table><p>In 2010 the firm grew.</p><p>no year here</p><h2>Other</h2><p>In 2011 not told</p></div>"""
+    body = '<div class="a company-history__container"><div><b class="company-history__header-title">MỐC LỊCH SỬ</b></div><div class="company-history__body"><p>born</p><p>In 1987 Born</p></div></div>'
+    plain = "<p>It was 1990 then<p>short 1<style>1991 is styled</style><div>Since\n2004, and more\n2005</div>"
+    rows = spark.createDataFrame([("AAA", page), ("BBB", None), ("CCC", body), ("DDD", plain), ("EEE", "")], "ticker string, html string")
     got = sorted(tuple(r) for r in milestones.milestone_events(rows, "ticker", "html").collect())
-    assert got == [("AAA", 1, 2001, None, "2001"), ("AAA", 2, 2005, None, "Year 2005"), ("AAA", 3, 1999, "12/03/1999", "12/03/1999: founded"), ("AAA", 4, 2010, None, "In 2010 the firm grew.")]
+    # a heading without the section's class is the first element that holds its words, here the outer div, so the page's lists count
+    told = ["2001", "Year 2005", "menu", "12/03/1999: founded", "no year", "5-6-2002 - listed twice"]
+    assert [r[4] for r in got if r[0] == "AAA"] == told and [r[3] for r in got if r[0] == "AAA"][3:6] == ["12/03/1999", None, "5-6-2002"]
+    assert [r[1:] for r in got if r[0] == "CCC"] == [(1, None, None, "born"), (2, 1987, None, "In 1987 Born")]
+    assert [r[1:] for r in got if r[0] == "DDD"] == [(1, 1990, None, "It was 1990 then"), (2, 2004, None, "2004, and more")]
+    assert {r[0] for r in got} == {"AAA", "CCC", "DDD"}
     answers = {1: {"data": [{"a": 1}], "totalPages": 2}, 2: {"data": [{"a": 2}], "totalPages": 2}}
     assert [r["a"] for r in rest.pages(lambda i: answers.get(i, {}))] == [1, 2]
     fetched = rest.fetch_all(rows, "ticker", lambda k, i: {"data": [{"v": i}] if i < 3 else []}, "ticker string, v int")
-    assert sorted(tuple(r) for r in fetched.collect()) == [("AAA", 1), ("AAA", 2), ("BBB", 1), ("BBB", 2)]
+    assert sorted(tuple(r) for r in fetched.collect()) == [(t, i) for t in ("AAA", "BBB", "CCC", "DDD", "EEE") for i in (1, 2)]
     fields = F.create_map(F.lit("FileInfoID"), F.lit("7"), F.lit("title"), F.lit("T"))
     assert one(spark, files.any_case(fields, "fileinfoid"), y=1) == "7"
 

@@ -498,11 +498,21 @@ def _(v):
     return event_counts(v.events).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", F.round("value", 6).alias("value"))
 
 
-@query("milestones")
+#: The section that a profile adds to a page.
+_SECTION = """CONCAT('<div class="company-history__container"><h3 class="company-history__header-title">Mốc lịch sử</h3><script>var x_categories = ["1999", "Năm 2003"];</script><ul><li>12/03/', CAST(1990 + page_id % 20 AS STRING), ': Thành lập</li><li>Không <b>năm</b></li></ul>',
+  '<table><tr><th>2001</th><td></td><td>Niêm yết ', CAST(page_id AS STRING), '</td></tr></table>', CASE WHEN page_id % 2 = 0 THEN '<div class="company-history__body"><p>Năm 2010 tăng vốn</p><p>không năm</p></div>' ELSE '<p>Năm 2011 tăng vốn</p><p>không rõ</p>' END, '<h4>Khác</h4><p>2012 không tính</p></div>')"""
+
+
+@query(
+    "milestones",
+    """WITH e AS (SELECT page_id, unnest(list_concat(['1999', 'Năm 2003', '12/03/' || (1990 + page_id % 20) || ': Thành lập', 'Không năm', '2001 - Niêm yết ' || page_id], CASE WHEN page_id % 2 = 0 THEN ['Năm 2010 tăng vốn', 'Năm 2010 tăng vốn không năm'] ELSE ['Năm 2011 tăng vốn'] END)) AS event_text, generate_subscripts(range(CASE WHEN page_id % 2 = 0 THEN 7 ELSE 6 END), 1) AS n FROM pages)
+SELECT page_id, CAST(n AS INTEGER) AS event_order, TRY_CAST(regexp_extract(event_text, '(19|20)[0-9]{2}') AS INTEGER) AS event_year, nullif(regexp_extract(event_text, '[0-9]+/[0-9]+/[0-9]{4}'), '') AS event_date, event_text FROM e""",
+)
 def _(v):
+    """Events of each page with a profile's section after its own text."""
     from ..sources.milestones import milestone_events
 
-    return milestone_events(v.pages, "page_id", "html")
+    return milestone_events(v.pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.expr(_SECTION))), "page_id", "html")
 
 
 @query("statement_roster")

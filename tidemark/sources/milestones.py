@@ -1,86 +1,153 @@
-"""Company milestones from HTML pages: pages go through Arrow batches and the standard library's parser."""
+"""Company milestones from HTML pages.
+
+A small parser turns a page into rows of its tree, in Arrow batches: elements in order, each with its parent, the last
+element inside it, and which of the page's strings are its own.  Everything else is columns over those arrays: where
+the section is, the lists, tables and paragraphs near it, labels of script timelines, and else all lines with a year.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import history_year, squash, strip_accents
 
-#: Fixed patterns.
-YEAR = re.compile(r"(?<!\d)((?:19|20)\d{2})(?!\d)")
-DATE = re.compile(r"\b(\d{1,2}/\d{1,2}/\d{4}|\d{1,2}/\d{4})\b")
-CATEGORIES = re.compile(r"categories\s*[:=]\s*\[(.*?)\]", re.DOTALL)
-EVENT = "event_order int, event_year int, event_date string, event_text string"
+#: Fixed names and patterns of the section.
+TITLE, CONTAINER, BODY, SAYS = "company-history__header-title", "company-history__container", "company-history__body", "moc lich su"
+HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+TITLED = [*HEADINGS, "strong", "b", "div", "span", "p"]
+CATEGORIES = r"(?s)_categories\s*=\s*\[(.*?)\]"
+DATE = r"(?U)\b(\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2})\b"
+MOST_SIBLINGS, LEAST_CHARS = 15, 8
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+PAGE = "nodes array<struct<tag: string, classes: array<string>, parent: int, last: int, low: int, high: int>>, strings array<string>, scripts array<string>"
 
-class _Lines(HTMLParser):
-    """Texts of list items, table rows, paragraphs and headings in order, and the labels of script timelines."""
 
-    KEPT = ("li", "tr", "p", "h1", "h2", "h3", "h4", "h5", "h6", "div", "span", "b", "strong")
+class _Tree(HTMLParser):
+    """Elements as [tag, classes, parent, last element inside, first string, end of strings]; parent -1 is the page."""
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, str]] = []
-        self.open: list[tuple[str, list[str]]] = []
-        self.script: list[str] | None = None
-        self.labels: list[str] = []
+        self.nodes, self.strings, self.scripts, self.open = [], [], [], []
+        self.feed(page)
+        self.close()
+        self._end(0)
+
+    def _end(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.nodes[i][3], self.nodes[i][5] = len(self.nodes) - 1, len(self.strings)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.script = []
-        elif tag in self.KEPT:
-            self.open.append((tag, []))
-        elif tag in ("td", "th") and self.open and any(x.strip() for x in self.open[-1][1]):
-            self.open[-1][1].append(" - ")
+        at = len(self.nodes)
+        self.nodes.append([tag, (dict(attrs).get("class") or "").split(), self.open[-1] if self.open else -1, at, len(self.strings), len(self.strings)])
+        if tag not in VOID:
+            self.open.append(at)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.script is not None:
-            for m in CATEGORIES.finditer("".join(self.script)):
-                self.labels += re.findall(r'"([^"]+)"', m[1])
-            self.script = None
-            return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for t, parts in reversed(self.open[i:]):
-                    text = " ".join("".join(parts).split())
-                    if text:
-                        self.lines.append((t, text))
-                del self.open[i:]
-                return
+        depth = next((d for d in range(len(self.open) - 1, -1, -1) if self.nodes[self.open[d]][0] == tag), None)
+        if depth is not None:
+            self._end(depth)
 
     def handle_data(self, data):
-        if self.script is not None:
-            self.script.append(data)
-        elif self.open:
-            self.open[-1][1].append(data)
-
-
-def milestones(page: str) -> list[tuple[int, int | None, str | None, str]]:
-    """(order, year, date, text) of the timeline labels and the lines with a year, first of equal ones."""
-    parser = _Lines()
-    parser.feed(page or "")
-    parser.close()
-    listed = [t for k, t in parser.lines if k in ("li", "tr")]
-    texts = parser.labels + [t for t in listed if YEAR.search(t)] + [t for k, t in parser.lines if k not in ("li", "tr") and YEAR.search(t) and len(t) >= 8]
-    out, seen = [], set()
-    for text in (" ".join(t.split()) for t in texts):
-        if text and text.lower() not in seen:
-            seen.add(text.lower())
-            year, date = YEAR.search(text), DATE.search(text)
-            out.append((len(out) + 1, int(year[1]) if year else None, date[1] if date else None, text))
-    return out
+        within = self.nodes[self.open[-1]][0] if self.open else ""
+        if within == "script":
+            self.scripts.append(data)
+        elif within != "style" and data.strip():
+            self.strings.append(data.strip())
 
 
-def milestone_events(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Events of each page: ``pages`` has a key and its HTML."""
+def trees(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, nodes, strings, scripts) of each page; a null page has none."""
+    names = ("tag", "classes", "parent", "last", "low", "high")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *event) for k, page in zip(frame[key], frame[html]) for event in milestones(page)]
-            yield pd.DataFrame(rows, columns=[key, "event_order", "event_year", "event_date", "event_text"]).astype({"event_year": "Int32"})
+            made = [_Tree(page or "") for page in frame[html]]
+            yield pd.DataFrame({key: frame[key], "nodes": [[dict(zip(names, n)) for n in t.nodes] for t in made], "strings": [t.strings for t in made], "scripts": [t.scripts for t in made]})
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {PAGE}")
+
+
+def _text(node: Column) -> Column:
+    return squash(F.array_join(F.slice("strings", node["low"] + 1, node["high"] - node["low"]), " "))
+
+
+def _where(holds: Callable[[Column, Column], Column]) -> Column:
+    """The places of the elements for which a rule holds, in order."""
+    return F.array_compact(F.transform("nodes", lambda x, i: F.when(holds(x, i), i)))
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {EVENT}")
+
+def _node(i: Column) -> Column:
+    return F.get("nodes", i)
+
+
+def _inside(low: Column, high: Column, *tags: str) -> Column:
+    return _where(lambda x, i: x["tag"].isin(*tags) & (i > low) & (i <= high))
+
+
+def _line(i: Column) -> Column:
+    """A table row's cells with dashes between them."""
+    cells = F.transform(_inside(i, _node(i)["last"], "th", "td"), lambda j: _text(_node(j)))
+    return F.array_join(F.filter(cells, lambda c: c != ""), " - ")
+
+
+def _says(node: Column) -> Column:
+    return F.lower(strip_accents(_text(node))).contains(SAYS)
+
+
+def milestone_events(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """(key, event_order, event_year, event_date, event_text) of each page: ``pages`` has a key and its HTML.
+
+    Script labels come first, then lists and tables beside the section's heading, paragraphs of its body, and up to 15
+    elements after the heading, until the next one; a page without any of these gives its lines with a year.  Of equal
+    texts, whatever their case, the first stays.
+    """
+    none = F.array().cast("array<string>")
+    out = trees(pages, key, html)
+    titled = F.get(_where(lambda x, i: F.array_contains(x["classes"], TITLE)), F.lit(0))
+    out = out.withColumn("h", titled)
+    out = out.withColumn("h", F.coalesce(F.when(_says(_node(F.col("h"))), F.col("h")), F.get(_where(lambda x, i: x["tag"].isin(*TITLED) & _says(x)), F.lit(0))))
+    out = out.withColumn("up", _node(F.col("h"))["parent"])
+    out = out.withColumn("end", F.when(F.col("up") >= 0, _node(F.col("up"))["last"]).otherwise(F.size("nodes")))
+    # near the heading
+    listed = F.transform(_inside(F.col("up"), F.col("end"), "li"), lambda i: _text(_node(i)))
+    rows = F.transform(_inside(F.col("up"), F.col("end"), "tr"), _line)
+    boxes = _where(lambda x, i: (x["tag"] == "div") & F.array_contains(x["classes"], CONTAINER) & (i < F.col("h")) & (x["last"] >= F.col("h")))
+    out = out.withColumns({"listed": listed, "rows": rows, "box": F.try_element_at(boxes, F.lit(-1))})
+    body = F.get(_where(lambda x, i: (x["tag"] == "div") & F.array_contains(x["classes"], BODY) & (i > F.col("box")) & (i <= _node(F.col("box"))["last"])), F.lit(0))
+    out = out.withColumn("body", body)
+    out = out.withColumn("told", F.transform(_inside(F.col("body"), _node(F.col("body"))["last"], "p"), lambda i: _text(_node(i))))
+    # after the heading
+    after = F.slice(_where(lambda x, i: (x["parent"] == F.col("up")) & (i > F.col("h"))), 1, MOST_SIBLINGS)
+    out = out.withColumn("after", after)
+    stop = F.array_position(F.transform("after", lambda i: _node(i)["tag"].isin(*HEADINGS)), True)
+    out = out.withColumn("after", F.when(stop > 0, F.slice("after", 1, stop.cast("int") - 1)).otherwise(F.col("after")))
+
+    def sibling(i: Column) -> Column:
+        tag, last, text = _node(i)["tag"], _node(i)["last"], _text(_node(i))
+        items = F.transform(_inside(i, last, "li"), lambda j: _text(_node(j)))
+        lines = F.transform(_inside(i, last, "tr"), _line)
+        plain = F.when(history_year(text).isNotNull() & ~text.contains("var _"), F.array(text))
+        return F.when(tag.isin("script", "style"), none).when(tag.isin("ul", "ol"), items).when(tag == "table", lines).otherwise(F.coalesce(plain, none))
+
+    labels = F.flatten(F.transform("scripts", lambda s: F.regexp_extract_all(F.regexp_extract(s, CATEGORIES, 1), F.lit('"([^"]+)"'), 1)))
+    found = F.concat(labels, F.coalesce("listed", none), F.coalesce("rows", none), F.coalesce("told", none), F.coalesce(F.flatten(F.transform("after", sibling)), none))
+    clean = lambda texts: F.filter(F.transform(texts, squash), lambda t: t != "")
+    out = out.withColumn("found", clean(found))
+    lines = F.flatten(F.transform("strings", lambda s: F.split(s, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")))
+    every = F.filter(clean(lines), lambda t: (F.length(t) >= LEAST_CHARS) & history_year(t).isNotNull())
+    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(every))
+    out = out.withColumn("small", F.transform("found", F.lower))
+    once = F.filter("found", lambda t, i: F.array_position("small", F.lower(t)) == i + 1)
+    out = out.select(key, F.posexplode(once).alias("place", "event_text"))
+    return out.select(key, (F.col("place") + 1).alias("event_order"), history_year(F.col("event_text")).alias("event_year"), F.nullif(F.regexp_extract("event_text", DATE, 1), F.lit("")).alias("event_date"), "event_text")
