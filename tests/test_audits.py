@@ -33,6 +33,15 @@ def test_evidence_names_the_first_lines_of_each_rule(spark):
     assert one == "" and evidence(spark, [SPACED + "\n" + "lorem ipsum " * 200], all_rules=True)[0].startswith("broken_spacing=L1: ")
 
 
+def test_long_runs_of_letters(spark):
+    import re
+
+    old = re.compile(rf"\b(?:[{D.LETTER}]\s+){{3,}}[{D.LETTER}]\b")
+    texts = ["T h i s " * 60_000, "a b c d", "a b c dd", "xa b c d e", "a b cc d e f g", "đ ặ c b i ệ t, x y z t u", "a  b\nc\td e1 f", "a b c d-e f g h"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.regexp_extract_all("t", F.lit(D.BROKEN_SPACING), 1)).collect()
+    assert [r[0] for r in got] == [old.findall(t) for t in texts]
+
+
 def reports(spark, tmp_path):
     rows = [("AAA", y, t, f"m/{y}/{i}.md") for y in (2020, 2021, 2022) for i, t in enumerate(["good text " * 30, "bad<br>w0rd b1d\n" * 3, "\nlines between\n".join([SPACED] * 4)])]
     df = spark.createDataFrame([(f"T{i}", *r[1:]) for i, r in enumerate(rows)], "ticker string, year int, content string, source_file string")

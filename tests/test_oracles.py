@@ -38,6 +38,7 @@ def test_query(name, spark, duck):
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     if name not in catalog.ORACLES:
+        assert got and len({r for r in got}) > 1  # their values are held by cases in other tests
         return
     rel = duck.sql(catalog.ORACLES[name])
     names = rel.columns

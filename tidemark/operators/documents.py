@@ -12,7 +12,8 @@ from ..functions.text import contains_any, markdown_year, preferred_title, squas
 #: Fixed character classes, limits and weights of the quality score.
 LETTER = "A-Za-zÀ-ỹĐđ"
 TOKEN = f"([0-9{LETTER}]+)"
-BROKEN_SPACING = rf"(?U)(\b(?:[{LETTER}]\s+){{3,}}[{LETTER}]\b)"
+#: Letters that stand alone, one after the other; possessive, as a long run would overflow the matcher's stack.
+BROKEN_SPACING = rf"(?U)(\b(?:[{LETTER}]\s+(?=[{LETTER}]\b)){{3,}}+[{LETTER}])"
 GARBLED = r"0-9,./%*+#&@\\()\[\]{}|^~="
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LEAST_SPACED_CHARS, REGION_GAP = 25, 5

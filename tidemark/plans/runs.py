@@ -168,7 +168,8 @@ def _(v):
 
 @query("suspicious_reports")
 def _(v):
-    scored = D.suspicious_first(D.quality(v.annual_reports))
+    apart = F.when(F.crc32("source_file") % 5 == 0, F.regexp_replace("content", r"(\S)", "$1 ")).otherwise(F.col("content"))  # a fifth of the texts, letter by letter
+    scored = D.suspicious_first(D.quality(v.annual_reports.withColumn("content", apart)))
     return scored.select("ticker", "year", "source_file", F.round("suspicious_score", 9).alias("suspicious_score"), "broken_spacing_count", "quality_status")
 
 

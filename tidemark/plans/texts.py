@@ -391,9 +391,23 @@ def _(v):
 _BKS = "Thành viên Ban kiểm soát gồm: Ông Nguyễn Văn An Trưởng ban Bà Trần Thị Bình Thành viên Bà Trần Thị Bình Thành viên Thuyết minh báo cáo Ông Lê Văn Cường Trưởng ban "
 
 
-@query("roster_parse", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Nguyễn Văn An/male,Trần Thị Bình/female' ELSE '' END AS roster FROM documents")
+#: One to three members with names of their own, after the words that open a section.
+_MEMBERS = ["Nguyễn Văn ", "Trần Thị ", "Lê Văn "], ["An", "Bình", "Cường", "Dung", "Em", "Giang", "Hà"]
+_MEMBER = """CONCAT(CASE WHEN {i} = 1 THEN 'Bà ' ELSE 'Ông ' END, element_at(array({first}), {i} + 1), element_at(array({last}), CAST((doc_id + {i}) % 7 AS INT) + 1), CASE WHEN {i} = 0 THEN ' Trưởng ban ' ELSE ' Thành viên ' END)"""
+
+
+@query(
+    "roster_parse",
+    f"""WITH m AS (SELECT doc_id, unnest(range(CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 + doc_id % 3 END)) AS i FROM documents),
+n AS (SELECT doc_id, i, {_MEMBERS[0]!r}[i + 1] || {_MEMBERS[1]!r}[(doc_id + i) % 7 + 1] || CASE WHEN i = 1 THEN '/female' ELSE '/male' END AS who FROM m)
+SELECT d.doc_id, COALESCE(string_agg(who, ',' ORDER BY i), '') AS roster FROM documents d LEFT JOIN n USING (doc_id) GROUP BY d.doc_id""",
+)
 def _(v):
-    text = F.concat(F.when(F.col("doc_id") % 2 == 0, _BKS).otherwise(""), F.lit("# "), F.col("text"))
+    """Members of the supervisory board that a statement's text lists; one is listed twice."""
+    quoted = [", ".join(f"'{x}'" for x in part) for part in _MEMBERS]
+    one = lambda i: F.expr(_MEMBER.format(i=i, first=quoted[0], last=quoted[1]))
+    listed = F.concat(F.lit("Ban kiểm soát gồm: "), one(0), one(0), *[F.when(F.col("doc_id") % 3 >= i, one(i)).otherwise("") for i in (1, 2)], F.lit("Thuyết minh báo cáo Ông Vũ Văn Ích Trưởng ban "))
+    text = F.concat(F.when(F.col("doc_id") % 4 != 3, listed).otherwise(""), F.lit("# "), F.col("text"))
     out = S.with_roster(v.documents.select("doc_id", text.alias("text")), F.col("text"), "supervisory", "people")
     return out.select("doc_id", F.array_join(F.transform("people", lambda m: F.concat_ws("/", m["name"], m["gender"])), ",").alias("roster"))
 
@@ -524,21 +538,35 @@ def _(v):
     return S.statement_rosters(rows, F.col("details_json"), F.col("text")).select("doc_id", "item_code", "roster")
 
 
-@query("safe_json", """SELECT doc_id, CAST(CASE doc_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS n FROM documents""")
+@query("safe_json", "SELECT doc_id, CAST(CASE doc_id % 6 WHEN 0 THEN 1 + doc_id % 9 WHEN 1 THEN 1 + doc_id % 5 WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS n FROM documents")
 def _(v):
-    raw = F.expr("""CASE doc_id % 6 WHEN 0 THEN '[1, 2, 3]' WHEN 1 THEN '{"a": 1, "b": [2]}' WHEN 2 THEN 'broken {' WHEN 3 THEN '7' WHEN 4 THEN '[]' END""")
+    raw = F.expr("""CASE doc_id % 6 WHEN 0 THEN to_json(transform(sequence(0, doc_id % 9), x -> concat('"', text))) WHEN 1 THEN to_json(map_from_entries(transform(sequence(0, doc_id % 5), x -> struct(concat('k', x), array(text, text)))))
+      WHEN 2 THEN concat('{', text) WHEN 3 THEN string(doc_id) WHEN 4 THEN '[]' END""")
     return v.documents.select("doc_id", J.safe_size(raw).cast("int").alias("n"))
 
 
-@query("list_fields", "SELECT o_orderkey AS id, 'T1,T2' AS tickers, '1999,2001' AS years, '1999-12-31,2000-12-31' AS dates FROM orders")
+@query(
+    "list_fields",
+    """SELECT o_orderkey AS id, array_to_string(CASE WHEN o_custkey % 90 = o_orderkey % 7 THEN ['T' || o_custkey % 90] ELSE ['T' || o_custkey % 90, 'T' || o_orderkey % 7] END || ['X' || substr(o_orderpriority, 1, 1)], ',') AS tickers,
+  array_to_string(list_sort(list_distinct(list_filter([year(o_orderdate), 1890 + o_orderkey % 40], lambda x: x >= 1900))), ',') AS years, '1999-12-31,2000-12-31' AS dates FROM orders""",
+)
 def _(v):
+    """Tickers and years as they are typed, with repeats and what is none of them."""
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return v.orders.select(F.col("o_orderkey").alias("id"), text(X.ticker_list(F.lit("t1.VN, T2\nt1"))).alias("tickers"), text(X.year_list(F.lit("2001 1999, 2001;x 3000"))).alias("years"), X.year_dates(1999, 2000).alias("dates"))
+    typed = F.expr("concat('t', o_custkey % 90, '.VN, T', o_orderkey % 7, '\n ;t', o_custkey % 90, ' x', substr(o_orderpriority, 1, 1), '.y')")
+    years = F.expr("concat(year(o_orderdate), ' ', 1890 + o_orderkey % 40, ', ', year(o_orderdate), ';abc 3000')")
+    return v.orders.select(F.col("o_orderkey").alias("id"), text(X.ticker_list(typed)).alias("tickers"), text(X.year_list(years)).alias("years"), X.year_dates(1999, 2000).alias("dates"))
 
 
-@query("proper_parse", "SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS is_present, CASE o_orderkey % 3 WHEN 0 THEN 'quantified' ELSE 'none' END AS evidence_level, CASE o_orderkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'Failed to parse LLM response: x{' ELSE '' END AS reason FROM orders")
+@query(
+    "proper_parse",
+    """SELECT o_orderkey AS id, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 2 = 0 AS is_present, CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 THEN 'none' WHEN o_orderkey % 3 = 0 THEN 'quantified' ELSE 'basic_mention' END AS evidence_level,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Failed to parse LLM response: ' || o_comment_ || '{' WHEN o_orderkey % 11 = 0 THEN '' ELSE o_comment_ END AS reason FROM (SELECT *, o_orderpriority || ' "' || o_orderkey || '"' AS o_comment_ FROM orders)""",
+)
 def _(v):
-    raw = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN '{"is_present": true, "evidence_level": "quantified", "reason": "r"}' WHEN 1 THEN 'x{' ELSE '{}' END""")
+    """Answers about one indicator: good ones, empty objects, and what is no JSON."""
+    said = "concat(o_orderpriority, ' \"', o_orderkey, '\"')"
+    raw = F.expr(f"CASE WHEN o_orderkey % 7 = 0 THEN concat({said}, '{{') WHEN o_orderkey % 11 = 0 THEN '{{}}' ELSE to_json(named_struct('is_present', o_orderkey % 2 = 0, 'evidence_level', CASE WHEN o_orderkey % 3 = 0 THEN 'quantified' ELSE 'basic_mention' END, 'reason', {said})) END")
     return v.orders.select(F.col("o_orderkey").alias("id"), S.proper_answer(raw).alias("a")).select("id", "a.*")
 
 
