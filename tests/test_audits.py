@@ -121,3 +121,23 @@ def test_rules_keep_rows_with_null_keys(spark):
 @pytest.mark.parametrize("line, want", [("  a ", "a"), ("x" * 120, "x" * 120), ("x" * 121, "x" * 117 + "..."), ("\x1d y \x1e", "y")])
 def test_snippets(spark, line, want):
     assert spark.createDataFrame([(line,)], "l string").select(A.snippet(F.col("l"))).first()[0] == want
+
+
+def test_statement_audits(spark, tmp_path):
+    from tidemark.sources.files import export
+
+    long, letter = "word " * 3000, "Kính gửi: Sở giao dịch chứng khoán\n"
+    texts = {"AAA": "short", "BBB": "BẢNG CÂN ĐỐI KẾ TOÁN " + letter, "CCC": long, "DDD": letter + long, "EEE": "w0rd b1d " * 40, "FFF": None}
+    rows = spark.createDataFrame([(t, 2020, x, f"{t}.md") for t, x in texts.items()], "ticker string, year int, content string, source_file string")
+    out = A.statement_audit(rows)
+    assert out.columns == list(A.AUDIT_COLUMNS) and len(out.columns) == 23
+    got = {r.ticker: r for r in out.collect()}
+    assert [r.ticker for r in out.collect()][0] == "EEE" and {t: r.quality_status for t, r in got.items()} == {"AAA": "fail", "BBB": "pass", "CCC": "pass", "DDD": "fail", "EEE": "fail", "FFF": "fail"}
+    assert (got["BBB"].financial_statement_section_count, got["BBB"].financial_statement_disclosure_marker_count) == (1, 2)
+    assert got["AAA"].suspicious_reason == D.NOT_A_STATEMENT and got["AAA"].suspicious_score == 0.95 and got["AAA"].quality_evidence == "content_check=sections=0 disclosures=0 tokens=1"
+    assert got["DDD"].quality_evidence.endswith("tokens=3007 || disclosure_markers=kinh gui,so giao dich chung khoan")
+    assert got["EEE"].suspicious_reason.split(",")[-2:] == ["garbled_vietnamese_tokens", D.NOT_A_STATEMENT] and got["CCC"].suspicious is False
+    export(out, str(tmp_path / "audit"), "csv")
+    assert spark.read.csv(str(tmp_path / "audit"), header=True).columns == list(A.AUDIT_COLUMNS)
+    scored = D.content_checks(D.quality(rows))
+    assert [r.ticker for r in D.quality_reruns(scored, ["fail"], 500, 2).collect()] == ["EEE", "AAA"] and D.quality_reruns(scored, ["fail", "pass"], 500).count() == 4

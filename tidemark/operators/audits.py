@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import break_tags
 from ..session import settle
-from .documents import GARBLED_RATIO, LINE_BREAK, SPACED_COUNT, is_garbled, quality, spaced_matches, tokens
+from .documents import GARBLED_RATIO, LINE_BREAK, SPACED_COUNT, audit_order, content_checks, is_garbled, quality, spaced_matches, tokens
 
 #: Examples of a rule, words of an example, characters of a snippet, as fixed values.
 EXAMPLES, WORDS, SNIPPET = 5, 5, 120
@@ -127,3 +127,20 @@ def reaudit(spark: SparkSession, path: str, keys: list[str], partition: str = "y
         rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         told["partitions"] = parts.count()
     return told
+
+
+#: Columns of an audit's file, in order: column of the file -> column of scored and checked reports.
+AUDIT_COLUMNS = {
+    "ticker": "ticker", "year": "year", "path": "path", "source": "source", "source_file": "source_file", "quality_status": "quality_status", "suspicious_score": "suspicious_score", "suspicious": "suspicious",
+    "suspicious_reason": "quality_reason", "token_count": "token_count", "single_char_token_count": "single_char_count", "single_char_token_ratio": "single_char_ratio", "broken_spacing_pattern_count": "broken_spacing_count",
+    "average_token_length": "average_token_length", "isolated_diacritic_token_count": "isolated_diacritic_count", "garbled_vietnamese_token_count": "garbled_count", "garbled_vietnamese_token_ratio": "garbled_ratio",
+    "financial_statement_section_count": "section_count", "financial_statement_disclosure_marker_count": "disclosure_count", "affected_line_count": "affected_line_count", "affected_line_ratio": "affected_line_ratio",
+    "affected_region_count": "affected_region_count", "quality_evidence": "quality_evidence",
+}
+
+
+def statement_audit(reports: DataFrame) -> DataFrame:
+    """The rows of an audit's file for statements (ticker, year, content, and what else of its columns there is), the worst first."""
+    rows = content_checks(with_evidence(quality(reports))).withColumn("suspicious", F.col("quality_status") != "pass")
+    rows = audit_order(rows)
+    return rows.select(*[(F.col(b) if b in rows.columns else F.lit("")).alias(a) for a, b in AUDIT_COLUMNS.items()])

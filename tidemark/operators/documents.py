@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_any, markdown_year, preferred_title, squash, title_quality
+from ..functions.text import contains_any, markdown_year, plain_vietnamese, preferred_title, squash, title_quality
 
 #: Fixed character classes, limits and weights of the quality score.
 LETTER = "A-Za-zÀ-ỹĐđ"
@@ -102,22 +102,42 @@ def quality(reports: DataFrame, text_column: str = "content") -> DataFrame:
     return out.withColumns({"quality_status": status, "quality_reason": reasons}).drop("q_tokens", "q_lines", "q_chars", "q_nonempty", "q_garbled")
 
 
-#: Fixed markers of financial statements.
-SECTION_MARKERS = ["bảng cân đối kế toán", "báo cáo kết quả hoạt động kinh doanh", "báo cáo lưu chuyển tiền tệ", "thuyết minh báo cáo tài chính"]
-LEAST_TOKENS = 3000
+#: Fixed markers of financial statements and of letters about them, without accents.
+SECTION_MARKERS = ["bang can doi ke toan", "bao cao ket qua hoat dong kinh doanh", "bao cao luu chuyen tien te", "luu chuyen tien te", "thuyet minh bao cao tai chinh"]
+DISCLOSURE_MARKERS = ["cong bo thong tin", "nghi quyet", "kinh gui", "uy ban chung khoan", "so giao dich chung khoan"]
+LEAST_TOKENS, NOT_A_STATEMENT, LEAST_SCORE = 3000, "non_financial_statement_content", 0.95
 
 
-def content_checks(scored: DataFrame, text_column: str = "content", markers: list[str] = SECTION_MARKERS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """Financial statements that are short or lack sections fail, with a score of 0.95 at least."""
-    text = F.lower(F.coalesce(F.col(text_column), F.lit("")))
-    missing = (F.col("token_count") < least_tokens) | ~contains_any(text, markers)
-    return scored.withColumns({"suspicious_score": F.when(missing, F.greatest("suspicious_score", F.lit(0.95))).otherwise(F.col("suspicious_score")), "quality_status": F.when(missing, "fail").otherwise(F.col("quality_status"))})
+def content_checks(scored: DataFrame, text_column: str = "content") -> DataFrame:
+    """Scored statements with ``section_count`` and ``disclosure_count``; those that are none fail, with a score of 0.95
+    at least, the reason and (where there is that column) evidence.
 
-
-def quality_reruns(scored: DataFrame, statuses: list[str], min_garbled: int, limit: int) -> DataFrame:
-    """Reports of some statuses; those that didn't fail need a number of garbled words."""
+    A text without a section is none unless it has 3000 tokens and no marker of a letter.
+    """
+    out = scored.withColumn("c_plain", plain_vietnamese(F.coalesce(F.col(text_column), F.lit(""))))
+    held = lambda markers: F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.col("c_plain").contains(m))
+    out = out.withColumns({"c_sections": held(SECTION_MARKERS), "c_letters": held(DISCLOSURE_MARKERS)})
+    out = out.withColumns({"section_count": F.size("c_sections"), "disclosure_count": F.size("c_letters")})
+    other = (F.col("section_count") == 0) & ((F.col("token_count") < LEAST_TOKENS) | (F.col("disclosure_count") > 0))
+    out = out.withColumn("c_other", other)
+    reasons = F.filter(F.split("quality_reason", ","), lambda r: r != "")
+    changed = {
+        "quality_status": F.lit("fail"),
+        "suspicious_score": F.greatest("suspicious_score", F.lit(LEAST_SCORE)),
+        "quality_reason": F.array_join(F.array_union(reasons, F.array(F.lit(NOT_A_STATEMENT))), ","),
+    }
+    if "quality_evidence" in scored.columns:
+        counts = F.format_string("content_check=sections=%d disclosures=%d tokens=%d", "section_count", "disclosure_count", "token_count")
+        letters = F.when(F.col("disclosure_count") > 0, F.concat(F.lit("disclosure_markers="), F.array_join("c_letters", ",")))
+        changed["quality_evidence"] = F.concat_ws(" || ", F.nullif(F.trim("quality_evidence"), F.lit("")), counts, letters)
+    return out.withColumns({c: F.when(F.col("c_other"), value).otherwise(F.col(c)) for c, value in changed.items()}).drop("c_plain", "c_sections", "c_letters", "c_other")
+
+
+def quality_reruns(scored: DataFrame, statuses: list[str], min_garbled: int, limit: int = 0) -> DataFrame:
+    """Reports of some statuses in the order of an audit, all of them without a ``limit``; those that didn't fail need a number of garbled words."""
     chosen = scored.where(F.col("quality_status").isin(statuses) & ((F.col("quality_status") == "fail") | (F.col("garbled_count") >= min_garbled)))
-    return chosen.orderBy(F.desc("suspicious_score"), F.desc("garbled_count"), "ticker", "year").limit(limit)
+    chosen = audit_order(chosen)
+    return chosen.limit(limit) if limit > 0 else chosen
 
 
 def suspicious_first(scored: DataFrame, least: float = 0.45) -> DataFrame:

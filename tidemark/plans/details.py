@@ -198,3 +198,22 @@ def _(v):
     """Stored signers: a JSON list of names, or a text that is the only one."""
     raw = F.expr("""CASE c_custkey % 4 WHEN 0 THEN CONCAT('["Ông A", "Bà ', c_name, '"]') WHEN 1 THEN c_name WHEN 2 THEN NULL ELSE '[broken' END""")
     return v.customer.select(F.col("c_custkey").alias("id"), F.array_join(J.list_or_text(raw), "|").alias("names"))
+
+
+_STATED = """CONCAT(CASE doc_id % 5 WHEN 0 THEN 'Bảng Cân Đối kế toán. Báo cáo LƯU CHUYỂN TIỀN TỆ. ' WHEN 1 THEN 'Kính gửi: Ủy ban chứng khoán. Nghị quyết ' ELSE '' END, text)"""
+_PLAIN_STATED = "replace(strip_accents(lower(trim(t))), 'đ', 'd')"
+_IN = lambda markers: " + ".join(f"CAST(contains(p, '{m}') AS INTEGER)" for m in markers)
+
+
+@query(
+    "content_markers",
+    f"""WITH s AS (SELECT doc_id, {_STATED} AS t FROM documents), p AS (SELECT doc_id, {_PLAIN_STATED} AS p, len(regexp_extract_all(t, '[0-9A-Za-zÀ-ỹĐđ]+')) AS n FROM s),
+c AS (SELECT doc_id, CAST(n AS INTEGER) AS token_count, {_IN(D.SECTION_MARKERS)} AS section_count, {_IN(D.DISCLOSURE_MARKERS)} AS disclosure_count FROM p)
+SELECT *, section_count = 0 AND (token_count < 3000 OR disclosure_count > 0) AS other FROM c""",
+)
+def _(v):
+    """Sections and letters' markers in whole statements, and which of them are none."""
+    v.documents.createOrReplaceTempView("documents")
+    rows = v.spark.sql(f"SELECT doc_id, {_STATED} AS content FROM documents")
+    out = D.content_checks(D.quality(rows))
+    return out.select("doc_id", "token_count", "section_count", "disclosure_count", F.coalesce(F.array_contains(F.split("quality_reason", ","), D.NOT_A_STATEMENT), F.lit(False)).alias("other"))
