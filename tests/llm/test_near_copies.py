@@ -73,9 +73,8 @@ def test_large_group_and_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == sorted(["0", "1000", "1002", "1004", "None"])
 
 
-def test_two_large_families_in_shared_buckets(monkeypatch, spark):
-    """Members that only meet the other family beyond the first leaders are linked as well."""
-    monkeypatch.setattr(near_copies, "LEADERS", 1)
+def test_a_chain_in_shared_buckets(spark):
+    """Members that are not near to the first of their bucket are linked as well."""
     rng = random.Random(5)
     words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     chain = []
@@ -87,6 +86,20 @@ def test_two_large_families_in_shared_buckets(monkeypatch, spark):
     assert [r.component_id for r in near_copies.near_copies(docs).orderBy("doc_id").collect()] == components(chain)
 
 
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Texts with a long passage in common are no near copies; candidates grow with them, not with their square."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(300)]
+    texts += [texts[i] + " more" for i in range(0, 300, 30)]
+    seen, verify = [], near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda sets, pairs: (seen.append(pairs.count()), verify(sets, pairs))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: i if i < 300 else 30 * (i - 300) for i in range(310)}
+    assert sum(seen) < 60 * 310
+
+
 def test_repeated_ids_and_clashing_columns(spark):
     text = lambda s: " ".join(f"{s}{i}" for i in range(60))
     rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (None, text("e")), (None, text("a")), (9, text("f")), (9, text("f"))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,10 @@ def text_keys(text) -> dict:
     return {"k1": F.xxhash64(whole), "k2": F.hash(whole)}
 
 
+#: Tables that a ``without_steps`` drops when it is done.
+_STEPS: ContextVar[list | None] = ContextVar("steps", default=None)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: a table in the shared checkpoint folder, so lost executors don't lose it.
 
@@ -60,9 +65,27 @@ def settle(df: DataFrame) -> DataFrame:
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (steps := _STEPS.get()) is not None:
+        steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without_steps(make: Callable[[], DataFrame]) -> DataFrame:
+    """Settle what ``make`` gives, then drop the tables that were settled on the way to it."""
+    steps: list[str] = []
+    token = _STEPS.set(steps)
+    try:
+        out = make()
+    finally:
+        _STEPS.reset(token)
+    final = settle(out)
+    jvm, conf = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
+    for step in steps:
+        path = jvm.org.apache.hadoop.fs.Path(step)
+        path.getFileSystem(conf).delete(path, True)
+    return final
+
+
 def settle_as_dealt(df: DataFrame) -> DataFrame:
     """The same by a checkpoint, which keeps partitions and their order."""
     ensure_checkpoints(df.sparkSession)
