@@ -1,6 +1,7 @@
 """Evidence of broken lines, re-audits that write changes only, cascades over the store's tables."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,3 +142,23 @@ def test_statement_audits(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "audit"), header=True).columns == list(A.AUDIT_COLUMNS)
     scored = D.content_checks(D.quality(rows))
     assert [r.ticker for r in D.quality_reruns(scored, ["fail"], 500, 2).collect()] == ["EEE", "AAA"] and D.quality_reruns(scored, ["fail", "pass"], 500).count() == 4
+
+
+def test_a_filter_on_scores_computes_them_once(spark):
+    """A filter's copy of the score's expressions made texts be read many times over."""
+    plan = D.suspicious_first(D.quality(spark.createDataFrame([("a b c",)], "content string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count(D.BROKEN_SPACING) <= 2 and plan.count(D.TOKEN) == 1
+
+
+def test_garbled_words_are_those_of_every_word(spark):
+    """Words that are passed over unasked are none that the rules call garbled."""
+    rng = random.Random(2)
+    letters = ["a", "B", "é", "Đ", "ỹ", "1", "7", ",", ".", "/", "%", "*", "#", "(", ")", "|", "^", "=", "-", "'", "@", "_", " ", " ", "\t", " ", " ", "\x1c", "​", "\U0001f600", "ß"]
+    rows = [("".join(rng.choices(letters, k=rng.randint(0, 60))),) for _ in range(3000)] + [("a1b",), ("x" * 5000 + "1" * 5000 + "y",), ("1" * 5000,)]
+    df = spark.createDataFrame(rows, "t string")
+    every = F.filter(F.split("t", r"(?U)\s+"), lambda w: (w != "") & D.is_garbled(w))
+    got = df.select(D.garbled_words(F.col("t")).alias("a"), every.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(map(len, (r.a for r in got))) > 500
+    token = F.filter(D.tokens(F.col("t")), lambda t: F.length(t) == 1)
+    scored = D.quality(df, "t").select("t", "single_char_count", "isolated_diacritic_count", F.size(token).alias("n"), F.size(F.filter(token, lambda t: t.rlike("[À-ỹ]"))).alias("d")).collect()
+    assert all((r.single_char_count, r.isolated_diacritic_count) == (r.n, r.d) for r in scored)

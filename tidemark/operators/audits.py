@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import break_tags
 from ..session import settle
-from .documents import GARBLED_RATIO, LINE_BREAK, SPACED_COUNT, audit_order, content_checks, is_garbled, quality, spaced_matches, tokens
+from .documents import GARBLED_RATIO, LINE_BREAK, SPACED_COUNT, audit_order, content_checks, garbled_words, quality, spaced_matches, tokens
 
 #: Examples of a rule, words of an example, characters of a snippet, as fixed values.
 EXAMPLES, WORDS, SNIPPET = 5, 5, 120
@@ -49,22 +49,19 @@ def lines_with(rows: DataFrame, text_column: str, hit: Callable[[Column], Column
     return out.withColumn("examples", _examples("hits", what)).drop("e_lines")
 
 
-def _garbled(line: Column) -> Column:
-    return F.filter(F.split(line, r"(?U)\s+"), lambda w: (w != "") & is_garbled(w))
-
-
 def with_evidence(reports: DataFrame, text_column: str = "content", all_rules: bool = False) -> DataFrame:
     """``reports`` with ``quality_evidence``: up to five lines of each rule that a text breaks (or of all rules hit).
 
     A null text has none; a line that is hit twice counts once; words of an example are named once each.
     """
-    hits = {"spaced_lines": _numbered(lambda x: F.size(spaced_matches(x)) > 0), "garbled_lines": _numbered(lambda x: F.size(_garbled(x)) > 0)}
-    out = reports.withColumn("e_lines", _lines(text_column)).withColumns(hits)
-    spaced = _examples("spaced_lines", lambda line: F.get(spaced_matches(line), F.lit(0)))
-    garbled = _examples("garbled_lines", lambda line: F.array_join(F.slice(F.array_distinct(_garbled(line)), 1, WORDS), ", "))
     breaks = {"broken_spacing": F.lit(True), "garbled": F.lit(True)}
     if not all_rules:
         breaks = {"broken_spacing": F.col("broken_spacing_count") >= SPACED_COUNT, "garbled": F.col("garbled_ratio") >= GARBLED_RATIO}
+    rules = {"spaced_lines": (breaks["broken_spacing"], spaced_matches), "garbled_lines": (breaks["garbled"], garbled_words)}
+    hits = {h: F.when(broken, _numbered(lambda x, found=found: F.size(found(x)) > 0)).otherwise(F.array().cast("array<int>")) for h, (broken, found) in rules.items()}
+    out = reports.withColumn("e_lines", _lines(text_column)).withColumns(hits)  # lines are looked at where a rule is broken
+    spaced = _examples("spaced_lines", lambda line: F.get(spaced_matches(line), F.lit(0)))
+    garbled = _examples("garbled_lines", lambda line: F.array_join(F.slice(F.array_distinct(garbled_words(line)), 1, WORDS), ", "))
     parts = [F.when(breaks[n] & (F.size(h) > 0), F.concat(F.lit(f"{n}="), e)) for n, h, e in (("broken_spacing", "spaced_lines", spaced), ("garbled", "garbled_lines", garbled))]
     return out.withColumn("quality_evidence", F.concat_ws(" || ", *parts)).drop("e_lines", "spaced_lines", "garbled_lines")
 

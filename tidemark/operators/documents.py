@@ -15,6 +15,10 @@ TOKEN = f"([0-9{LETTER}]+)"
 #: Letters that stand alone, one after the other; possessive, as a long run would overflow the matcher's stack.
 BROKEN_SPACING = rf"(?U)(\b(?:[{LETTER}]\s+(?=[{LETTER}]\b)){{3,}}+[{LETTER}])"
 GARBLED = r"0-9,./%*+#&@\\()\[\]{}|^~="
+#: A word with a digit or sign before a letter, as every garbled one has; possessive, so one pass over a text.
+MAY_BE_GARBLED = rf"(?U)(?<!\S)[^\s{GARBLED}]*+[{GARBLED}][^\s{LETTER}]*+[{LETTER}]\S*+"
+#: A token of one character.
+SINGLE = f"(?<![0-9{LETTER}])[0-9{LETTER}](?![0-9{LETTER}])"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 LEAST_SPACED_CHARS, REGION_GAP = 25, 5
 SINGLE_CHAR_RATIO, SHORT_TOKENS, GARBLED_RATIO, SPACED_COUNT = 0.18, 2.2, 0.015, 3
@@ -50,6 +54,11 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
+def garbled_words(text: Column) -> Column:
+    """The garbled words of a text; rules are asked only for words that may be garbled."""
+    return F.filter(F.regexp_extract_all(text, F.lit(MAY_BE_GARBLED), 0), is_garbled)
+
+
 def spaced_matches(text: Column) -> Column:
     """Letters that stand apart, such as a word set with spaces, of some length."""
     return F.filter(F.regexp_extract_all(text, F.lit(BROKEN_SPACING), 1), lambda m: F.length(m) >= LEAST_SPACED_CHARS)
@@ -64,15 +73,15 @@ def quality(reports: DataFrame, text_column: str = "content") -> DataFrame:
     """``reports`` with the quality columns of their text; a text without tokens passes."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     lines = F.split(text, LINE_BREAK)
-    out = reports.withColumns({"q_tokens": tokens(text), "q_lines": lines})
+    out = reports.withColumns({"q_tokens": tokens(text), "q_lines": lines, "q_single": F.regexp_extract_all(text, F.lit(SINGLE), 0)})
     out = out.withColumns(
         {
             "token_count": F.size("q_tokens"),
-            "single_char_count": F.size(F.filter("q_tokens", lambda t: F.length(t) == 1)),
-            "isolated_diacritic_count": F.size(F.filter("q_tokens", lambda t: (F.length(t) == 1) & t.rlike("[À-ỹ]"))),
+            "single_char_count": F.size("q_single"),
+            "isolated_diacritic_count": F.regexp_count(F.array_join("q_single", ""), F.lit("[À-ỹ]")),
             "q_chars": F.length(F.array_join("q_tokens", "")),
             "broken_spacing_count": F.size(spaced_matches(text)),
-            "q_garbled": F.transform("q_lines", lambda x: F.size(F.filter(_words(x), is_garbled))),
+            "q_garbled": F.transform("q_lines", lambda x: F.size(garbled_words(x))),
             "q_nonempty": F.size(F.filter("q_lines", lambda x: x.rlike(r"(?U)\S"))),
         }
     )
@@ -99,7 +108,7 @@ def quality(reports: DataFrame, text_column: str = "content") -> DataFrame:
     status = F.when(~some, "pass").when(fail, "fail").when((F.col("suspicious_score") >= WARNING_SCORE) | spaced, "warning").otherwise("pass")
     names = {"high_single_char_ratio": single, "broken_spacing_patterns": spaced, "short_average_token_length": short, "garbled_vietnamese_tokens": garbled}
     reasons = F.array_join(F.array_compact(F.array(*[F.when(some & c, F.lit(r)) for r, c in names.items()])), ",")
-    return out.withColumns({"quality_status": status, "quality_reason": reasons}).drop("q_tokens", "q_lines", "q_chars", "q_nonempty", "q_garbled")
+    return out.withColumns({"quality_status": status, "quality_reason": reasons}).drop("q_tokens", "q_lines", "q_single", "q_chars", "q_nonempty", "q_garbled")
 
 
 #: Fixed markers of financial statements and of letters about them, without accents.
@@ -133,16 +142,21 @@ def content_checks(scored: DataFrame, text_column: str = "content") -> DataFrame
     return out.withColumns({c: F.when(F.col("c_other"), value).otherwise(F.col(c)) for c, value in changed.items()}).drop("c_plain", "c_sections", "c_letters", "c_other")
 
 
+def computed(scored: DataFrame) -> DataFrame:
+    """The same rows, whose columns a filter after it doesn't compute again: nothing is pushed through the generator."""
+    return scored.select(F.inline(F.array(F.struct(*scored.columns))))
+
+
 def quality_reruns(scored: DataFrame, statuses: list[str], min_garbled: int, limit: int = 0) -> DataFrame:
     """Reports of some statuses in the order of an audit, all of them without a ``limit``; those that didn't fail need a number of garbled words."""
-    chosen = scored.where(F.col("quality_status").isin(statuses) & ((F.col("quality_status") == "fail") | (F.col("garbled_count") >= min_garbled)))
+    chosen = computed(scored).where(F.col("quality_status").isin(statuses) & ((F.col("quality_status") == "fail") | (F.col("garbled_count") >= min_garbled)))
     chosen = audit_order(chosen)
     return chosen.limit(limit) if limit > 0 else chosen
 
 
 def suspicious_first(scored: DataFrame, least: float = 0.45) -> DataFrame:
     """Reports of at least a score, the worst first."""
-    return scored.where(F.col("suspicious_score") >= least).orderBy(F.desc("suspicious_score"), F.desc("broken_spacing_count"), F.desc("single_char_ratio"))
+    return computed(scored).where(F.col("suspicious_score") >= least).orderBy(F.desc("suspicious_score"), F.desc("broken_spacing_count"), F.desc("single_char_ratio"))
 
 
 def audit_order(scored: DataFrame) -> DataFrame:
