@@ -257,3 +257,12 @@ def test_refined_rosters(spark):
     assert (e.total_members, e.ceo_name, e.chief_accountant_name, e.board_member_count) == (2, "C", "E", 1)
     assert (s.total_members, s.removed_members) == (1, 1) and a.signing_auditor_names == ["H"]
     assert [r.total_members for r in got[4:]] == [0, 0]
+
+
+def test_page_trees_leave_in_small_batches(spark):
+    """A worker holds the trees of few pages at once, however many a batch brings."""
+    page = "<div><p>1999</p></div>"
+    rows = spark.range(200).selectExpr("id", f"'{page}' AS html").coalesce(1)
+    plan = milestones.trees(rows, "id", "html")
+    assert plan.count() == 200 and "MapInArrow" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert [n.tag for n in plan.first().nodes] == ["div", "p"] and milestones.SLICE <= 64

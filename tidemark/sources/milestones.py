@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import history_year, squash, strip_accents
+from ..session import release
 
 #: Fixed names and patterns of the section.
 TITLE, CONTAINER, BODY, SAYS = "company-history__header-title", "company-history__container", "company-history__body", "moc lich su"
@@ -23,6 +24,8 @@ TITLED = [*HEADINGS, "strong", "b", "div", "span", "p"]
 CATEGORIES = r"(?s)_categories\s*=\s*\[(.*?)\]"
 DATE = r"(?U)\b(\d{1,2}[/-]\d{1,2}[/-](?:19|20)\d{2})\b"
 MOST_SIBLINGS, LEAST_CHARS = 15, 8
+#: Pages whose trees a worker holds at once.
+SLICE = 32
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 PAGE = "nodes array<struct<tag: string, classes: array<string>, parent: int, last: int, low: int, high: int>>, strings array<string>, scripts array<string>"
@@ -69,13 +72,21 @@ class _Tree(HTMLParser):
 def trees(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, nodes, strings, scripts) of each page; a null page has none."""
     names = ("tag", "classes", "parent", "last", "low", "high")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = [_Tree(page or "") for page in frame[html]]
-            yield pd.DataFrame({key: frame[key], "nodes": [[dict(zip(names, n)) for n in t.nodes] for t in made], "strings": [t.strings for t in made], "scripts": [t.scripts for t in made]})
-
-    return pages.select(key, html).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, {PAGE}")
+    node = pa.struct([("tag", pa.string()), ("classes", pa.list_(pa.string())), *[(n, pa.int32()) for n in names[2:]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, SLICE):
+                    batch = whole.slice(at, SLICE)
+                    made = [_Tree(page or "") for page in batch.column(1).to_pylist()]
+                    columns = [pa.array([[dict(zip(names, n)) for n in t.nodes] for t in made], pa.list_(node))]
+                    columns += [pa.array([getattr(t, c) for t in made], pa.list_(pa.string())) for c in ("strings", "scripts")]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, "nodes", "strings", "scripts"])
+        finally:
+            release()
+
+    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, {PAGE}")
 
 
 def _text(node: Column) -> Column:
