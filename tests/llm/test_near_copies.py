@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import near_copies
@@ -115,3 +116,46 @@ def test_repeated_ids_and_clashing_columns(spark):
         for r in got:
             at = int(r.keep_id[len("keep_id") :])
             assert tuple(r) == (*rows[at], *[f"{n}{at}" for n in names])
+
+
+def shared_passage(most, pairs, seed=4):
+    """Texts alike by 0.787, no links, and some that share one more word with one of them (0.802), in one crowd of buckets."""
+    rng = random.Random(seed)
+    own = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    passage = [f"p{i}" for i in range(100)]
+    ends = [own(13) for _ in range(most)]
+    return [" ".join(passage + e) for e in ends] + [" ".join(passage + e[:1] + own(12)) for e in ends[:pairs]]
+
+
+def test_a_link_whose_buckets_have_other_leaders(spark):
+    texts = shared_passage(240, 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    assert got == {i: i if i < 240 else i - 240 for i in range(280)}
+
+
+def test_all_links_in_blocks_and_without_an_order(spark, monkeypatch):
+    """Shingles of many nodes are compared in pairs of blocks; the order of the shingles changes no link."""
+    texts = shared_passage(60, 20) + planted()[:60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "BLOCK", 8)
+    monkeypatch.setattr(near_copies, "_common", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    assert [r.component_id for r in near_copies.near_copies(docs).orderBy("doc_id").collect()] == components(texts)
+
+
+def test_first_shingles_and_parities_lose_no_similar_pair():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
+    common = np.sort(rng.choice(pool, 1500, replace=False))
+    ranks = rng.permutation(len(common))
+    met = 0
+    for _ in range(2000):
+        a = np.unique(rng.choice(pool, rng.integers(1, 200), replace=False))
+        b = np.union1d(rng.choice(a, rng.integers(len(a) * 3 // 4, len(a) + 1), replace=False), rng.choice(pool, rng.integers(0, len(a) // 4 + 1), replace=False))
+        x, y = near_copies.parities(a), near_copies.parities(b)
+        assert near_copies.apart(x, y) == near_copies.apart(y, x) <= len(np.setxor1d(a, b))
+        if len(b) and near_copies.similar(a, b):
+            met += 1
+            assert len(np.intersect1d(near_copies.prefix_of(a, common, ranks), near_copies.prefix_of(b, common, ranks)))
+    assert 300 < met < 1900
+    assert not len(near_copies.prefix_of(np.zeros(0, np.uint64), common, ranks))

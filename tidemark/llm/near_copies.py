@@ -1,4 +1,4 @@
-"""SimHash near copies by exact word-shingle similarity: candidates from the trie and from banded minimum hashes, each verified.
+"""SimHash near copies by exact word-shingle similarity: candidates from the trie and banded minimum hashes, the rest by prefixes, each verified.
 
 A text is the set of its ASCII-lower-cased five-word shingles; two texts are near copies where the Jaccard
 similarity of their sets is at least ``LEAST``.  Texts with the same set are one node.  The first candidates
@@ -9,9 +9,16 @@ one of the ``BANDS`` bands with a probability of 0.9998.  Every member of a band
 smallest one.  Where links then leave more than one component in a bucket, as where texts share a long passage, its
 members go into the buckets of ``FINE_BANDS`` bands of ``FINE_ROWS`` further minimum hashes, which tell 0.8 from less
 more sharply (at 0.8 a pair shares one with 0.997, at 0.55 with 0.24), and every member is paired with two of its
-bucket that a hash names, others in each band.  So pairs grow with the members, never with their square; a link is
-missed where none of a pair's shared buckets has a leader near to both.  Only pairs that exact similarity confirms
-are links; the tables of the steps are dropped when the groups are written.
+bucket that a hash names, others in each band.  So these pairs grow with the members, never with their square.
+
+These steps find most links, not all.  An exact one gives the rest: with every set in one order of all shingles, two
+sets of a similarity of 0.8 share a shingle among the first fifth (and one) of each.  Nodes of different components that
+share such a shingle, whose sizes, places and parities (``parities``) leave room for the similarity, and that no step
+before has refused, are verified as well, so no link between components is missed.  Shingles that many texts hold come last in the order, so
+few nodes share a place before them; the order is fitted on a part of the texts, which changes how many pairs are
+compared, never which links are found.  A shingle of more than ``BLOCK`` nodes is compared in pairs of blocks, so no task
+holds all of it; where very many texts that are no near copies consist of common passages, this step is quadratic in them.
+Only pairs that exact similarity confirms are links; the tables of the steps are dropped when the groups are written.
 
 Defined results: as in ``simhash``; a text of fewer than five words is one shingle, a text without words the
 empty set.
@@ -31,6 +38,10 @@ from .simhash import BITS, MOST_BROADCAST_KEYS, kept_rows, links, star_component
 SHINGLE, LEAST = 5, (4, 5)  # similarity as a fraction, so that it is compared exactly
 BANDS, ROWS = 16, 4
 FINE_BANDS, FINE_ROWS = 32, 8
+#: Every n-th text orders the shingles, all texts up to ``FIT_ALL``; those in ``COMMON`` of them or more come last, at most ``MOST_COMMON``.
+FIT_EVERY, FIT_ALL, COMMON, MOST_COMMON = 8, 1 << 15, 3, 1 << 18
+#: Nodes of a shingle that are compared at once.
+BLOCK = 512
 #: Differing bits that the trie walks.
 BUDGET = 2
 SEED = 42
@@ -91,17 +102,68 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * common >= LEAST[0] * (len(a) + len(b) - common)
 
 
+def prefix_of(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, one of which every set that is similar has among its own first ones.
+
+    Others come by their hashes, then those of the sorted ``common`` by their ranks.
+    """
+    n = len(hashes)
+    most = n - -(-LEAST[0] * n // LEAST[1]) + 1 if n else 0
+    if not len(common):
+        return hashes[:most]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    last = common[at] == hashes
+    first = hashes[~last][:most]
+    if len(first) == most:
+        return first
+    return np.concatenate((first, hashes[last][np.argsort(ranks[at[last]])[: most - len(first)]]))
+
+
+def parities(hashes: np.ndarray) -> bytes:
+    """A bit for each place, of at least twice as many as there are hashes: whether an odd number of them fall on it.
+
+    Each bit in which two sets differ stands for at least one hash that is in one of them only.
+    """
+    places = max(64, 1 << (2 * len(hashes)).bit_length())
+    return np.packbits(np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many hashes are in one of the two sets only, by their ``parities``."""
+    x, y = (np.frombuffer(p, np.uint64) for p in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, ranks) of the shingles that come last: those of most texts, the most frequent at the end."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x) for x in text_bytes(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    fit = docs.select("text")
+    if docs.count() > FIT_ALL:
+        fit = fit.where(F.pmod(F.xxhash64("text"), F.lit(FIT_EVERY)) == 0)
+    held = map_slices(fit, work, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
+    found = held.orderBy(F.desc("count"), "token").limit(MOST_COMMON).toPandas()
+    tokens = found["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], -order
+
+
 def _marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, node, n, fp, buckets) for each row."""
+    """(doc_id, k1, k2, node, n, fp, buckets, prefix, bits) for each row."""
+    common, ranks = _common(docs)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(x) for x in text_bytes(batch.column(3))]
         made = [pa.array(map(f, sets), pa.int64()) for f in (node_of, len, fingerprint_of)]
-        columns = [*batch.columns[:3], *made, pa.array(map(buckets, sets), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "node", "n", "fp", "buckets"])
+        lists = map(buckets, sets), (prefix_of(s, common, ranks).view(np.int64) for s in sets)
+        columns = [*batch.columns[:3], *made, *[pa.array(x, pa.list_(pa.int64())) for x in lists], pa.array(map(parities, sets), pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "node", "n", "fp", "buckets", "prefix", "bits"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in text_keys(F.col("text")).items()], "text")
-    return map_slices(chosen, work, "doc_id long, k1 long, k2 int, node long, n long, fp long, buckets array<long>")
+    return map_slices(chosen, work, "doc_id long, k1 long, k2 int, node long, n long, fp long, buckets array<long>, prefix array<long>, bits binary")
 
 
 def _with_sets(docs: DataFrame) -> DataFrame:
@@ -176,9 +238,52 @@ def _fine_pairs(sets: DataFrame, mixed: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+def _prefix_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v) of all nodes of different components that can be similar, by a shingle that both have among their first."""
+    rooted = nodes.join(roots, "node", "left").select(F.col("node").alias("v"), "n", F.coalesce("root", "node").alias("root"), F.posexplode("prefix").alias("at", "token"))
+    held = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
+    shared = settle(held.where("lo <> hi").select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    hint = F.broadcast if shared.count() <= MOST_BROADCAST_KEYS else (lambda x: x)
+    dealt = rooted.join(hint(shared), "token").withColumn("block", F.pmod(F.xxhash64("v", "token"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = settle(dealt.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "v", "n", "root", "at"))
+    a, b = (dealt.select("token", "x", "y", *[F.col(c).alias(f"{c}_{side}") for c in ("block", "v", "n", "root", "at")]) for side in "ab")
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # no more can be in common from here on
+    fits = [
+        F.col("v_a") < F.col("v_b"),
+        F.col("root_a") != F.col("root_b"),
+        (F.col("x") == F.col("y")) | (F.col("block_a") != F.col("block_b")),
+        F.lit(sum(LEAST)) * room >= F.lit(LEAST[0]) * (F.col("n_a") + F.col("n_b")),
+    ]
+    met = a.join(b, ["token", "x", "y"]).where(fits[0] & fits[1] & fits[2] & fits[3])
+    return settle(met.select(F.col("v_a").alias("u"), F.col("v_b").alias("v")).distinct())
+
+
+def _near_by_parities(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes that can be similar by their parities."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, a, b = (batch.column(i).to_pylist() for i in (2, 3, 4))
+        near = [sum(LEAST) * apart(x, y) <= (LEAST[1] - LEAST[0]) * m for m, x, y in zip(n, a, b)]
+        return batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(nodes.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("bits").alias("a")), "u")
+    both = both.join(nodes.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("bits").alias("b")), "v")
+    return settle(map_slices(both.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("n"), "a", "b"), work, "u long, v long", rows=1024))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _joined(roots: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The roots after further links; components so far stand for the links that made them."""
+    return roots if fresh.isEmpty() else star_components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(fresh))
+
+
 def _components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, label) for each node of the marked texts of ``docs``."""
-    nodes = settle(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")))
+    nodes = settle(marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "buckets", "prefix", "bits")]))
     placed = nodes.select(F.explode("buckets").alias("bucket"), F.col("node").alias("v"), F.col("n").alias("n_v"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("v", "n_v")).alias("first")).where("size > 1")
     placed = settle(placed.join(shared, "bucket"))
@@ -190,9 +295,13 @@ def _components(docs: DataFrame, marked: DataFrame) -> DataFrame:
     roots = star_components(edges)
     mixed = _mixed(placed.where("size > 2").select("bucket", "v", "n_v"), roots)
     if not mixed.isEmpty():
-        fresh = _verified(sets, _candidates(_fine_pairs(sets, mixed)).join(pairs, ["u", "v"], "left_anti"))
-        if not fresh.isEmpty():  # components so far stand for the links that made them
-            roots = star_components(roots.select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(fresh))
+        fine = settle(_candidates(_fine_pairs(sets, mixed)).join(pairs, ["u", "v"], "left_anti"))
+        roots = _joined(roots, _verified(sets, fine))
+        pairs = pairs.unionByName(fine)
+    rest = _near_by_parities(nodes, _prefix_pairs(nodes, roots).join(_ordered(pairs), ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        members = rest.select(F.col("u").alias("node")).unionByName(rest.select(F.col("v").alias("node")))
+        roots = _joined(roots, _verified(_sets(docs, marked, settle(members.distinct())), rest))
     return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
 
