@@ -51,3 +51,17 @@ def test_query_and_masking(spark):
     masked = {(r.doc_id, r.text) for r in s.mask_secrets(docs).collect()}
     assert (1, "é my [SECRET] and [SECRET]") in masked and (2, None) in masked and (4, "clean text only") in masked
     assert s.scan(docs.limit(0)).count() == 0
+
+
+def test_learned_automata_are_small():
+    """What a worker keeps of its grammar; the prefix trees are needed to learn only."""
+    import gc
+    import math
+    import tracemalloc
+
+    tracemalloc.start()
+    automaton = s.Automaton([s.FORMATS["jwt"](random.Random(i)) for i in range(s.LABELLED)])
+    gc.collect()
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert automaton.likelihood(s.FORMATS["jwt"](random.Random(-1))) > -math.inf and taken < 2e6

@@ -97,3 +97,17 @@ def test_query(spark, library):
     got = sorted(str((r.doc_id, r.n_ids, r.ids, r.restored)) for r in sentence_piece.encode_decode(docs).collect())
     assert got == sorted(str((i, len(x), x, True)) for i, x in ((i, library.encode(t or "")) for i, t in rows))
     assert sentence_piece.encode_decode(docs.limit(0)).count() == 0
+
+
+def test_remembered_words_take_bounded_memory():
+    """A worker's words, however many distinct ones it meets."""
+    import tracemalloc
+
+    own = sentence_piece.Transducer(public_tokenizers.path(sentence_piece.MODEL))
+    own.word.make = lambda w: w[:4].encode() * 4  # as much as the ids of a word of four pieces
+    tracemalloc.start()
+    for i in range(599_999):
+        own.word[f"word{i}"]
+    taken = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(own.word) + len(own.word.old) < 250_000 and taken < 60e6

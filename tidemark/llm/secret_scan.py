@@ -202,7 +202,7 @@ class Automaton:
         self.states = red
 
     def _finish(self) -> None:
-        """Log probabilities, a little mass kept for what was not seen."""
+        """Log probabilities, a little mass kept for what was not seen; the counts of the prefix tree go, as workers outlive a stage."""
         self.log = {}
         for s in self.states:
             total = self.count[s] + 1.0
@@ -210,6 +210,7 @@ class Automaton:
                 if a in self.next[s]:
                     self.log[s, a] = (math.log(n / total), self.next[s][a])
             self.log[s, ""] = (math.log(max(self.ends[s], 1e-3) / total), s)
+        del self.count, self.ends, self.next, self.arrivals
 
     def likelihood(self, text: str) -> float:
         """Log likelihood; minus infinity where the automaton has no way."""

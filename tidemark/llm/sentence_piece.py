@@ -39,8 +39,9 @@ from .common import map_slices
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Words that are remembered, twice over, and the longest that is.
-MOST_WORDS, LONGEST_WORD = 300_000, 48
+#: Words that are remembered, twice over, and the longest that is.  Most words of a large corpus come once, so many more
+#: of them cost each worker memory and save little.
+MOST_WORDS, LONGEST_WORD = 100_000, 48
 #: Fixed values of the library: what an unknown character costs beyond the worst piece, and a user-defined piece's handicap.
 UNKNOWN_PENALTY, OWN_HANDICAP = 10.0, 0.1
 
