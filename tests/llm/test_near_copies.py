@@ -159,3 +159,20 @@ def test_first_shingles_and_parities_lose_no_similar_pair():
             assert len(np.intersect1d(near_copies.prefix_of(a, common, ranks), near_copies.prefix_of(b, common, ranks)))
     assert 300 < met < 1900
     assert not len(near_copies.prefix_of(np.zeros(0, np.uint64), common, ranks))
+
+
+def test_settled_steps_leave_no_shuffle_files(spark):
+    """Else a stage's shuffles stay on disk, all of them, until the driver collects its garbage."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import settle
+
+    def held():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before = held()
+    rows = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = settle(rows)
+    assert not held() - before
+    assert out.count() == 7 and rows.count() == 7

@@ -52,6 +52,9 @@ def text_keys(text) -> dict:
     return {"k1": F.xxhash64(whole), "k2": F.hash(whole)}
 
 
+#: Spark's setting that shuffle files go when a query ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Tables that a ``without_steps`` drops when it is done.
 _STEPS: ContextVar[list | None] = ContextVar("steps", default=None)
 
@@ -59,12 +62,18 @@ _STEPS: ContextVar[list | None] = ContextVar("steps", default=None)
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: a table in the shared checkpoint folder, so lost executors don't lose it.
 
-    A checkpoint would compute its last stage twice, once to count and once to write.
+    A checkpoint would compute its last stage twice, once to count and once to write.  The shuffle files of the query go
+    with it, as nothing reads them again.
     """
     spark = df.sparkSession
     ensure_checkpoints(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before) if before is not None else spark.conf.unset(CLEANED)
     if (steps := _STEPS.get()) is not None:
         steps.append(path)
     return spark.read.schema(df.schema).parquet(path)
